@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bitplanes import round_trip
+from .decontaminate import matches
+from .mixing import mixed
 from .near_dedup import near_duplicates
+from .quality import resampled
+from .tokenizer_files import BYTE_BPE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +37,12 @@ WITH RECURSIVE split AS (
     FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
   ) p JOIN size m ON m.doc_id = p.a JOIN size n ON n.doc_id = p.b
   WHERE 100 * p.shared >= 85 * (m.n + n.n - p.shared)
-), both AS (
+), edge AS (
   SELECT a, b FROM link UNION ALL SELECT b, a FROM link
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
-  SELECT r.doc_id, e.b FROM reach r JOIN both e ON e.a = r.other
+  SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other
 ), least AS (
   SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
@@ -44,5 +50,54 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_i
 FROM documents d LEFT JOIN size s USING (doc_id) JOIN least l USING (doc_id)
 """
 
-QUERIES = {"op9_minhash": op9_minhash}
-ORACLES = {"op9_minhash": OP9_SQL}
+def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in bit planes and read back."""
+    return round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words in all documents."""
+    found = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+    ids = F.concat_ws(",", F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), lens AS (
+  SELECT DISTINCT n FROM win
+), occ AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN lens WHERE len(w) >= n)
+), hit AS (
+  SELECT o.doc_id, o.k, o.n, x.item_id FROM occ o JOIN win x ON x.s = o.s AND x.n = o.n
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by the mix of all documents."""
+    out = mixed(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents, and which of them Gumbel top-k selects."""
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_bitplanes": op4_bitplanes, "op6_decontaminate": op6_decontaminate, "op8_mixing": op8_mixing, "op10_quality": op10_quality, "op9_minhash": op9_minhash}
+ORACLES = {"op6_decontaminate": OP6_SQL, "op9_minhash": OP9_SQL}
