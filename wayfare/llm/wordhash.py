@@ -150,3 +150,33 @@ def spans(offsets: np.ndarray, most: int = 1 << 22):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, min(stop, n)
         at = min(stop, n)
+
+
+def prefixes(data: np.ndarray, w: Words, lengths: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length n, (words longer than n bytes, hash of their first n bytes); A-Z are lower-cased."""
+    size, powers = w.end - w.start, _pow(_B, max(lengths, default=0) + 1)
+    at = np.flatnonzero(size > min(lengths, default=0))
+    out, h, done = {}, np.zeros(len(at), np.uint64), 0
+    for n in sorted(lengths):
+        keep = size[at] > n
+        at, h = at[keep], h[keep]
+        for k in range(done, n):
+            h = h + _LOWER_TABLE[data[w.start[at] + k]] * powers[k]
+        done = n
+        out[n] = (at, h)
+    return out
+
+
+def suffixes(data: np.ndarray, w: Words, lengths: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """As prefixes, of the last n bytes."""
+    size, powers = w.end - w.start, _pow(_B, max(lengths, default=0) + 1)
+    at = np.flatnonzero(size > min(lengths, default=0))
+    out, h, done = {}, np.zeros(len(at), np.uint64), 0
+    for n in sorted(lengths):
+        keep = size[at] > n
+        at, h = at[keep], h[keep]
+        for k in range(done, n):
+            h = h + _LOWER_TABLE[data[w.end[at] - 1 - k]] * powers[k]
+        done = n
+        out[n] = (at, h)
+    return out
