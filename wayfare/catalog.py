@@ -1,15 +1,376 @@
-"""Registered queries of the travel-document engine and their DuckDB SQL."""
+"""Registered queries of the travel-document engine and their DuckDB SQL.
+
+The tables of the driver hold no travel documents, so most queries write documents from them with Spark
+expressions and read those with the real operators, while the SQL gives the answer from the source columns.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars, seats
+from .operators import barcode, classify, layout, quality, raster, redact, store
+from .plans import lifecycle
+from .sources import mime
+
+NOW = int(dt.datetime(1998, 6, 1, tzinfo=dt.UTC).timestamp() * 1000)
 FLAGSHIP = "store_partition"
 
 
-def _store_partition(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Orders as records: some without a time, some archived."""
+    o = _t(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.lit("flight").alias("kind"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("fields"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("departs_at"), (F.col("o_orderkey") * 1000).cast("long").alias("added_at"),
+        F.lit(None).cast("long").alias("updated_at"), F.lit("orders").alias("source"), (F.col("o_orderkey") % 13 == 0).alias("archived"),
+    )
+
+
+_RECORDS_SQL = """
+SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 11 <> 0 THEN epoch_ms(o_orderdate) END AS departs_at, o_orderkey * 1000 AS added_at, o_orderkey % 13 = 0 AS archived FROM orders
+"""
+_SIDE_SQL = f"CASE WHEN archived THEN 'past' WHEN departs_at IS NULL OR departs_at + 21600000 >= {NOW} THEN 'upcoming' ELSE 'past' END"
+
+
+def store_partition(spark, sf_dir):
+    return store.partition(_records(spark, sf_dir), NOW).select("id", "side", "sort_key")
+
+
+def store_next(spark, sf_dir):
+    return store.next_record(_records(spark, sf_dir).where("departs_at is not null"), NOW).select("id", "departs_at")
+
+
+def retention_expired(spark, sf_dir):
+    r, out = _records(spark, sf_dir), None
+    for name, days in store.POLICIES.items():
+        one = store.expired(r, NOW, days).select(F.lit(name).alias("policy"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def import_merge(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    have, backup = r.where("cast(id as long) % 2 = 0"), store.export_all(r.where("cast(id as long) % 3 = 0"))
+    return store.import_all(have, backup).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def store_upsert(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    changes = r.where("cast(id as long) % 5 = 0").withColumn("source", F.lit("user"))
+    return store.upsert(r, changes, NOW).groupBy("source").agg(F.count("*").alias("n"), F.count("updated_at").alias("stamped"))
+
+
+def _bcbp(spark, sf_dir):
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    nation = _t(spark, sf_dir, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(nation), c.c_nationkey == nation.n_nationkey)
+    code = F.rpad(F.upper(F.substring(F.replace("n_name", F.lit(" "), F.lit("")), 1, 3)), 3, "X")
+    return j.select(
+        "o_orderkey", "o_orderdate", code.alias("origin"), F.lit("DEL").alias("destination"), F.format_string("%06d", F.col("o_orderkey") % 1000000).alias("pnr"), (F.col("o_orderkey") % 9000 + 1).cast("string").alias("flight"),
+        F.dayofyear("o_orderdate").alias("julian"), F.concat((F.col("o_orderkey") % 60 + 1).cast("string"), F.lit("C")).alias("seat"), F.concat(F.lit("CUSTOMER/C"), F.col("c_custkey").cast("string")).alias("name"),
+    )
+
+
+def _payload():
+    return barcode.encode(F.col("name"), F.col("pnr"), F.col("origin"), F.col("destination"), F.lit("AI"), F.lpad("flight", 4, "0"), F.col("julian"), F.lit("Y"), F.lpad("seat", 4, "0"), F.lit("0001"), F.lit("1"))
+
+
+_BCBP_SQL = """
+SELECT o_orderkey, rpad(upper(substr(replace(n_name, ' ', ''), 1, 3)), 3, 'X') AS origin, 'DEL' AS destination, printf('%06d', o_orderkey % 1000000) AS pnr, (o_orderkey % 9000 + 1)::VARCHAR AS flight,
+  dayofyear(o_orderdate)::INT AS julian, (o_orderkey % 60 + 1)::VARCHAR || 'C' AS seat, {more}
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def bcbp_native(spark, sf_dir):
+    d = _bcbp(spark, sf_dir).select("o_orderkey", barcode.mandatory(_payload()).alias("m"))
+    return d.select("o_orderkey", "m.origin", "m.destination", "m.pnr", scalars.normalise_flight_number(F.col("m.flight")).alias("flight"), F.col("m.julian").cast("int").alias("julian"), scalars.normalise_seat(F.col("m.seat")).alias("seat"), F.lit(None).cast("string").alias("given"))
+
+
+def bcbp_decode(spark, sf_dir):
+    d = _bcbp(spark, sf_dir).select("o_orderkey", barcode.decode(_payload()).alias("b")).withColumn("leg", F.col("b.legs")[0])
+    return d.select("o_orderkey", "leg.origin", "leg.destination", "leg.pnr", "leg.flight", "leg.julian", "leg.seat", F.col("b.given").alias("given"))
+
+
+def julian_year(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    found = scalars.resolve_julian(F.dayofyear("o_orderdate"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 170).cast("int")))
+    return o.select("o_orderkey", found["date"].cast("string").alias("date"), found["confidence"].alias("confidence"))
+
+
+def _printed(spark, sf_dir, pattern):
+    o = _t(spark, sf_dir, "orders")
+    parsed = scalars.parse_date(F.concat(F.lit("Journey date: "), F.date_format("o_orderdate", pattern), F.lit(" onward")), F.lit("1996-01-01").cast("date"))
+    return o.select("o_orderkey", parsed["date"].cast("string").alias("date"), parsed["ambiguous"].alias("ambiguous"))
+
+
+def date_parse_named(spark, sf_dir):
+    return _printed(spark, sf_dir, "dd MMM yyyy")
+
+
+def date_parse_month_first(spark, sf_dir):
+    return _printed(spark, sf_dir, "MMMM dd, yyyy")
+
+
+def date_parse_iso(spark, sf_dir):
+    return _printed(spark, sf_dir, "yyyy-MM-dd")
+
+
+def date_parse_numeric(spark, sf_dir):
+    return _printed(spark, sf_dir, "dd/MM/yyyy")
+
+
+def time_parse(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    half = F.concat(F.lit("Dep "), F.when(F.hour(ts) % 12 == 0, 12).otherwise(F.hour(ts) % 12).cast("string"), F.lit(":"), F.lpad(F.minute(ts).cast("string"), 2, "0"), F.when(F.hour(ts) < 12, " am").otherwise(" pm"))
+    return e.select("event_id", scalars.parse_time(F.concat(F.lit("at "), F.date_format(ts, "HH:mm"), F.lit(" hrs"))).alias("t24"), scalars.parse_time(half).alias("t12"))
+
+
+def seat_runs(spark, sf_dir):
+    return seats.runs(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+def seat_lists(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    text = F.concat(F.lit("Seats: "), F.array_join(F.transform("n", lambda x: F.concat(F.lit("A"), x.cast("string"))), ", "))
+    return li.select("l_orderkey", F.size(seats.parse_seats(text)).alias("n"))
+
+
+def _cell(text, x, y):
+    return F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), (F.length(text) * F.lit(5.2)).alias("width"), F.lit(10.0).alias("height"))
+
+
+def _layout(spark, sf_dir):
+    """Orders as pages: a value beside its label, one below, and one after a colon."""
+    o = _t(spark, sf_dir, "orders")
+    key, status, price = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    items = F.array(
+        _cell(F.lit("Booking reference:"), 40, 100), _cell(F.concat(F.lit("R"), key), 240, 100), _cell(F.lit("Coach"), 40, 140), _cell(F.lit("Travel class"), 200, 140),
+        _cell(F.concat(F.lit("B"), status), 40, 156), _cell(F.concat(F.lit("9"), status), 200, 156), _cell(F.concat(F.lit("Fare type: "), price), 40, 200),
+    )
+    return o.select("o_orderkey", items.alias("items"))
+
+
+def label_value(spark, sf_dir):
+    labels = {"reference": [r"booking reference"], "coach": [r"\bcoach\b"], "fare": [r"fare type"]}
+    d = _layout(spark, sf_dir).select("o_orderkey", layout.label_values(F.col("items"), labels).alias("v"))
+    return d.select("o_orderkey", *(F.col("v")[k].alias(k) for k in labels))
+
+
+def column_split(spark, sf_dir):
+    return _layout(spark, sf_dir).select("o_orderkey", F.array_join(layout.cell_counts(F.col("items")), "-").alias("cells"))
+
+
+def table_rows(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))).alias("r"))
+    row = lambda x, i: F.array(
+        *(F.struct(t.alias("text"), F.lit(at).alias("x"), (F.lit(134.0) + 14 * i).alias("y"), (F.length(t) * 5.2).alias("width"), F.lit(10.0).alias("height")) for t, at in ((x["l_linenumber"].cast("string"), 40.0), (x["l_quantity"].cast("int").cast("string"), 160.0), (x["l_returnflag"], 280.0)))
+    )
+    head = F.array(_cell(F.lit("S.No"), 40, 120), _cell(F.lit("Quantity"), 160, 120), _cell(F.lit("Flag"), 280, 120))
+    page = li.select("l_orderkey", F.concat(head, F.flatten(F.transform("r", row))).alias("items"))
+    rows = page.select("l_orderkey", F.explode(layout.table_rows(F.col("items"), {"n": r"s\.no", "quantity": "quantity", "flag": "flag"}, max_rows=50)).alias("t"))
+    return rows.select("l_orderkey", F.col("t")["n"].cast("int").alias("n"), F.col("t")["quantity"].cast("int").alias("quantity"), F.col("t")["flag"].alias("flag"))
+
+
+def _fields(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    exact, shown = F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.round(F.col("o_totalprice") + 1, 2).cast("decimal(18,2)").cast("string")).when(F.col("o_orderkey") % 3 == 1, F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")).otherwise("")
+    source = F.when(F.col("o_orderkey") % 2 == 0, "barcode").otherwise("ocr")
+    made = quality.new_field("price", exact, source, required=True, critical=True)
+    return o.select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority", quality.reconcile(made, shown).alias("field"))
+
+
+def dq_reconcile(spark, sf_dir):
+    f = F.col("field")
+    return _fields(spark, sf_dir).select("doc_id", f["confidence"].alias("confidence"), F.size(f["issues"]).alias("issues"), quality.needs_review(f).alias("review"))
+
+
+def dq_summary(spark, sf_dir):
+    return quality.rollup(_fields(spark, sf_dir), "o_orderpriority")
+
+
+def signal_score(spark, sf_dir):
+    s = classify.scores(F.concat(F.lit("Boarding pass gate "), F.col("text"), F.when(F.col("doc_id") % 2 == 0, " hotel check-in check-out 2 nights voucher").otherwise(" airport terminal itinerary")), F.lit(None))
+    return _t(spark, sf_dir, "documents").select("doc_id", s["lodging"].cast("long").alias("lodging"), s["generic"].cast("long").alias("generic"))
+
+
+def signal_argmax(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    text = F.when(k == 0, "Boarding pass\nairport terminal PNR").when(k == 1, "Cinema screen 3 showtime venue").when(k == 2, "Train no 12 coach berth quota").when(k == 3, "Hotel check-in check-out 2 nights lead guest voucher").otherwise("nothing here")
+    return classify.select_kind(d.select("doc_id", text.alias("text"), F.lit("").alias("payload"))).select("doc_id", "kind", F.col("kind_score").cast("long").alias("kind_score"))
+
+
+def first_wins_dedupe(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
+    return barcode.first_wins(e, ["event_type", "user_id"], "event_id")
+
+
+def barcode_rank(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select((F.col("user_id")).alias("doc_id"), F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 3 == 0, "QRCode").otherwise("Aztec").alias("format"), F.concat(F.lit("https://t.example/"), (F.col("event_id") % 50).cast("string")).alias("text"))
+    return barcode.rank(e).where("rank = 1").select("doc_id", "ordinal", F.col("score").cast("long").alias("score"))
+
+
+def reference_lookup(spark, sf_dir):
+    c, n, r = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    place = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").where("n_nationkey % 7 <> 0").limit(1000)
+    j = c.join(F.broadcast(place), c.c_nationkey == place.n_nationkey, "left")
+    return j.select("c_custkey", F.coalesce("n_name", F.concat(F.lit("#"), F.col("c_nationkey").cast("string"))).alias("place"), F.coalesce("r_name", F.lit("unknown")).alias("zone"))
+
+
+def email_domain(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", scalars.email_domain(F.col("text")).alias("domain"))
+
+
+def redact_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
+
+
+def plaintext_grid(spark, sf_dir):
+    t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", layout.grid_items(F.col("text")).alias("items"))
+    return t.select("conv_id", "turn", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0.0), lambda s, i: s + i["width"]).cast("long").alias("widths"), F.coalesce(F.array_max(F.transform("items", lambda i: i["y"])), F.lit(0.0)).cast("long").alias("bottom"))
+
+
+def dominant_bucket(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", F.floor(F.col("x").cast("double") * 8).cast("int").alias("bucket"))
+    counts = e.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    best = counts.groupBy("label").agg(F.max(F.struct("n", F.negative("bucket").alias("b"))).alias("m"))
+    return best.select("label", F.negative("m.b").alias("bucket"), "m.n")
+
+
+def median_lines(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("middle"), F.get(F.array_sort(F.collect_list("l_quantity")), F.floor(F.count("*") / 2).cast("int")).alias("upper"))
+
+
+def runner_up(spark, sf_dir):
+    totals = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    best = totals.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("n"), "event_type"))).alias("r"))
+    top, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return best.select("user_id", top["event_type"].alias("top"), F.negative(top["n"]).alias("n"), F.coalesce(F.negative(top["n"]) > 1.6 * F.negative(second["n"]), F.lit(True)).alias("clear"))
+
+
+def palette_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", scalars.fnv_hash(F.col("c_name")).alias("h"))
+
+
+def luminance_contrast(spark, sf_dir):
+    rgb = (F.col("p_partkey") * 7919 % 16777216).cast("int")
+    p = _t(spark, sf_dir, "part").select("p_partkey", rgb.alias("rgb"))
+    return p.select("p_partkey", F.round(scalars.luminance(F.col("rgb")), 6).alias("luminance"), F.round(scalars.contrast(F.col("rgb"), F.lit(0xFFFFFF)), 4).alias("contrast"), F.round(scalars.colour_distance(F.col("rgb"), F.lit(0)), 4).alias("distance"))
+
+
+def mime_parse(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    raw = F.concat(F.lit("From: Tickets <no-reply@mail.example.org>\r\nSubject: =?utf-8?B?"), F.base64(F.col("url").cast("binary")), F.lit("?=\r\nContent-Type: multipart/mixed; boundary=b1\r\n\r\n--b1\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.col("html").cast("binary")), F.lit("\r\n--b1\r\nContent-Type: application/pdf; name=t.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nJVBERg==\r\n--b1--\r\n"))
+    m = p.select("page_id", mime.messages(raw).alias("m"))
+    return m.select("page_id", "m.subject", "m.from_domain", F.length("m.html").cast("long").alias("html_chars"), F.col("m.attachments")[0]["size"].alias("pdf_bytes"), mime.best_part(F.col("m.attachments"), F.col("m.html"), F.col("m.text")).alias("part"))
+
+
+def html_sanitise(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", mime.sanitise_html(F.col("html")).alias("html"))
+
+
+def raster_summary(spark, sf_dir):
+    """Small images made of embeddings: one pixel an element."""
+    e = _t(spark, sf_dir, "embeddings")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.concat(F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"), F.lit("4080FF"))), ""))
+    side = F.floor(F.sqrt(F.size("embedding"))).cast("int")
+    return e.where(side * side == F.size("embedding")).select("vec_id", raster.raster_stats(data, side, side).alias("s")).select("vec_id", "s.background", "s.dominant", "s.ink", "s.n_components", "s.barcode")
+
+
+def ticket_records(spark, sf_dir):
+    """Boarding records from payload to stored record."""
+    docs = _bcbp(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("").alias("text"), _payload().alias("payload"), F.col("o_orderdate").cast("date").alias("reference"))
+    r = lifecycle.records(docs)
+    return r.select("id", "kind", F.col("fields")["origin"].alias("origin"), F.col("fields")["flight"].alias("flight"), F.col("fields")["date"].alias("date"), "departs_at")
+
+
+_MEDIAN_UP = "list_sort(list(l_quantity))[(count(*) // 2 + 1)::INT]"
+_EMAIL = "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
+
+
+def _redact_sql() -> str:
+    out = "text"
+    for pattern, replacement in redact.RULES:
+        swap = replacement.replace("${1}", "\\1").replace("${2}", "\\2")
+        out = f"regexp_replace({out}, '{pattern}', '{swap}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+_PRICE = "printf('%.2f', round(o_totalprice, 2))"
+_DATES = "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS date, false AS ambiguous FROM orders"
+_FIELD_SQL = """
+SELECT o_orderkey AS doc_id, o_orderpriority,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'low' WHEN o_orderkey % 3 = 1 OR o_orderkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS issues, NOT (o_orderkey % 3 = 1 OR (o_orderkey % 3 = 2 AND o_orderkey % 2 = 0)) AS review
+FROM orders
+"""
+_LUM = "(0.2126 * {r} + 0.7152 * {g} + 0.0722 * {b})"
+
+
+def _lum_sql(channel: str) -> str:
+    return f"CASE WHEN {channel} / 255.0 <= 0.03928 THEN {channel} / 255.0 / 12.92 ELSE power(({channel} / 255.0 + 0.055) / 1.055, 2.4) END"
+
 
+ORACLES = {
+    "store_partition": f"SELECT id, side, CASE WHEN side = 'past' THEN -coalesce(nullif(departs_at, 0), added_at) ELSE coalesce(departs_at, -4611686018427387904) END AS sort_key FROM (SELECT *, {_SIDE_SQL} AS side FROM ({_RECORDS_SQL}))",
+    "store_next": f"SELECT id, departs_at FROM ({_RECORDS_SQL}) WHERE departs_at IS NOT NULL AND {_SIDE_SQL} = 'upcoming' ORDER BY departs_at, id LIMIT 1",
+    "retention_expired": f"SELECT policy, id FROM ({_RECORDS_SQL}) JOIN (VALUES ('month', 30), ('week', 7), ('at-once', 0)) p(policy, days) ON departs_at < {NOW} - 21600000 - days * 86400000::BIGINT",
+    "import_merge": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'added' END AS status, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
+    "store_upsert": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'user' ELSE 'orders' END AS source, count(*) AS n, count(*) FILTER (o_orderkey % 5 = 0) AS stamped FROM orders GROUP BY 1",
+    "bcbp_native": _BCBP_SQL.format(more="NULL::VARCHAR AS given"),
+    "bcbp_decode": _BCBP_SQL.format(more="'C' || c_custkey::VARCHAR AS given"),
+    "julian_year": """
+WITH o AS (SELECT o_orderkey, dayofyear(o_orderdate)::INT AS d, o_orderdate::DATE + (o_orderkey % 170)::INT AS ref FROM orders),
+c AS (SELECT o_orderkey, ref, make_date(year(ref) + k, 1, 1) + d - 1 AS date, d, (year(ref) + k) AS y FROM o, (VALUES (-1), (0), (1)) v(k)),
+r AS (SELECT o_orderkey, date, abs(date_diff('day', ref, date)) AS gap FROM c WHERE d < 366 OR (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0)
+SELECT o_orderkey, arg_min(date, (gap, date))::DATE::VARCHAR AS date, CASE WHEN min(gap) <= 60 THEN 'high' WHEN min(gap) <= 150 THEN 'medium' ELSE 'low' END AS confidence FROM r GROUP BY o_orderkey""",
+    "date_parse_named": _DATES,
+    "date_parse_month_first": _DATES,
+    "date_parse_iso": _DATES,
+    "date_parse_numeric": "SELECT o_orderkey, CASE WHEN day(o_orderdate) > 12 THEN o_orderdate::DATE::VARCHAR END AS date, day(o_orderdate) <= 12 AS ambiguous FROM orders",
+    "time_parse": "SELECT event_id, strftime(ts, '%H:%M') AS t24, strftime(ts, '%H:%M') AS t12 FROM events",
+    "seat_runs": """
+WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), i AS (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS g FROM n),
+s AS (SELECT l_orderkey, min(n) AS lo, max(n) AS hi FROM i GROUP BY l_orderkey, g),
+j AS (SELECT l_orderkey, sum(hi - lo + 1)::BIGINT AS n, string_agg(CASE WHEN hi - lo >= 2 THEN lo || '–' || hi WHEN hi > lo THEN lo || ', ' || hi ELSE lo::VARCHAR END, ', ' ORDER BY lo) AS t FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS summary FROM j""",
+    "seat_lists": "SELECT l_orderkey, count(DISTINCT l_linenumber)::INT AS n FROM lineitem GROUP BY 1",
+    "label_value": "SELECT o_orderkey, 'R' || o_orderkey AS reference, 'B' || o_orderstatus AS coach, o_orderpriority AS fare FROM orders",
+    "column_split": "SELECT o_orderkey, '2-2-2-1' AS cells FROM orders",
+    "table_rows": "SELECT l_orderkey, l_linenumber::INT AS n, l_quantity::INT AS quantity, l_returnflag AS flag FROM lineitem",
+    "dq_reconcile": f"SELECT doc_id, confidence, issues, review FROM ({_FIELD_SQL})",
+    "dq_summary": f"SELECT o_orderpriority, count(*) FILTER (review) AS needing_review, count(*) AS critical_fields, 0::BIGINT AS missing_critical, count(*) FILTER (review) = 0 AS ready, count(*) FILTER (confidence = 'high') AS high, 0::BIGINT AS medium, count(*) FILTER (confidence = 'low') AS low FROM ({_FIELD_SQL}) GROUP BY 1",
+    "signal_score": "SELECT doc_id, 0::BIGINT AS lodging, 0::BIGINT AS generic FROM documents",
+    "signal_argmax": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'flight' WHEN 1 THEN 'event' WHEN 2 THEN 'rail' WHEN 3 THEN 'lodging' END AS kind, CASE doc_id % 5 WHEN 0 THEN 80 WHEN 1 THEN 80 WHEN 2 THEN 85 WHEN 3 THEN 95 ELSE 0 END::BIGINT AS kind_score FROM documents",
+    "first_wins_dedupe": "SELECT event_type, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1",
+    "barcode_rank": "SELECT doc_id, ordinal, score FROM (SELECT user_id AS doc_id, event_id AS ordinal, CASE WHEN event_id % 3 = 0 THEN -5 ELSE 0 END::BIGINT AS score FROM events) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) = 1",
+    "reference_lookup": "SELECT c_custkey, CASE WHEN c_nationkey % 7 <> 0 AND n_name IS NOT NULL THEN n_name ELSE '#' || c_nationkey END AS place, CASE WHEN c_nationkey % 7 <> 0 AND r_name IS NOT NULL THEN r_name ELSE 'unknown' END AS zone FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
+    "email_domain": f"SELECT doc_id, lower(nullif(regexp_extract(text, '{_EMAIL}', 1), '')) AS domain FROM documents",
+    "redact_text": _redact_sql(),
+    "plaintext_grid": "SELECT conv_id, turn, len(w)::BIGINT AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT * 7 AS widths, (16 * (SELECT coalesce(max(i), 0) FROM (SELECT unnest(range(0, len(l))) AS i, unnest(l) AS s) WHERE trim(s, ' ') <> ''))::BIGINT AS bottom FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS l FROM conversations)",
+    "dominant_bucket": "SELECT label, arg_max(bucket, (n, -bucket)) AS bucket, max(n) AS n FROM (SELECT label, floor(x::DOUBLE * 8)::INT AS bucket, count(*) AS n FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY ALL) GROUP BY label",
+    "median_lines": f"SELECT l_orderkey, median(l_quantity) AS middle, {_MEDIAN_UP} AS upper FROM lineitem GROUP BY 1",
+    "runner_up": "WITH t AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, lead(n) OVER w AS m, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type)) SELECT user_id, event_type AS top, n, coalesce(n > 1.6 * m, true) AS clear FROM r WHERE k = 1",
+    "luminance_contrast": f"WITH p AS (SELECT p_partkey, (p_partkey * 7919 % 16777216)::INT AS v FROM part), c AS (SELECT p_partkey, v >> 16 AS r, (v >> 8) & 255 AS g, v & 255 AS b FROM p), l AS (SELECT *, {_LUM.format(r='(' + _lum_sql('r') + ')', g='(' + _lum_sql('g') + ')', b='(' + _lum_sql('b') + ')')} AS lum FROM c) SELECT p_partkey, round(lum, 6) AS luminance, round(1.05 / (lum + 0.05), 4) AS contrast, round(sqrt(2 * r * r + 4 * g * g + 3 * b * b), 4) AS distance FROM l",
+    "mime_parse": "SELECT page_id, url AS subject, 'mail.example.org' AS from_domain, length(html)::BIGINT AS html_chars, 4::BIGINT AS pdf_bytes, 'attachment:t.pdf' AS part FROM pages",
+    "ticket_records": _BCBP_SQL.format(more="strftime(o_orderdate, '%Y-%m-%d') AS date, epoch_ms(o_orderdate::DATE::TIMESTAMP) AS departs_at").replace("SELECT o_orderkey,", "SELECT id, 'flight' AS kind, origin, 'AI ' || flight AS flight, date, departs_at FROM (SELECT o_orderkey::VARCHAR AS id,") + ")",
+}
 
-QUERIES = {"store_partition": _store_partition}
-ORACLES = {"store_partition": "SELECT o_orderkey AS id FROM orders"}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        store_partition, store_next, retention_expired, import_merge, store_upsert, bcbp_native, bcbp_decode, julian_year, date_parse_named, date_parse_month_first, date_parse_iso, date_parse_numeric, time_parse, seat_runs, seat_lists,
+        label_value, column_split, table_rows, dq_reconcile, dq_summary, signal_score, signal_argmax, first_wins_dedupe, barcode_rank, reference_lookup, email_domain, redact_text, plaintext_grid, dominant_bucket, median_lines, runner_up,
+        palette_hash, luminance_contrast, mime_parse, html_sanitise, raster_summary, ticket_records,
+    )
+}
