@@ -261,3 +261,23 @@ def ensure_readable(rgb: Column, least: float = 4.5, steps: int = 24) -> Column:
     """Darken a background by 8 % a step until white text on it has the contrast."""
     darker = lambda c: sum((F.floor(x * 0.92).cast("int") * k for x, k in zip(_channels(c), (65536, 256, 1), strict=True)), F.lit(0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), rgb.cast("int"), lambda c, _: F.when(contrast(c, F.lit(0xFFFFFF)) >= least, c).otherwise(darker(c)))
+
+
+def from_hsl(hue: Column, saturation: Column, lightness: Column) -> Column:
+    """0xRRGGBB of a hue in degrees and two shares."""
+    a = saturation * F.least(lightness, 1 - lightness)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + hue / 30.0, F.lit(12.0))
+        return F.round(255 * (lightness - a * F.greatest(F.lit(-1.0), F.least(F.least(k - 3, 9 - k), F.lit(1.0))))).cast("int")
+
+    return channel(0) * 65536 + channel(8) * 256 + channel(4)
+
+
+def palette(text: Column) -> Column:
+    """struct<background, accent, foreground> of a name: the hue is its hash, the background is made readable."""
+    h = fnv_hash(F.lower(F.trim(text)))
+    hue = (h % 360).cast("double")
+    background = ensure_readable(from_hsl(hue, F.lit(0.45), F.lit(0.34)))
+    accent = from_hsl(F.pmod(hue + 35 + (F.floor(h / 360) % 40), F.lit(360.0)), F.lit(0.7), F.lit(0.6))
+    return F.struct(background.alias("background"), accent.alias("accent"), F.lit(0xFFFFFF).alias("foreground"))
