@@ -361,6 +361,7 @@ SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS
     "dominant_bucket": "SELECT label, arg_max(bucket, (n, -bucket)) AS bucket, max(n) AS n FROM (SELECT label, floor(x::DOUBLE * 8)::INT AS bucket, count(*) AS n FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY ALL) GROUP BY label",
     "median_lines": f"SELECT l_orderkey, median(l_quantity) AS middle, {_MEDIAN_UP} AS upper FROM lineitem GROUP BY 1",
     "runner_up": "WITH t AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, lead(n) OVER w AS m, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type)) SELECT user_id, event_type AS top, n, coalesce(n > 1.6 * m, true) AS clear FROM r WHERE k = 1",
+    "palette_hash": "SELECT c_custkey, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS h FROM (SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM customer)",
     "luminance_contrast": f"WITH p AS (SELECT p_partkey, (p_partkey * 7919 % 16777216)::INT AS v FROM part), c AS (SELECT p_partkey, v >> 16 AS r, (v >> 8) & 255 AS g, v & 255 AS b FROM p), l AS (SELECT *, {_LUM.format(r='(' + _lum_sql('r') + ')', g='(' + _lum_sql('g') + ')', b='(' + _lum_sql('b') + ')')} AS lum FROM c) SELECT p_partkey, round(lum, 6) AS luminance, round(1.05 / (lum + 0.05), 4) AS contrast, round(sqrt(2 * r * r + 4 * g * g + 3 * b * b), 4) AS distance FROM l",
     "mime_parse": "SELECT page_id, url AS subject, 'mail.example.org' AS from_domain, length(html)::BIGINT AS html_chars, 4::BIGINT AS pdf_bytes, 'attachment:t.pdf' AS part FROM pages",
     "ticket_records": _BCBP_SQL.format(more="strftime(o_orderdate, '%Y-%m-%d') AS date, epoch_ms(o_orderdate::DATE::TIMESTAMP) AS departs_at").replace("SELECT o_orderkey,", "SELECT id, 'flight' AS kind, origin, 'AI ' || flight AS flight, date, departs_at FROM (SELECT o_orderkey::VARCHAR AS id,") + ")",
