@@ -120,7 +120,7 @@ def test_chat(spark):
     made = chat.format_chats(turns)
     got = {r.conv_id: r for r in made.collect()}
     assert got[1].formatted.startswith("<|im_start|>\n<|im_end|>\n<|im_start|>user\\nx\\\\\n<|document:0|>y<|im_end|>\n")
-    assert [(a.index, a.type, a.ref, a.tokens) for a in got[1].attachments] == [(0, "document", "c.pdf", 1536), (0, "image", "a.png", 8), (1, "audio", "b.wav", 75)]
+    assert [(a["index"], a.type, a.ref, a.tokens) for a in got[1].attachments] == [(0, "document", "c.pdf", 1536), (0, "image", "a.png", 8), (1, "audio", "b.wav", 75)]
     assert got[1].attachment_tokens == 1619
     back = {r.conv_id: r for r in chat.read_back(made).collect()}
     assert [(t.role, t.text) for t in back[1].turns] == [("", ""), ("user\nx\\", "<|document:0|>y".replace("<|", "<|")), ("assistant", part[1] + "<|image:0|><|audio:1|>")]

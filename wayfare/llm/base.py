@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
+#: Paths that were made within each ``settle`` in progress.
+_open: list[list[str]] = []
+
+
+def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stash what ``build`` gives, and delete the stashes that were made on the way, which it alone reads."""
+    _open.append(own := [])
+    try:
+        df = build()
+    finally:
+        _open.pop()
+    out = stash(df, name)
+    for path in own:
+        _delete(df.sparkSession, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -42,14 +67,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a stash that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(name)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Rows of a key-only table up to which it is broadcast; beyond, the join is left to shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -70,7 +87,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    now, was = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name), None
+    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         # large-star: the larger neighbours of u point to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
@@ -81,9 +98,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         then = stash(small, name)
         a, b = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if was is not None:
-            drop_path(edges.sparkSession, was)
-        now, was = then, now
+        now = then
         if a == b:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -150,6 +150,25 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes: int = C
     return out.select("doc_id", "n_words", hit.alias("n_hit"), ids.alias("item_ids"), "spans")
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that no window occurs in: a filter in passing, not a join."""
+    at = docs.columns.index("text")
+
+    def without(part):
+        def run(batches):
+            found, count = _cached(part, n)
+            for batch in batches:
+                texts = batch.column(at)
+                keep = [x is None or not scan(found, count, x.encode("utf-8", "surrogatepass"))[1] for x in texts.to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for part in _chunks(items, chunk_bytes):
+        docs = docs.mapInArrow(without(part), docs.schema)
+    return docs
+
+
 def _merged(name: str, lo: str, hi: str):
     """Union of ranges in an array column."""
     return F.expr(f"""aggregate(array_sort({name}), cast(array() as array<struct<{lo}:bigint,{hi}:bigint>>), (done, x) ->

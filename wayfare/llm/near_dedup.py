@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, small_side, stash
+from .base import components, settle, small_side, stash
 from .wordhash import U, buffers, grams, mix, spans, words
 
 #: Shingles that one verification task holds of each of the two blocks it compares.
@@ -270,15 +270,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, minhash: Min
     drawn = stash(sketches(docs, n, minhash), "sketches")
     whole = drawn.where("set_key is not null and doc_id is not null")
     reps = stash(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "reps")
-    keyed = _bucket_rows(reps, minhash)
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stash(keyed.join(shared, "bucket"), "members")
-    loose = stash(_loose_pairs(members, reps), "loose")
-    if loose.isEmpty():
-        groups = None
-    else:
+
+    def loose_pairs():
+        keyed = _bucket_rows(reps, minhash)
+        shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        return _loose_pairs(stash(keyed.join(shared, "bucket"), "members"), reps)
+
+    def linked():
         family = components(loose).join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").select(F.col("node").alias("rep"), F.col("component").alias("family"), "n_shingles")
-        groups = components(_verified(docs, family, n, percent, minhash, block), "links")
+        return components(settle(lambda: _verified(docs, family, n, percent, minhash, block), "links"))
+
+    loose = settle(loose_pairs, "loose")
+    groups = None if loose.isEmpty() else settle(linked, "groups")
     by_set = reps.select("set_key", "rep")
     if groups is not None:
         by_set = by_set.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

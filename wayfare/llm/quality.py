@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import stash
 from .wordhash import NOT_SPACE, ALNUM, U, buffers, mix, spans, words
@@ -81,20 +82,26 @@ def log_ratio(counts: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     return np.log(p[0] / p[1])
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight) of every row of (doc_id, text)."""
-    buckets = len(ratio)
+def with_weights(docs: DataFrame, ratio: np.ndarray, grams: str = "n_grams", weight: str = "log_weight") -> DataFrame:
+    """docs, all columns, with the number of grams of ``text`` and its log weight: one pass, no shuffle."""
+    buckets, at = len(ratio), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(at))
             for lo, hi in spans(offsets):
-                grams, per = gram_buckets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], buckets)
-                total = np.concatenate([[0.0], np.cumsum(ratio[grams])])
+                found, per = gram_buckets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], buckets)
+                total = np.concatenate([[0.0], np.cumsum(ratio[found])])
                 ends = np.cumsum(per)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(per), pa.array(total[ends] - total[ends - per])], ["doc_id", "n_grams", "log_weight"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(per), pa.array(total[ends] - total[ends - per])], [*part.schema.names, grams, weight])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(grams, T.LongType()), T.StructField(weight, T.DoubleType())]))
+
+
+def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(doc_id, n_grams, log_weight) of every row of (doc_id, text)."""
+    return with_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ratio).select("doc_id", "n_grams", "log_weight")
 
 
 def best_threshold(weight: np.ndarray, good: np.ndarray) -> float:
@@ -129,8 +136,14 @@ def kth_key(keys: DataFrame, k: int) -> int | None:
     return low - (1 << 64) if low >> 63 else low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 10, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, n_grams, log_weight, selected) of every row of (doc_id, text).
+def gumbel_key(weight, doc_id, seed: int):
+    """Log weight plus Gumbel noise, in steps of 2**-20, as a long; the noise is a function of doc_id and seed."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed), F.lit("gumbel")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return F.round((weight - F.log(-F.log(uniform))) * F.lit(float(1 << 20))).cast("long")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 10, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS):
+    """(log ratio of every bucket, all rows with weight and key, least key that is selected; None for none, -inf for all).
 
     labels: (doc_id, quality), 1 for target-like texts; rows with a null are ignored, of repeated ids the
     greatest label counts.
@@ -140,16 +153,25 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = source.join(F.broadcast(fit.where("good").select("label_id")), F.col("doc_id") == F.col("label_id"), "left").select(F.col("label_id").isNotNull().alias("good"), "text")
     ratio = log_ratio(_counts(marked, buckets))
-    scored = stash(weights(source, ratio), "weights")
+    scored = stash(weights(source, ratio).withColumn("key", gumbel_key(F.col("log_weight"), F.col("doc_id"), seed)), "weights")
     if k is None:
         seen = scored.join(F.broadcast(fit), F.col("doc_id") == F.col("label_id")).where("n_grams > 0").select("log_weight", "good").limit(2 * fit_rows).toPandas()
         cut = best_threshold(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool))
         k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
-    # Gumbel noise from a uniform hash; keys as longs that sort as the doubles do
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit("gumbel")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    noisy = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    # doubles to 2**-20 as integers: exact ties are kept together below
-    keyed = noisy.withColumn("key", F.round(F.col("gumbel_key") * F.lit(float(1 << 20))).cast("long"))
-    least = kth_key(keyed, k)
-    chosen = F.lit(False) if k <= 0 else F.lit(True) if least is None else F.col("key") >= F.lit(least)
-    return keyed.select("doc_id", "n_grams", "log_weight", chosen.alias("selected"))
+    least = kth_key(scored, k)
+    return ratio, scored, None if k <= 0 else -(1 << 63) if least is None else least
+
+
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 10, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, n_grams, log_weight, selected) of every row of (doc_id, text)."""
+    _, scored, least = fitted(docs, labels, k, seed, buckets, fit_rows)
+    return scored.select("doc_id", "n_grams", "log_weight", (F.lit(False) if least is None else F.col("key") >= F.lit(least)).alias("selected"))
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, that ``resampled`` selects: weighed again in passing, not joined."""
+    ratio, _, least = fitted(docs, labels, k, seed)
+    if least is None:
+        return docs.limit(0)
+    weighed = with_weights(docs, ratio, "_n_grams", "_log_weight")
+    return weighed.where(gumbel_key(F.col("_log_weight"), F.col("doc_id").cast("long"), seed) >= F.lit(least)).select(*docs.columns)
