@@ -76,29 +76,45 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Parts that the rows of one key are spread over where a key table is too large to broadcast.
+SALT = 16
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) long pairs; component is the least node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes. Nodes with many
-    neighbours are never gathered: every step is a partial minimum and a join. Self-loops and repeats are
+    neighbours are never gathered: every step is a partial minimum, and a join that broadcasts the minima
+    while they are few, or else deals each node's rows over ``SALT`` parts. Self-loops and repeats are
     allowed; nodes in no edge are not returned.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
+    def beside(pairs: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+        if rows <= BROADCAST_ROWS:
+            return pairs.join(F.broadcast(low), "u")
+        salted = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "s"]).drop("s")
+
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    was = state(now)
     while True:
+        nodes = 2 * was[0]  # at most
         # large-star: the larger neighbours of u point to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
         low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = beside(both, low, nodes).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: u and its smaller neighbours point to the least of them
         low = least(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
-        then = stash(small, name)
-        a, b = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = then
-        if a == b:
+        small = beside(large, low, nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
+        now = stash(small, name)
+        then = state(now)
+        if then == was:
             break
+        was = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

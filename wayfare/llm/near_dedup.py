@@ -34,9 +34,9 @@ from .wordhash import U, buffers, grams, mix, spans, words
 
 #: Shingles that one verification task holds of each of the two blocks it compares.
 BLOCK = 2_000_000
-#: Positions of two signatures that must agree, of 32, for a pair to be worth a look; at similarity 0.85
+#: Share of two signatures that must agree for a pair to be worth a look: 14 of 32. At similarity 0.85
 #: fewer agree with a probability under 1e-8.
-AGREE = 14
+AGREE = 14 / 32
 
 
 class MinHash:
@@ -144,13 +144,13 @@ def _bucket_rows(reps: DataFrame, minhash: MinHash) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "bucket long, rep long")
 
 
-def _agree(left: str, right: str) -> str:
-    """SQL for the number of signature positions on which two columns agree."""
-    return " + ".join(f"cast(substring({left}, {1 + 4 * k}, 4) = substring({right}, {1 + 4 * k}, 4) as int)" for k in range(32))
+def _agree(left: str, right: str, n: int) -> str:
+    """SQL for the number of the n signature positions on which two columns agree."""
+    return " + ".join(f"cast(substring({left}, {1 + 4 * k}, 4) = substring({right}, {1 + 4 * k}, 4) as int)" for k in range(n))
 
 
-def _loose_pairs(members: DataFrame, reps: DataFrame, rounds: int = 3) -> DataFrame:
-    """(a, b) of bucket members whose signatures agree on AGREE positions or more.
+def _loose_pairs(members: DataFrame, reps: DataFrame, n: int, rounds: int = 3) -> DataFrame:
+    """(a, b) of bucket members whose signatures of n positions agree on a share of AGREE or more.
 
     In each round the members of a bucket meet its least member; those unlike it meet in the next round.
     """
@@ -161,12 +161,12 @@ def _loose_pairs(members: DataFrame, reps: DataFrame, rounds: int = 3) -> DataFr
         met = members.join(hubs, "bucket").where("rep <> hub")
         pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         judged = stash(
-            pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("sig", "sa"), "a").join(sig.withColumnRenamed("rep", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", F.expr(_agree("sa", "sb")).alias("agree")), "pairs"
+            pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("sig", "sa"), "a").join(sig.withColumnRenamed("rep", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", F.expr(_agree("sa", "sb", n)).alias("agree")), "pairs"
         )
-        good = judged.where(F.col("agree") >= AGREE).select("a", "b")
+        good = judged.where(F.col("agree") >= AGREE * n).select("a", "b")
         found = good if found is None else found.union(good)
         if k + 1 < rounds:
-            far = judged.where(F.col("agree") < AGREE).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
+            far = judged.where(F.col("agree") < AGREE * n).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
             members = stash(met.join(far, ["hub", "rep"]).select("bucket", "rep"), "members")
             if members.isEmpty():
                 break
@@ -198,7 +198,7 @@ def forest(sets: list[np.ndarray], sig: np.ndarray, percent: int, half: np.ndarr
         near = np.flatnonzero(ok)
         if not len(near):
             continue
-        near = near[(sig[lo:x][near] == sig[x]).sum(1) >= AGREE] + lo
+        near = near[(sig[lo:x][near] == sig[x]).sum(1) >= AGREE * sig.shape[1]] + lo
         if not len(near):
             continue
         own = codes[first[x] : first[x + 1]]
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, minhash: Min
     def loose_pairs():
         keyed = _bucket_rows(reps, minhash)
         shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        return _loose_pairs(stash(keyed.join(shared, "bucket"), "members"), reps)
+        return _loose_pairs(stash(keyed.join(shared, "bucket"), "members"), reps, minhash.n)
 
     def linked():
         family = components(loose).join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").select(F.col("node").alias("rep"), F.col("component").alias("family"), "n_shingles")
