@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are held a few megabytes at a time, whatever the partition.
+BATCH_ROWS = 1000
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded to BATCH_ROWS; for what goes through Python with its texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/wayfare-{name}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_path
+from .base import fresh_path, texts_of
 from .wordhash import buffers
 
 BLOCK_IDS = 1 << 16
@@ -106,7 +106,7 @@ class Encoder:
     which regex engines may differ, are encoded by the library in one go, as is everything for other files.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -145,7 +145,7 @@ class Encoder:
             elif text[-1:] in (",", ".") and text[1:-1].isalpha() and text[0] == " ":
                 return self._piece(text[:-1]) + self._piece(text[-1])
             else:
-                got = self._new(text)
+                return self._new(text)
         if len(text) <= 64:
             if len(self.known) >= self.keep:
                 self.known, self.old = {}, self.known
@@ -162,7 +162,17 @@ class Encoder:
         if not text.isascii() and max(text) > "\u024f":
             return self._whole(text)
         parts = _SPLIT.findall(text)
-        return self._token(text) if len(parts) == 1 else b"".join(map(self._piece, parts))
+        return b"".join([self._pre_token(x) for x in parts])
+
+    def _pre_token(self, text: str) -> bytes:
+        got = self.known.get(text)
+        if got is None:
+            got = self.old.get(text) or self._token(text)
+            if len(text) <= 64:
+                if len(self.known) >= self.keep:
+                    self.known, self.old = {}, self.known
+                self.known[text] = got
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
@@ -182,7 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mode: int
 
     Rows go in ascending doc_id, nulls first, equal ids by text; a null text is empty.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import texts_of
 from .wordhash import ALNUM, LOWER, buffers, words
 
 #: Bytes of items in one automaton.
@@ -102,7 +103,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes: int = C
     item_ids are sorted as strings; spans are [start, stop) byte offsets in the UTF-8 of the original text,
     from the first to the last hit word of each merged range.
     """
-    source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def scanner(part):
@@ -165,7 +166,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes:
         return run
 
     for part in _chunks(items, chunk_bytes):
-        docs = docs.mapInArrow(without(part), docs.schema)
+        docs = texts_of(docs).mapInArrow(without(part), docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, settle, small_side, stash
+from .base import components, settle, small_side, stash, texts_of
 from .wordhash import U, buffers, grams, mix, spans, words
 
 #: Shingles that one verification task holds of each of the two blocks it compares.
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, n: int = 3, minhash: MinHash | None = None) -> Dat
                     key, sig = _binary(both).take(take), _binary(minhash.signatures(sets, starts)).take(take)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), key, sig], ["doc_id", "n_shingles", "set_key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _bucket_rows(reps: DataFrame, minhash: MinHash) -> DataFrame:

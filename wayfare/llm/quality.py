@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import stash
+from .base import stash, texts_of
 from .wordhash import NOT_SPACE, ALNUM, U, buffers, mix, spans, words
 
 BUCKETS = 10_000
@@ -69,7 +69,7 @@ def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["bucket", "good", "raw"])
 
     out = np.zeros((2, buckets), np.int64)
-    for bucket, good, raw in docs.mapInArrow(run, "bucket int, good long, raw long").groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect():
+    for bucket, good, raw in texts_of(docs).mapInArrow(run, "bucket int, good long, raw long").groupBy("bucket").agg(F.sum("good"), F.sum("raw")).collect():
         out[:, bucket] = good, raw
     return out
 
@@ -96,7 +96,7 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, grams: str = "n_grams", wei
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(per), pa.array(total[ends] - total[ends - per])], [*part.schema.names, grams, weight])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(grams, T.LongType()), T.StructField(weight, T.DoubleType())]))
+    return texts_of(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(grams, T.LongType()), T.StructField(weight, T.DoubleType())]))
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:

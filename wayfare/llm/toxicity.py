@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import stash, texts_of
 from .lm import CharModel, trigram_counts
 from .wordhash import LETTERS, U, buffers, mix, prefixes, spans, words
 
@@ -318,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, fit_rows: int =
 
 def score_toxicity(docs: DataFrame, train_labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, score) of every row of (doc_id, text); only labels of train_labels are seen."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = CharModel(trigram_counts(source)).table
     model = train(source, train_labels, table, fit_rows)
 
