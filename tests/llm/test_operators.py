@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,19 @@ def test_near_duplicates_in_many_blocks(spark):
     assert one == many == {(k, k % 3) for k in range(60)}
 
 
+def test_bucket_members_behind_unlike_ones_meet(spark):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, (9, 32), dtype=np.uint32)
+    sig[5] = sig[4]  # near copies behind four lower unlike ids
+    sig[7, :14] = sig[6, :14]  # like the least member of its bucket,
+    sig[8, :12], sig[8, 14:] = sig[6, :12], sig[7, 14:]  # which its near copy is not
+    reps = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "rep long, sig binary")
+    members = spark.createDataFrame([(1 + (k > 5), k) for k in range(9)] + [(3, k) for k in range(6)], "bucket long, rep long")
+    for block in (near_dedup.MEMBERS, 2):
+        got = {(r.node, r.component) for r in base.components(near_dedup._loose_pairs(members, reps, 32, block=block)).collect()}
+        assert got == {(4, 4), (5, 4), (6, 6), (7, 6), (8, 6)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 30)] + [(50, 51), (51, 50), (52, 52)]
     got = {r.node: r.component for r in base.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -10,8 +10,9 @@ Steps, none of which gathers an unbounded group:
 
 1. Texts become sets of hashed word shingles; documents with equal sets share one representative.
 2. Buckets are keys that two or more representatives share. Their members are compared with the least
-   member by signature alone; members unlike it are compared with the least among themselves, and again.
-   These loose pairs (half of the signature agrees) make families of texts that can contain links.
+   member by signature alone; in buckets with members unlike it, each of these is compared with all others,
+   in blocks of ``MEMBERS``. These loose pairs (14 of 32 minhashes agree) make families of texts that can
+   contain links: every two members of a bucket that agree so far are in one family.
 3. Families are verified on full sets, in blocks of bounded size: a family of more than ``BLOCK``
    shingles is dealt by hash into blocks, and each pair of blocks is one task. A block gives back only a
    spanning forest of its links, so output is linear in documents.
@@ -37,6 +38,8 @@ BLOCK = 2_000_000
 #: Share of two signatures that must agree for a pair to be worth a look: 14 of 32. At similarity 0.85
 #: fewer agree with a probability under 1e-8.
 AGREE = 14 / 32
+#: Members of a bucket that one task holds of each of the two blocks it compares by signature.
+MEMBERS = 8192
 
 
 class MinHash:
@@ -149,28 +152,55 @@ def _agree(left: str, right: str, n: int) -> str:
     return " + ".join(f"cast(substring({left}, {1 + 4 * k}, 4) = substring({right}, {1 + 4 * k}, 4) as int)" for k in range(n))
 
 
-def _loose_pairs(members: DataFrame, reps: DataFrame, n: int, rounds: int = 3) -> DataFrame:
-    """(a, b) of bucket members whose signatures of n positions agree on a share of AGREE or more.
+def loose_links(sig: np.ndarray, far: np.ndarray, half: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all rows whose signatures agree on a share of AGREE or more, or only those between two halves.
 
-    In each round the members of a bucket meet its least member; those unlike it meet in the next round.
+    Rows that are not ``far`` count as connected already and are not compared with each other.
+    """
+    columns, label, out = np.ascontiguousarray(sig.T), np.where(far, np.arange(len(sig)) + 1, 0), []
+    for x in np.flatnonzero(far):
+        ok = (np.add.reduce(columns == sig[x][:, None], 0, dtype=np.uint16) >= AGREE * sig.shape[1]) & (label != label[x])
+        if half is not None:
+            ok &= half != half[x]
+        for y in np.flatnonzero(ok):
+            if label[y] != label[x]:
+                out.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _loose_pairs(members: DataFrame, reps: DataFrame, n: int, block: int = MEMBERS) -> DataFrame:
+    """(a, b) of bucket members that connect all those whose signatures of n positions agree on a share of AGREE or more.
+
+    First the members of a bucket meet its least member. Where some are unlike it, each of these meets all the
+    others, in blocks of ``block`` members; of buckets with the same members one is taken.
     """
     sig = reps.select("rep", "sig")
-    found = None
-    for k in range(rounds):
-        hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-        met = members.join(hubs, "bucket").where("rep <> hub")
-        pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        judged = stash(
-            pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("sig", "sa"), "a").join(sig.withColumnRenamed("rep", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", F.expr(_agree("sa", "sb", n)).alias("agree")), "pairs"
-        )
-        good = judged.where(F.col("agree") >= AGREE * n).select("a", "b")
-        found = good if found is None else found.union(good)
-        if k + 1 < rounds:
-            far = judged.where(F.col("agree") < AGREE * n).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
-            members = stash(met.join(far, ["hub", "rep"]).select("bucket", "rep"), "members")
-            if members.isEmpty():
-                break
-    return found
+    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = members.join(hubs, "bucket").where("rep <> hub")
+    pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    judged = stash(
+        pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("sig", "sa"), "a").join(sig.withColumnRenamed("rep", "b").withColumnRenamed("sig", "sb"), "b").select("a", "b", F.expr(_agree("sa", "sb", n)).alias("agree")), "pairs"
+    )
+    good = judged.where(F.col("agree") >= AGREE * n).select("a", "b")
+    far = judged.where(F.col("agree") < AGREE * n).select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.lit(True).alias("far"))
+    mixed = stash(met.where("n > 2").join(far, ["hub", "rep"]).select("bucket").distinct(), "mixed")
+    if mixed.isEmpty():
+        return good
+    rest = stash(met.join(mixed, "bucket").join(far, ["hub", "rep"], "left").select("bucket", "rep", F.coalesce("far", F.lit(False)).alias("far")), "rest")
+    own = [F.bit_xor(F.xxhash64("rep", "far", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), *own).groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    held = rest.join(sizes, "bucket").join(sig, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", "rep", "far", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig")
+
+    def met_in_block(table: pa.Table) -> pa.Table:
+        ids, far = table["rep"].to_numpy(), table["far"].to_numpy()
+        sig = np.frombuffer(b"".join(x.as_py() for x in table["sig"]), np.uint32).reshape(len(ids), n)
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        links = loose_links(sig, far, None if low == high else table["own"].to_numpy() == low)
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
+
+    return good.union(placed.groupBy("bucket", "low", "high").applyInArrow(met_in_block, "a long, b long"))
 
 
 def forest(sets: list[np.ndarray], sig: np.ndarray, percent: int, half: np.ndarray | None = None) -> list[tuple[int, int]]:
