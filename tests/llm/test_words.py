@@ -164,6 +164,16 @@ def test_field_labels_code_switched_words():
     assert field.move[0, 0] > field.move[0, 1] and langid.train([]) is None
 
 
+def test_every_byte_of_long_runs_is_read():
+    one, two = "甲乙丙丁戊己庚辛", "子丑寅卯辰巳午未"
+    field = langid.train([("aa", one * 40), ("bb", two * 40)])
+    post, first = field.label(*wordhash.buffers(pa.array([one * 8 + two * 8, "", two])))
+    assert list(first) == [0, 8, 8, 9] and [field.langs[k] for k in post.argmax(1)] == ["aa"] * 4 + ["bb"] * 5
+    data, offsets = wordhash.buffers(pa.array(["x" * 60]))
+    slot, owner = langid.word_features(data, langid.runs(data, offsets))
+    assert len(slot) == 1 + 8 + 58
+
+
 def model_of(text):
     c = lm.codes(np.empty(0, np.uint8), ("\n\n" + text + "\n\n").encode())
     n = np.bincount((c[:-2] * lm.SIZE + c[1:-1]) * lm.SIZE + c[2:], minlength=lm.SIZE**3)

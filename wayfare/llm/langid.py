@@ -1,7 +1,8 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Every word has hashed features: itself (lexicon), its first and last 1 to 4 bytes (affixes), and its inner
-byte trigrams (n-grams), A-Z lower-cased. The field has a weight for each feature and language, and a learned
+Every word has hashed features: itself (lexicon), its first and last 1 to 4 bytes (affixes), and all of its
+byte trigrams (n-grams), A-Z lower-cased. Runs of over ``LONG`` bytes that are mostly beyond ASCII, as of
+scripts without spaces, and all of over ``LONGEST``, are cut into words of so many bytes at characters. The field has a weight for each feature and language, and a learned
 transition between languages; forward-backward gives each word its distribution. A document's language has the
 largest mean over its words, which is the score.
 
@@ -26,9 +27,30 @@ from .wordhash import LETTERS, U, buffers, mix, prefixes, spans, suffixes, words
 
 FIT_DOCS, FIT_WORDS, SLOTS = 300, 600, 1 << 18
 AFFIXES = (1, 2, 3, 4)
+#: Bytes of a piece of a run that is mostly beyond ASCII, and of any other run.
+LONG, LONGEST = 48, 1 << 16
 MAX_LANGS = 64
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    """Words of letters; runs of LONG bytes or more that are mostly beyond ASCII, as of scripts without spaces, are cut into pieces of characters."""
+    w = words(data, offsets, LETTERS, hashed=hashed)
+    size = w.end - w.start
+    high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    piece = np.where(2 * (high[w.end] - high[w.start]) >= size, LONG, LONGEST)
+    cut = np.flatnonzero(size > piece)
+    if not len(cut):
+        return w
+    more = (size[cut] - 1) // piece[cut]
+    at = np.repeat(cut, more)
+    place = w.start[at] + piece[at] * (np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1)
+    for _ in range(3):  # back to the first byte of a character
+        place = place - ((data[place] & 0xC0) == 0x80)
+    w = words(data, np.union1d(offsets, place), LETTERS, hashed=hashed)
+    w.first = np.searchsorted(w.start, offsets, "left")
+    return w
+
+
 def word_features(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
     """(slot, word) pairs of every word's features, in order of words."""
     n = len(w.hash)
@@ -38,7 +60,7 @@ def word_features(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
             parts.append(mix(h + U(kind * 100 + length)))
             owners.append(at)
     size = w.end - w.start
-    inner = np.maximum(np.minimum(size, 24) - 2, 0)
+    inner = np.maximum(size - 2, 0)
     at = np.repeat(np.arange(n), inner)
     place = w.start[at] + np.arange(len(at)) - np.repeat(np.cumsum(inner) - inner, inner)
     low = data | np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
@@ -58,9 +80,16 @@ def emissions(data: np.ndarray, w, weights: np.ndarray) -> np.ndarray:
     class Some:
         hash, start, end = w.hash[first], w.start[first], w.end[first]
 
-    slot, owner = word_features(data, Some)
-    ends = np.searchsorted(owner, np.arange(len(first)))
-    return np.add.reduceat(weights[slot], ends, axis=0)[back]
+    out = np.empty((len(first), weights.shape[1]), np.float32)
+    size = np.concatenate([[0], np.cumsum(Some.end - Some.start)])
+    for lo, hi in spans(size, 1 << 19):
+
+        class Part:
+            hash, start, end = Some.hash[lo:hi], Some.start[lo:hi], Some.end[lo:hi]
+
+        slot, owner = word_features(data, Part)
+        out[lo:hi] = np.add.reduceat(weights[slot], np.searchsorted(owner, np.arange(hi - lo)), axis=0)
+    return out[back]
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, width: int = 1024) -> np.ndarray:
@@ -120,7 +149,7 @@ class Field:
 
     def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(posteriors of all words, first word of each text)."""
-        w = words(data, offsets, LETTERS)
+        w = runs(data, offsets)
         return marginals(emissions(data, w, self.weights), w.first, self.start, self.move), w.first
 
 
@@ -134,7 +163,7 @@ def train(samples: list[tuple[str, str]], length: int = 24, batch: int = 128, ep
     half = length // 2
     for lang, text in samples:
         data, offsets = buffers(pa.array([text]))
-        w = words(data, offsets, LETTERS)
+        w = runs(data, offsets)
         slot, owner = word_features(data, w) if len(w.hash) else (np.empty(0, np.int64), np.empty(0, np.int64))
         ends = np.searchsorted(owner, np.arange(len(w.hash) + 1))
         own = pieces[langs.index(lang)]
@@ -231,7 +260,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 part, at, n = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hi - lo
                 langs, score, switches = [None] * n, np.zeros(n), np.zeros(n, np.int64)
                 if field is None:
-                    first = words(part, at, LETTERS, hashed=False).first
+                    first = runs(part, at, hashed=False).first
                 else:
                     post, first = field.label(part, at)
                     sums = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
