@@ -187,6 +187,15 @@ def test_hidden_words_are_restored():
     assert restore("the room is here")[0] == "the room is here" and restore("") == ("", "")
 
 
+def test_spaced_sentences_keep_their_words():
+    model = model_of("you are a stupid idiot and the loser is here in the room " * 50)
+    restore = toxicity.Restorer(model)
+    assert restore("a s t u p i d")[0] == "a stupid" and restore("y o u i d i o t")[0] == "you idiot"
+    assert restore("y o u  i d i o t")[0].split() == ["you", "idiot"]
+    long = "the stupid idiot is here in the room " * 40
+    assert restore(" ".join(long.replace(" ", "")))[0].split() == long.split()
+
+
 def brute_lattice(span):
     out = [("", 0.0)]
     for options in toxicity.lattice(span):

@@ -3,7 +3,7 @@
 Spans of text that look written to hide a word are found by pattern: words with digits or symbols for
 letters, single letters kept apart by spaces or marks, and letters repeated three times or more. Each
 becomes a lattice with the letters that a character may stand for, repetition as one or two of a letter, and
-separators dropped; Viterbi decoding under a character trigram model of the corpus and channel costs picks
+separators dropped or left as spaces between words; Viterbi decoding under a character trigram model of the corpus and channel costs picks
 the text that was meant. Text outside such spans has a lattice of one path and stays.
 
 The restored text, and the original beside it, are scored by a model on word and word-prefix features,
@@ -21,6 +21,7 @@ of a null doc_id are scored and never trained on.
 from __future__ import annotations
 
 import re
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
                 out.append([(c, 0.0)] * 1 if run == 1 else [(c + c, 0.0)])
             at += run
         elif spaced and re.match(_SEP, c) and c not in "@$":
-            out.append([("", 0.0)])
+            out.append([("", 0.0), (" ", -0.1 if run == 1 else 0.0)])
             at += run
         else:
             options = [(x, CHANNEL) for x in LEET.get(c, "")]
@@ -84,10 +85,10 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(span: str, model: CharModel) -> str:
-    """The best path of a span's lattice: Viterbi over the last two symbols."""
-    table, symbol = model.table, model.symbol
+    """The best path of a span's lattice: Viterbi over the last two symbols; what all paths begin with is set aside."""
+    table, symbol, done = model.table, model.symbol, []
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(span):
+    for step, options in enumerate(lattice(span)):
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in paths.items():
             for emit, cost in options:
@@ -100,7 +101,10 @@ def decode(span: str, model: CharModel) -> str:
                 if key not in nxt or s > nxt[key][0] or (s == nxt[key][0] and text + emit < nxt[key][1]):
                     nxt[key] = (s, text + emit)
         paths = nxt
-    return max(((s + float(table[a, b, 0]), text) for (a, b), (s, text) in paths.items()), key=lambda p: (p[0], p[1]))[1]
+        if step % 64 == 63:
+            done.append(commonprefix([text for _, text in paths.values()]))
+            paths = {key: (score, text[len(done[-1]) :]) for key, (score, text) in paths.items()}
+    return "".join(done) + max(((s + float(table[a, b, 0]), text) for (a, b), (s, text) in paths.items()), key=lambda p: (p[0], p[1]))[1]
 
 
 class Restorer:
@@ -111,16 +115,13 @@ class Restorer:
 
     def span(self, match: re.Match) -> str:
         text = match.group(0)
-        if len(text) > 200:  # long runs are decoded in pieces at their separators
-            return "".join(self._one(x) for x in re.split(r"(\s)", text))
-        return self._one(text)
-
-    def _one(self, text: str) -> str:
+        if len(text) > 200:
+            return decode(text, self.model)
         got = self.known.get(text)
         if got is None:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            got = self.known[text] = "".join(decode(text[k : k + 200], self.model) for k in range(0, len(text), 200))
+            got = self.known[text] = decode(text, self.model)
         return got
 
     def __call__(self, text: str) -> tuple[str, str]:
