@@ -269,3 +269,13 @@ def test_kth_threshold_and_ratio():
     data, offsets = wordhash.buffers(pa.array(["a b&&& a", None, "x"]))
     grams, per = quality.gram_buckets(data, offsets)
     assert list(per) == [7, 0, 1] and grams[0] == grams[3]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<table><tbody><td>a<td>b</tbody></table>", "a  b"),
+    ("<table><thead>note<tr><td>a<td>b</table>", "note\na  b"),
+    ("<table><tbody><form><tr><td>a<td>b</tr></form></tbody></table>", "a  b"),
+    ("<ul>one<li>two</li>three <b>x</b> y<li>four</ul>", "  one\n- two\n  three x y\n- four"),
+])
+def test_stray_text_in_tables_and_lists_is_kept(page, text):
+    assert html_text.page_text(page) == text

@@ -133,6 +133,10 @@ def parse(page: str) -> Node:
         if rule:
             while close(*rule) and name not in ("li", "option"):
                 pass
+        if name in ("td", "th") and next(x.name for x in reversed(stack) if x.name != "form") in ("tbody", "thead", "tfoot"):
+            row = Node("tr", {})
+            stack[-1].children.append(row)
+            stack.append(row)
         attrs = _attributes(m["attrs"]) if m["attrs"].strip(" /\t\n\r") else {}
         node = Node(name, attrs)
         stack[-1].children.append(node)
@@ -319,17 +323,24 @@ def _in_item(node: Node, flow: _Flow) -> bool:
 
 
 def _list(node: Node) -> list[str]:
-    items = [c for c in node.children if isinstance(c, Node) and visible(c)]
+    items: list[Node] = []
+    for c in node.children:
+        if isinstance(c, Node) and not visible(c):
+            continue
+        if isinstance(c, Node) and c.name == "li":
+            items.append(c)
+            continue
+        if not items or items[-1].name == "li":  # stray content, text or most often a list
+            items.append(Node("#stray", {}))
+        items[-1].children.append(c)
     ordered, back = node.name == "ol", "reversed" in node.attrs
     n = _int(node.attrs.get("start"), sum(c.name == "li" for c in items) if back else 1)
     out: list[str] = []
     for c in items:
         flow = _Flow()
         flow.item = True
-        if c.name != "li":  # stray content, most often a list
-            wrap = Node("li", {})
-            wrap.children = [c]
-            _into(flow, wrap, False)
+        if c.name != "li":
+            _into(flow, c, False)
             out += ["  " + y if y else y for y in flow.done()]
             continue
         if ordered:
@@ -343,34 +354,51 @@ def _list(node: Node) -> list[str]:
     return out
 
 
+def _parts(node: Node):
+    """Children of a part of a table, with those of a form in its place; blank strings are left out."""
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node) and c.name == "form" and visible(c):
+            todo.extend(reversed(c.children))
+        elif visible(c) if isinstance(c, Node) else c.strip():
+            yield c
+
+
 def _rows(node: Node) -> tuple[list[Node], list[list[Node]], list[Node]]:
     """(captions, rows of cells, other content); head rows first, foot rows last."""
     captions, others = [], []
     groups: dict[str, list[list[Node]]] = {"thead": [], "tbody": [], "tfoot": []}
-    for c in node.children:
-        if not isinstance(c, Node):
-            if c.strip():
-                wrap = Node("div", {})
-                wrap.children = [c]
-                others.append(wrap)
-            continue
-        if not visible(c):
-            continue
-        if c.name == "caption":
-            captions.append(c)
-        elif c.name in groups or c.name == "tr":
-            rows = [c] if c.name == "tr" else [r for r in c.children if isinstance(r, Node) and r.name == "tr" and visible(r)]
-            for r in rows:
-                groups[c.name if c.name in groups else "tbody"].append([x for x in r.children if isinstance(x, Node) and x.name in ("td", "th") and visible(x)])
-                loose = [x for x in r.children if (isinstance(x, Node) and x.name not in ("td", "th")) or (isinstance(x, str) and x.strip())]
-                if loose:
-                    wrap = Node("div", {})
-                    wrap.children = loose
-                    others.append(wrap)
-        elif c.name in ("td", "th"):
-            groups["tbody"].append([c])
-        else:
-            others.append(c)
+
+    def loose(parts: list) -> None:
+        if parts:
+            wrap = Node("div", {})
+            wrap.children = parts
+            others.append(wrap)
+
+    def walk(part: Node, group: str) -> None:
+        stray: list = []
+        for c in _parts(part):
+            name = c.name if isinstance(c, Node) else ""
+            if name == "caption":
+                captions.append(c)
+            elif name in groups:
+                walk(c, name)
+            elif name == "tr":
+                cells, rest = [], []
+                for x in _parts(c):
+                    (cells if isinstance(x, Node) and x.name in ("td", "th") else rest).append(x)
+                groups[group].append(cells)
+                loose(rest)
+            elif name in ("td", "th"):
+                groups[group].append([c])
+            elif part is node:
+                loose([c])
+            else:
+                stray.append(c)
+        loose(stray)
+
+    walk(node, "tbody")
     return captions, groups["thead"] + groups["tbody"] + groups["tfoot"], others
 
 
