@@ -172,6 +172,11 @@ def test_languages(spark, docs):
     assert [r.lang_pred == "und" for r in langid.identify(odd, docs).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_all_languages_are_learned(spark):
+    rows = spark.range(140).select(F.format_string("l%02d", F.col("id") % 70).alias("lang"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert len({lang for lang, _ in langid.sample(rows)}) == 70
+
+
 def test_held_out_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op3_langid(spark, "/root/testdata/sf0.01").where("held_out").join(d.where("lang is not null").select("doc_id", "lang"), "doc_id")

@@ -6,7 +6,7 @@ scripts without spaces, and all of over ``LONGEST``, are cut into words of so ma
 transition between languages; forward-backward gives each word its distribution. A document's language has the
 largest mean over its words, which is the score.
 
-It is trained on at most ``FIT_DOCS`` documents a language, at most ``FIT_WORDS`` words of each, as sequences of
+It is trained on every language that occurs, on at most ``FIT_DOCS`` documents a language, at most ``FIT_WORDS`` words of each, as sequences of
 which some change language in between, so that transitions are learned for code-switched text. Prediction is
 on all words of whole texts; chains of a batch are run side by side in pieces whose products are joined
 exactly, so long texts need no long loops.
@@ -29,7 +29,6 @@ FIT_DOCS, FIT_WORDS, SLOTS = 300, 600, 1 << 18
 AFFIXES = (1, 2, 3, 4)
 #: Bytes of a piece of a run that is mostly beyond ASCII, and of any other run.
 LONG, LONGEST = 48, 1 << 16
-MAX_LANGS = 64
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
@@ -82,7 +81,7 @@ def emissions(data: np.ndarray, w, weights: np.ndarray) -> np.ndarray:
 
     out = np.empty((len(first), weights.shape[1]), np.float32)
     size = np.concatenate([[0], np.cumsum(Some.end - Some.start)])
-    for lo, hi in spans(size, 1 << 19):
+    for lo, hi in spans(size, (1 << 19) // max(1, weights.shape[1] // 8)):
 
         class Part:
             hash, start, end = Some.hash[lo:hi], Some.start[lo:hi], Some.end[lo:hi]
@@ -102,7 +101,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.n
     n, k = emit.shape
     if not n:
         return np.zeros((0, k))
-    width = max(1, min(width, n // 16))
+    width = max(1, min(width, n // 16, (1 << 22) // k**2))
     steps = -(-n // width)
     p = np.ones((width * steps, k))
     p[:n] = np.exp(emit - emit.max(1, keepdims=True))
@@ -235,7 +234,7 @@ def train(samples: list[tuple[str, str]], length: int = 24, batch: int = 128, ep
 def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 3) -> list[tuple[str, str]]:
     """About ``fit_docs`` (lang, text) rows a language, those least by a hash of the text; of each its first words."""
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return []
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * fit_docs / n)))))
@@ -256,7 +255,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for lo, hi in spans(offsets, 1 << 21):
+            for lo, hi in spans(offsets, (1 << 21) // (1 if field is None else max(1, len(field.langs) // 8))):
                 part, at, n = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hi - lo
                 langs, score, switches = [None] * n, np.zeros(n), np.zeros(n, np.int64)
                 if field is None:
