@@ -55,3 +55,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {(r.id, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.id, r.kind) for r in select_kind(df).collect()} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_reference_lookup_keeps_all_names(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS c_custkey", "id AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3000).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name", "id % 6 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(5).selectExpr("id AS r_regionkey", "concat('r', id) AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    got = {tuple(r) for r in catalog.reference_lookup(spark, str(tmp_path)).collect()}
+    assert got == {(k, f"n{k}", f"r{k % 6}" if k % 6 < 5 else "unknown") if k % 7 else (k, f"#{k}", "unknown") for k in range(3000)}

@@ -222,8 +222,8 @@ def barcode_rank(spark, sf_dir):
 
 def reference_lookup(spark, sf_dir):
     c, n, r = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
-    place = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name").where("n_nationkey % 7 <> 0").limit(1000)
-    j = c.join(F.broadcast(place), c.c_nationkey == place.n_nationkey, "left")
+    place = n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_nationkey", "n_name", "r_name").where("n_nationkey % 7 <> 0")
+    j = c.join(place, c.c_nationkey == place.n_nationkey, "left")
     return j.select("c_custkey", F.coalesce("n_name", F.concat(F.lit("#"), F.col("c_nationkey").cast("string"))).alias("place"), F.coalesce("r_name", F.lit("unknown")).alias("zone"))
 
 
