@@ -11,26 +11,29 @@ Format of one segment (bytes, little-endian), which holds the ids of a run of wh
 
 Segments are rows of a Parquet table in the shared folder (payload as binary, next to doc ids, lengths and
 the place within the shard), so that Spark's commit protocol covers lost and repeated tasks and any store
-that Spark reaches can hold them. Documents go to shards by ranges of doc_id; a shard's segments follow
+that Spark reaches can hold them. A null text is an empty one, an empty table an empty store. Repeated rows are
+stored each; equal ids go by text, null ids come first. Only doc_id and text are read, so other columns may have
+any name. Documents go to shards by ranges of doc_id; a shard's segments follow
 one another, and a shard is one task's work.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import fresh_path, texts_of
-from .wordhash import buffers
+from .wordhash import buffers, spans
 
 BLOCK_IDS = 1 << 16
 #: Ids from which a segment is closed after the document that reaches it.
@@ -83,10 +86,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 #: The split of the byte-level pre-tokenizer.
 _SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Before each space that a character other than white space follows and none precedes.
-_CUT = regex.compile(r"(?V1)(?<=\S)(?= \S)")
-#: White space besides those that the quick test looks for.
-_ODD = tuple(chr(c) for c in [0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: White space besides the space, tab and line feed: texts that hold one are encoded whole.
+_ODD = "".join(chr(c) for c in [0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: Classes of bytes: 1 letter, 2 digit, 3 mark, 0 not told by the byte alone (apostrophes, white space, beyond ASCII).
+_CLASS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 33 <= b < 127 and b != 39 else 0 for b in range(128)] + [0] * 128, np.uint8)
+#: A byte that no UTF-8 text has, between pre-tokens.
+_BETWEEN = 0xFF
 
 
 def _byte_letters() -> list[str]:
@@ -99,80 +104,151 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of whole texts from a ``tokenizers`` file, with what was seen before kept.
 
-    For a byte-level BPE file without normalizer, the pre-tokenizer never joins text across a space that is
-    followed by a character that is no white space; texts are cut there, and each piece, and in a new piece
-    each pre-token, goes through the library's model once. Kept pieces are bounded: two generations of
-    ``keep`` entries each. Texts with a string of an added token, and pieces with letters or white space on
-    which regex engines may differ, are encoded by the library in one go, as is everything for other files.
+    For a byte-level BPE file without normalizer, texts are cut where its pre-tokenizer surely cuts: before a
+    lone space, around a lone line feed, and between ASCII letters, digits and marks (not beside apostrophes).
+    The different pieces of a span of texts are looked up once; unknown ones go, split further where needed,
+    through the library's model, many pre-tokens at a time with a byte between them that no merge knows. Kept
+    pieces are bounded: two generations of ``keep`` entries each. Texts with a string of an added token or
+    with rare white space, and pieces with letters on which regex engines may differ, are encoded by the
+    library in one go, as is everything for other files.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        before = spec.get("pre_tokenizer") or {}
-        self.quick = spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        before, letters = spec.get("pre_tokenizer") or {}, _byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.quick = (
+            spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and all(x in vocabulary for x in letters) and not any(letters[_BETWEEN] in x for x in vocabulary if len(x) > 1)
+        )
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([f"[{_ODD}]", *map(regex.escape, added)]))
+        self.whole_re2 = "|".join([f"[{_ODD}]", *map(re.escape, added)])
+        self.letters = np.array([ord(x) for x in letters], "<u4")
+        if self.quick:
+            self.model = Tokenizer(self.tokenizer.model)  # the model alone, for what is cut already
+            self.between = vocabulary[letters[_BETWEEN]]
         self.keep, self.known, self.old = keep, {}, {}
 
-    def _whole(self, text: str) -> bytes:
+    def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian uint32 ids."""
-        if not self.quick or any(t in text for t in self.added) or (not text.isprintable() and any(x in text for x in _ODD)):
-            return self._whole(text)
-        if "  " in text or " \n" in text or " \t" in text or text.endswith(" "):
-            pieces = _CUT.split(text)
-        else:
-            pieces = text.split(" ")
-            pieces[1:] = [" " + x for x in pieces[1:]]
+        """Little-endian uint32 ids of one text."""
+        return self.column(pa.array([text]))[0].tobytes()
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other, number of ids of each); a null is an empty text."""
+        data, offsets = buffers(texts)
+        if not self.quick:
+            parts = [np.frombuffer(self._library(x or ""), "<u4") for x in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *parts]), np.array([len(x) for x in parts], np.int64)
+        whole = np.flatnonzero(pc.match_substring_regex(texts.cast(pa.large_string()), self.whole_re2).fill_null(False).to_numpy(zero_copy_only=False))
+        ids, counts = [], []
+        for lo, hi in spans(offsets):
+            part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            some, per = self._span(part, at, whole[(whole >= lo) & (whole < hi)] - lo)
+            ids.append(some)
+            counts.append(per)
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.concatenate([np.empty(0, np.int64), *counts])
+
+    def _span(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places = _cuts(data, offsets, whole)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        which, found = coded.indices.to_numpy(), self._pieces(coded.dictionary.to_pylist())
+        size = np.array([len(x) >> 2 for x in found], np.int64)
+        start = np.cumsum(size) - size
+        own = size[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(start[which] - ends[:-1], own)]
+        return ids, np.diff(ends[np.searchsorted(places, offsets)])
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces."""
         out = list(map(self.known.get, pieces))
-        if None in out:
-            return b"".join([self._piece(x) if got is None else got for x, got in zip(pieces, out, strict=True)])
-        return b"".join(out)
-
-    def _piece(self, text: str) -> bytes:
-        got = self.known.get(text)
-        if got is not None:
-            return got
-        got = self.old.get(text)
-        if got is None:
-            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and (text.isascii() or max(text) <= "\u024f"):
-                got = self._token(text)
-            elif text[-1:] in (",", ".") and text[1:-1].isalpha() and text[0] == " ":
-                return self._piece(text[:-1]) + self._piece(text[-1])
+        new = [k for k, x in enumerate(out) if x is None]
+        if not new:
+            return out
+        split, want = {}, []
+        for k in new:
+            piece = pieces[k]
+            got = self.old.get(piece)
+            if got is not None:
+                out[k] = got
+            elif _single(piece):
+                want.append(piece)
             else:
-                return self._new(text)
-        if len(text) <= 64:
-            if len(self.known) >= self.keep:
-                self.known, self.old = {}, self.known
-            self.known[text] = got
-        return got
-
-    def _token(self, text: str) -> bytes:
-        letters = self.letters
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in text.encode()]))]).tobytes()
-
-    def _new(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not text.isascii() and max(text) > "\u024f":
-            return self._whole(text)
-        parts = _SPLIT.findall(text)
-        return b"".join([self._pre_token(x) for x in parts])
-
-    def _pre_token(self, text: str) -> bytes:
-        got = self.known.get(text)
-        if got is None:
-            got = self.old.get(text) or self._token(text)
-            if len(text) <= 64:
-                if len(self.known) >= self.keep:
-                    self.known, self.old = {}, self.known
-                self.known[text] = got
-        return got
+                text = piece.decode("utf-8", "replace")
+                if self.whole.search(text) or (not text.isascii() and max(text) > "\u024f"):
+                    out[k] = self._library(text)
+                else:
+                    split[k] = [x.encode() for x in _SPLIT.findall(text)]
+        more = {x for parts in split.values() for x in parts}
+        done = {x: got for x in more if (got := self.known.get(x)) is not None}
+        fresh = [*want, *(more - done.keys() - set(want))]
+        done |= zip(fresh, self._pre_tokens(fresh), strict=True)
+        for k in new:
+            if out[k] is None:
+                parts = split.get(k)
+                out[k] = done[pieces[k]] if parts is None else b"".join([done[x] for x in parts])
+        if len(self.known) + len(new) > self.keep:
+            self.known, self.old = {}, self.known
+        for x, got in done.items():
+            if len(x) <= 64:
+                self.known[x] = got
+        for k in new:
+            if len(pieces[k]) <= 64:
+                self.known[pieces[k]] = out[k]
+        return out
+
+    def _pre_tokens(self, tokens: list[bytes], at_once: int = 32) -> list[bytes]:
+        """Ids of pre-tokens, from the library's model."""
+        chunks = [bytes([_BETWEEN]).join(tokens[k : k + at_once]) for k in range(0, len(tokens), at_once)]
+        texts = [self.letters[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in chunks]
+        out: list[bytes] = []
+        for chunk in self.model.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(chunk.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
+        return out
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Places where the pre-tokenizer cuts for sure, but in the texts that are encoded whole, and where texts begin and end."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    space, line = data == 32, data == 10
+    blank = space | line | (data == 9)
+    kind = _CLASS[data]
+    free = np.ones(len(data), bool)  # the byte before and the byte after are no white space
+    free[1:] &= ~blank[:-1]
+    free[:-1] &= ~blank[1:]
+    free[0] = free[-1] = False
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    free[edge] = free[edge - 1] = False
+    cut = np.zeros(len(data) + 1, bool)
+    cut[:-1] = (space | line) & free
+    cut[1:] |= line & free
+    cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    for k in whole:
+        cut[offsets[k] : offsets[k + 1]] = False
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
+def _single(piece: bytes) -> bool:
+    """Whether a piece is one pre-token for sure."""
+    body = piece[1:] if piece[:1] == b" " else piece
+    if body.isalpha() or piece == b"\n":
+        return True
+    if piece.isascii():
+        return len(body) > 0 and b"'" not in body and len(set(_CLASS[list(body)])) == 1 and _CLASS[body[0]] > 0
+    text = body.decode("utf-8", "replace")
+    return text.isalpha() and max(text) <= "\u024f"
 
 
 _encoders: dict[str, Encoder] = {}
@@ -200,11 +276,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mode: int
         from pyspark import TaskContext
 
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         seq, place, held, ids, lengths, parts = 0, 0, 0, [], [], []
 
         def segment():
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat = np.concatenate(parts)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([place], pa.int64()), pa.array([len(flat)], pa.int64()),
@@ -214,12 +290,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mode: int
             )
 
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                got = encoder.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")) + end
-                parts.append(got)
+            found, counts = encoder.column(batch.column(1))
+            ends = np.cumsum(counts)
+            for doc, a, b in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                parts += (found[a:b], end)
                 ids.append(doc)
-                lengths.append(len(got) // 4)
+                lengths.append(b - a + 1)
                 held += lengths[-1]
                 if held >= SEGMENT_IDS:
                     yield segment()
