@@ -5,18 +5,27 @@ character references) make a tree; a renderer gives its visible text:
 
 * not visible: head (but its stray text), script, style, template, noscript, iframe, object, svg, math,
   select lists, datalist, dialog without open, closed details but for their summary, ``hidden``,
-  ``aria-hidden=true``, ``type=hidden``, and ``display:none`` or ``visibility:hidden`` in a style attribute;
+  ``aria-hidden=true``, ``type=hidden``, and ``display:none`` or ``visibility:hidden`` in a style attribute or,
+  for a tag, class or id outside of at-rules, in a style element of the page;
 * white space collapses, but for pre and textarea; br breaks a line; hr is a line of dashes;
 * blocks stand on lines of their own; paragraphs, headings, lists, tables, pre and quotes have a blank line
   around; quotes are indented;
 * items have "- " or their number (start, value, reversed and type of ol are kept), nested by two spaces or
   the marker's width; dt and dd stand below each other, dd indented;
 * a table is one line a row (more, if cells have more lines), cells padded to their column's width and two
-  spaces apart, colspan and rowspan kept; a caption stands above; tables nested in cells are rendered within;
+  spaces apart, colspan (to 1000) and rowspan (to 65534) kept; a caption stands above; tables nested in cells
+  are rendered within;
 * img gives its alt text, input its value (buttons) or placeholder.
 
 Tags may be unclosed or crossed: an end tag closes up to its nearest open element, within the table cell or
-the page it stands in, and is ignored without one. Null pages give a null text, empty ones an empty text.
+the page it stands in, and is ignored without one. Null pages give a null text, empty ones an empty text; rows
+are rendered each on its own, so repeated rows, ties and null ids come out as they went in, and an empty table
+gives an empty one. Columns besides page_id and html are not read.
+
+Time and output are linear in the page: open elements are found by name, a quote or tag that never ends is
+text, and what is only layout is bounded, never text: lists, quotes and tables nested deeper than ``DEEP`` are
+plain blocks, and cells align up to ``WIDEST`` columns a cell and ``FARTHEST`` a line, beyond which they are two
+spaces apart.
 """
 
 from __future__ import annotations
@@ -24,11 +33,15 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import texts_of
+
 _S = lambda text: frozenset(text.split())
 # -- fixed values of the HTML standard ------------------------------------------------------------------------
 VOID = _S("area base br col embed hr img input link meta param source track wbr")
@@ -63,10 +76,15 @@ WALLS = _S("td th caption table html")
 #: Elements that may stand in head; others open body.
 IN_HEAD = _S("base basefont bgsound link meta noframes noscript script style template title head")
 # -------------------------------------------------------------------------------------------------------------
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*>)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Nested lists, quotes, tables and preformatted blocks that are laid out; columns that are padded to.
+DEEP, WIDEST, FARTHEST = 48, 240, 960
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_SHOWN = re.compile(r"display\s*:|visibility\s*:", re.I)
+_GAP, _KEY, _EQUALS, _BARE, _NAME = (re.compile(p) for p in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*", r"[^\s/>]+"))
+_REFERENCE = re.compile(r"&#([0-9]{8,}|[xX][0-9A-Fa-f]{7,});?")
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*)?(?:[.#][\w-]+)?")
+_bare: dict[str, str] = {}
 
 
 class Node:
@@ -78,54 +96,150 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
+def _unescape(text: str) -> str:
+    """Character references; numbers of any length are read, those beyond Unicode are U+FFFD."""
+    if "&" not in text:
+        return text
+
+    def short(m):
+        base, digits = (16, m[1][1:]) if m[1][0] in "xX" else (10, m[1])
+        digits = digits.lstrip("0")
+        return html.unescape(f"&#{int(digits or '0', base)};") if len(digits) < 8 else "\ufffd"
+
+    return html.unescape(_REFERENCE.sub(short, text))
+
+
+class _Scanner:
+    """Tags of a page, each looked at once; what never ends is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.dead = page, len(page), set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of a short string, or -1."""
+        if what in self.dead:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.dead.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int] | None:
+        """(attributes, place after the tag), or None where the page ends within it."""
+        page, out = self.page, _bare
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= self.size:
+                return None
+            if page[at] == ">":
+                return out, at + 1
+            key = _KEY.match(page, at)
+            at, value = key.end(), ""
+            equals = _EQUALS.match(page, at)
+            if equals:
+                at = equals.end()
+                quote = page[at : at + 1]
+                stop = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if stop >= 0:
+                    value, at = page[at + 1 : stop], stop + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0].strip("\"'"), bare.end()
+            if out is _bare:
+                out = {}
+            out.setdefault(key[0].lower(), _unescape(value))
+
+    def next(self, at: int):
+        """(start, stop, name, attributes): the next tag; name is None for comments, begins with / for end tags. None at the end."""
+        page = self.page
+        while True:
+            start = self.find("<", at)
+            if start < 0 or "tag" in self.dead:
+                return None
+            mark = page[start + 1 : start + 3]
+            if mark[:1].isascii() and mark[:1].isalpha() or (mark[:1] == "/" and mark[1:].isascii() and mark[1:].isalpha()):
+                name = _NAME.match(page, start + 1 + (mark[:1] == "/"))
+                got = self.attributes(name.end())
+                if got is None:
+                    self.dead.add("tag")
+                    return None
+                return start, got[1], ("/" if mark[:1] == "/" else "") + name[0].lower(), got[0]
+            if page.startswith("<!--", start):
+                stop = self.find("-->", start + 2)
+                return start, self.size if stop < 0 else stop + 3, None, _bare
+            if mark[:1] in ("!", "?", "/") and mark[:1]:
+                stop = self.find(">", start)
+                if stop >= 0:
+                    return start, stop + 1, None, _bare
+            at = start + 1
+
+
+def style_rules(css: str) -> dict[str, bool]:
+    """Whether a tag, class or id is hidden, for selectors of one of them (or tag.class, tag#id) outside of at-rules; the last wins."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+    out, depth, last, opened = {}, 0, 0, 0
+    for m in re.finditer(r"[{}]", css):
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                opened = m.end()
+                heads = css[last : m.start()].strip()
+            continue
+        depth = max(0, depth - 1)
+        if depth == 0:
+            body, last = css[opened : m.start()], m.end()
+            if opened and not heads.startswith("@") and _SHOWN.search(body):
+                for head in heads.split(","):
+                    if _SELECTOR.fullmatch(head.strip()) and head.strip():
+                        out[head.strip()] = bool(_NONE.search(body))
     return out
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; its root is named #root."""
+    """The tree of a page; its root is named #root, and its attributes are the style rules that hide."""
     root = Node("#root", {})
-    stack = [root]
-    at, n = 0, len(page)
+    stack, where, styles = [root], {}, []
+    scanner, at, n = _Scanner(page), 0, len(page)
+
+    def push(node):
+        stack[-1].children.append(node)
+        where.setdefault(node.name, []).append(len(stack))
+        stack.append(node)
+
+    def last(names):
+        return max((where[x][-1] for x in names if where.get(x)), default=0)
 
     def close(names, walls):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return True
-            if stack[k].name in walls:
-                return False
-        return False
+        k = last(names)
+        if not k or k < last(walls):
+            return False
+        while len(stack) > k:
+            where[stack.pop().name].pop()
+        return True
 
     while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            text = html.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
+        tag = scanner.next(at)
+        start, stop, name, attrs = tag or (n, n, None, _bare)
+        if start > at:
+            text = _unescape(page[at:start])
             if stack[-1].name == "head" and text.strip():
                 close(("head",), ())
             stack[-1].children.append(text)
-        if not m:
-            break
-        at = m.end()
-        name = m["name"]
+        at = stop
         if name is None:
             continue
-        name = name.lower()
-        if m["end"]:
+        if name[0] == "/":
+            name = name[1:]
             if name == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
+                stack[-1].children.append(Node("br", _bare))
+            elif name == "p" and not where.get("p"):
+                stack[-1].children.append(Node("p", _bare))
             else:
                 close((name,), WALLS if name not in WALLS and name not in ("tr", "tbody", "thead", "tfoot", "body") else ("table",) if name in ("td", "th", "tr", "caption", "tbody", "thead", "tfoot") else ())
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
             close(("head",), ())
-        if name in ("html", "body") and any(x.name == name for x in stack):
+        if name in ("html", "body", "form") and where.get(name):
             continue
         if name in ENDS_P:
             close(("p",), ("td", "th", "table", "caption", "button", "object"))
@@ -133,32 +247,45 @@ def parse(page: str) -> Node:
         if rule:
             while close(*rule) and name not in ("li", "option"):
                 pass
-        if name in ("td", "th") and next(x.name for x in reversed(stack) if x.name != "form") in ("tbody", "thead", "tfoot"):
-            row = Node("tr", {})
-            stack[-1].children.append(row)
-            stack.append(row)
-        attrs = _attributes(m["attrs"]) if m["attrs"].strip(" /\t\n\r") else {}
+        if name in ("td", "th") and stack[-1 - (stack[-1].name == "form" and len(stack) > 1)].name in ("tbody", "thead", "tfoot"):
+            push(Node("tr", _bare))
         node = Node(name, attrs)
-        stack[-1].children.append(node)
         if name in VOID:
-            continue
-        if name in RAW:
+            stack[-1].children.append(node)
+        elif name in RAW:
+            stack[-1].children.append(node)
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else n]
-            node.children.append(html.unescape(text) if name in ("textarea", "title") else text)
+            node.children.append(_unescape(text) if name in ("textarea", "title") else text)
+            if name == "style":
+                styles.append(text)
             at = end.end() if end else n
-            continue
-        stack.append(node)
+        else:
+            push(node)
+    root.attrs = style_rules("\n".join(styles)) if any("none" in x.lower() or "hidden" in x.lower() or "collapse" in x.lower() for x in styles) else _bare
     return root
 
 
-def visible(node: Node) -> bool:
+def _by_rules(name: str, a: dict[str, str], rules: dict[str, bool]) -> bool:
+    """Whether style rules hide an element: of those that name it the most specific one decides, id before class before tag."""
+    marks = ["#" + a["id"]] if "id" in a else [], [f".{x}" for x in a.get("class", "").split()]
+    for own in marks:
+        for heads in ([name + x for x in own], own):
+            said = [rules[x] for x in heads if x in rules]
+            if said:
+                return said[-1]
+    return rules.get(name, False)
+
+
+def visible(node: Node, rules: dict[str, bool] = _bare) -> bool:
     a = node.attrs
     if node.name in HIDDEN or (node.name == "dialog" and "open" not in a):
         return False
-    if not a:
-        return True
-    return not ("hidden" in a or a.get("aria-hidden") == "true" or (node.name == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and _NONE.search(a["style"])))
+    if a and ("hidden" in a or a.get("aria-hidden") == "true" or (node.name == "input" and a.get("type", "").lower() == "hidden")):
+        return False
+    if a and "style" in a and _SHOWN.search(a["style"]):
+        return not _NONE.search(a["style"])
+    return not (rules and _by_rules(node.name, a, rules))
 
 
 def _width(text: str) -> int:
@@ -174,6 +301,7 @@ class _Flow:
         self.line: list[str] = []
         self.gap = False
         self.space = False
+        self.item = False  # lists within an item follow its text without a blank line
 
     def text(self, text: str, keep: bool = False) -> None:
         if keep:
@@ -223,12 +351,12 @@ class _Flow:
 
     def done(self) -> list[str]:
         self.end()
-        lines = self.lines
-        while lines and not lines[0]:
-            lines = lines[1:]
-        while lines and not lines[-1]:
-            lines = lines[:-1]
-        return lines
+        first, last = 0, len(self.lines)
+        while first < last and not self.lines[first]:
+            first += 1
+        while first < last and not self.lines[last - 1]:
+            last -= 1
+        return self.lines[first:last]
 
 
 def _number(n: int, kind: str) -> str:
@@ -252,14 +380,14 @@ def _int(text: str | None, other: int) -> int:
     return int(m[1]) if m else other
 
 
-def render(node: Node, pre: bool = False) -> list[str]:
-    """The lines of a node's content."""
+def render(node: Node, rules: dict[str, bool] = _bare, deep: int = 0, pre: bool = False) -> list[str]:
+    """The lines of a node's content, which stands in ``deep`` lists, quotes or tables."""
     flow = _Flow()
-    _into(flow, node, pre)
+    _into(flow, node, rules, deep, pre)
     return flow.done()
 
 
-def _into(flow: _Flow, node: Node, pre: bool) -> None:
+def _into(flow: _Flow, node: Node, rules: dict[str, bool], deep: int, pre: bool) -> None:
     # nested inline and plain block elements share the flow, so the walk keeps its own stack
     todo: list = [(child, pre) for child in reversed(node.children)]
     if node.name == "details" and "open" not in node.attrs:
@@ -273,9 +401,12 @@ def _into(flow: _Flow, node: Node, pre: bool) -> None:
             flow.end()
             flow.gap = flow.gap or x[0]
             continue
-        if not visible(x):
+        if not visible(x, rules):
             continue
         name = x.name
+        if deep >= DEEP and name in ("li", "td", "th"):
+            flow.end()
+        laid = deep < DEEP
         if name == "br":
             flow.end(True)
         elif name == "hr":
@@ -289,17 +420,14 @@ def _into(flow: _Flow, node: Node, pre: bool) -> None:
             shown = shown or x.attrs.get("placeholder") if kind not in ("checkbox", "radio", "range", "color", "file", "image") else None
             if shown:
                 flow.text(_SPACE.sub(" ", shown))
-        elif name == "table":
-            flow.block(_table(x), True)
-        elif name in ("ul", "ol", "menu"):
-            flow.block(_list(x), not _in_item(x, flow))
-        elif name == "blockquote":
-            flow.block(["  " + y if y else y for y in render(x)], True)
-        elif name == "dd":
-            flow.block(["  " + y if y else y for y in render(x)], False)
-        elif name in ("pre", "textarea", "xmp", "listing"):
-            lines = render(x, True)
-            flow.block(lines, name != "textarea")
+        elif name == "table" and laid:
+            flow.block(_table(x, rules, deep + 1), True)
+        elif name in ("ul", "ol", "menu") and laid:
+            flow.block(_list(x, rules, deep + 1), not flow.item)
+        elif name in ("blockquote", "dd") and laid:
+            flow.block(["  " + y if y else y for y in render(x, rules, deep + 1)], name == "blockquote")
+        elif name in ("pre", "textarea", "xmp", "listing") and laid:
+            flow.block(render(x, rules, deep + 1, True), name != "textarea")
         elif name in BLOCK:
             spaced = name in SPACED
             flow.end()
@@ -317,21 +445,16 @@ def _into(flow: _Flow, node: Node, pre: bool) -> None:
             todo.extend((c, keep) for c in reversed(x.children))
 
 
-def _in_item(node: Node, flow: _Flow) -> bool:
-    """Lists within an item follow its text without a blank line."""
-    return getattr(flow, "item", False)
-
-
-def _list(node: Node) -> list[str]:
+def _list(node: Node, rules: dict[str, bool], deep: int) -> list[str]:
     items: list[Node] = []
     for c in node.children:
-        if isinstance(c, Node) and not visible(c):
+        if isinstance(c, Node) and not visible(c, rules):
             continue
         if isinstance(c, Node) and c.name == "li":
             items.append(c)
             continue
         if not items or items[-1].name == "li":  # stray content, text or most often a list
-            items.append(Node("#stray", {}))
+            items.append(Node("#stray", _bare))
         items[-1].children.append(c)
     ordered, back = node.name == "ol", "reversed" in node.attrs
     n = _int(node.attrs.get("start"), sum(c.name == "li" for c in items) if back else 1)
@@ -340,53 +463,53 @@ def _list(node: Node) -> list[str]:
         flow = _Flow()
         flow.item = True
         if c.name != "li":
-            _into(flow, c, False)
+            _into(flow, c, rules, deep, False)
             out += ["  " + y if y else y for y in flow.done()]
             continue
         if ordered:
             n = _int(c.attrs.get("value"), n)
         mark = f"{_number(n, c.attrs.get('type', node.attrs.get('type', '1')))}. " if ordered else "- "
         n += -1 if back else 1
-        _into(flow, c, False)
+        _into(flow, c, rules, deep, False)
         lines = flow.done() or [""]
         out.append((mark + lines[0]).rstrip())
         out += [" " * len(mark) + y if y else y for y in lines[1:]]
     return out
 
 
-def _parts(node: Node):
+def _parts(node: Node, rules: dict[str, bool]):
     """Children of a part of a table, with those of a form in its place; blank strings are left out."""
     todo = list(reversed(node.children))
     while todo:
         c = todo.pop()
-        if isinstance(c, Node) and c.name == "form" and visible(c):
+        if isinstance(c, Node) and c.name == "form" and visible(c, rules):
             todo.extend(reversed(c.children))
-        elif visible(c) if isinstance(c, Node) else c.strip():
+        elif visible(c, rules) if isinstance(c, Node) else c.strip():
             yield c
 
 
-def _rows(node: Node) -> tuple[list[Node], list[list[Node]], list[Node]]:
+def _rows(node: Node, rules: dict[str, bool]) -> tuple[list[Node], list[list[Node]], list[Node]]:
     """(captions, rows of cells, other content); head rows first, foot rows last."""
     captions, others = [], []
     groups: dict[str, list[list[Node]]] = {"thead": [], "tbody": [], "tfoot": []}
 
     def loose(parts: list) -> None:
         if parts:
-            wrap = Node("div", {})
+            wrap = Node("div", _bare)
             wrap.children = parts
             others.append(wrap)
 
     def walk(part: Node, group: str) -> None:
         stray: list = []
-        for c in _parts(part):
+        for c in _parts(part, rules):
             name = c.name if isinstance(c, Node) else ""
             if name == "caption":
                 captions.append(c)
-            elif name in groups:
+            elif name in groups and part is node:  # none stands in another
                 walk(c, name)
             elif name == "tr":
                 cells, rest = [], []
-                for x in _parts(c):
+                for x in _parts(c, rules):
                     (cells if isinstance(x, Node) and x.name in ("td", "th") else rest).append(x)
                 groups[group].append(cells)
                 loose(rest)
@@ -402,73 +525,78 @@ def _rows(node: Node) -> tuple[list[Node], list[list[Node]], list[Node]]:
     return captions, groups["thead"] + groups["tbody"] + groups["tfoot"], others
 
 
-def _table(node: Node) -> list[str]:
-    captions, rows, others = _rows(node)
+def _table(node: Node, rules: dict[str, bool], deep: int) -> list[str]:
+    captions, rows, others = _rows(node, rules)
     out: list[str] = []
     for c in [*others, *captions]:
-        out += render(c)
-    grid: list[list[tuple[list[str], int] | None]] = []
-    busy: dict[int, int] = {}
-    for cells in rows:
-        line: list[tuple[list[str], int] | None] = []
-        at = 0
+        out += render(c, rules, deep)
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    taken: list[tuple[int, int, int]] = []  # columns [from, to) that cells above take, and their last row
+    for r, cells in enumerate(rows):
+        line, down_from_here, at, k = [], [], 0, 0
         for c in cells:
-            while busy.get(at, 0) > 0:
-                line.append(None)
-                at += 1
-            span = min(max(1, _int(c.attrs.get("colspan"), 1)), 100)
-            down = min(max(1, _int(c.attrs.get("rowspan"), 1)), 1000)
-            line.append((render(c), span))
-            line += [None] * (span - 1)
-            for k in range(span):
-                busy[at + k] = max(busy.get(at + k, 0), down)
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
+            span = min(max(1, _int(c.attrs.get("colspan"), 1)), 1000)
+            down = min(max(1, _int(c.attrs.get("rowspan"), 1)), 65534)
+            line.append((at, span, render(c, rules, deep)))
+            if down > 1:
+                from_ = at
+                if down_from_here and down_from_here[-1][1:] == (at, r + down - 1):
+                    from_ = down_from_here.pop()[0]
+                down_from_here.append((from_, at + span, r + down - 1))
             at += span
         grid.append(line)
-        busy = {k: v - 1 for k, v in busy.items() if v > 1}
+        if down_from_here or any(x[2] == r for x in taken):
+            taken = sorted(x for x in [*taken, *down_from_here] if x[2] > r)
+    starts = _column_starts(grid)
+    for line in grid:
+        shown: dict[int, tuple[list[str], int]] = {}
+        for at, _, lines in line:
+            for y, text in enumerate(lines):
+                if text:
+                    parts, width = shown.get(y) or ([], 0)
+                    pad = starts[at] - width if width < starts[at] <= FARTHEST else 0
+                    pad = max(pad, 2) if parts else pad
+                    parts += (" " * pad, text)
+                    shown[y] = parts, width + pad + _width(text)
+        if shown:
+            out += ["".join(shown[y][0]).rstrip() if y in shown else "" for y in range(max(shown) + 1)]
+    return out
+
+
+def _column_starts(grid: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """Where each column begins in which some cell does: two spaces after the widest cell of the one before."""
     widths: dict[int, int] = {}
     for line in grid:
-        for k, cell in enumerate(line):
-            if cell and cell[1] == 1:
-                widths[k] = max([widths.get(k, 0), *map(_width, cell[0])])
+        for at, span, lines in line:
+            own = min(WIDEST, max([0, *map(_width, lines)])) if span == 1 else 0
+            widths[at] = max(widths.get(at, 0), own)
+    columns = sorted(widths)
     for line in grid:
-        for k, cell in enumerate(line):
-            if cell and cell[1] > 1:  # a wide cell widens its last column if it has to
-                have = sum(widths.get(k + i, 0) for i in range(cell[1])) + 2 * (cell[1] - 1)
-                more = max([0, *map(_width, cell[0])]) - have
+        for at, span, lines in line:
+            if span > 1:  # a wide cell widens its last column if it has to
+                own = columns[bisect_left(columns, at) : bisect_left(columns, at + span)]
+                more = min(WIDEST, max([0, *map(_width, lines)])) - sum(widths[k] for k in own) - 2 * (len(own) - 1)
                 if more > 0:
-                    widths[k + cell[1] - 1] = widths.get(k + cell[1] - 1, 0) + more
-    for line in grid:
-        tall = max([1, *(len(c[0]) for c in line if c)])
-        if not any(c and c[0] for c in line):
-            continue
-        for y in range(tall):
-            text, column = "", 0
-            for k, cell in enumerate(line):
-                if cell is None:
-                    column += widths.get(k, 0) + 2
-                    continue
-                if cell[0][y : y + 1]:
-                    text += " " * (column - _width(text)) + cell[0][y]
-                column += widths.get(k, 0) + 2
-            out.append(text.rstrip())
-    return out
+                    widths[own[-1]] += more
+    return dict(zip(columns, accumulate((widths[k] + 2 for k in columns), initial=0), strict=False))
 
 
 def page_text(page: str | None) -> str | None:
     """The visible text of a page."""
     if page is None:
         return None
-    return "\n".join(render(parse(page)))
+    root = parse(page)
+    return "\n".join(render(root, root.attrs))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text) of every row of (page_id, html)."""
 
     def run(batches):
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_text(x) for x in batch.column(1).to_pylist()], pa.string())], ["page_id", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    return texts_of(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
