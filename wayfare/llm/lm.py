@@ -65,7 +65,7 @@ class CharModel:
         self.index = {c: i + 2 for i, c in enumerate(ALPHABET)}
 
     def symbol(self, c: str) -> int:
-        return self.index.get(c, 0 if c == " " else 1)
+        return self.index.get(c, int(_LOOKUP[min(ord(c), 0xFFFF)]))
 
     def score(self, word: str) -> float:
         a = b = 0

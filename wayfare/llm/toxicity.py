@@ -1,12 +1,13 @@
 """Toxicity with noisy-channel deobfuscation.
 
 Spans of text that look written to hide a word are found by pattern: words with digits or symbols for
-letters, single letters kept apart by spaces or marks, and letters repeated three times or more. Each
-becomes a lattice with the letters that a character may stand for, repetition as one or two of a letter, and
-separators dropped or left as spaces between words; Viterbi decoding under a character trigram model of the corpus and channel costs picks
-the text that was meant. Text outside such spans has a lattice of one path and stays.
+letters, single letters of any script kept apart by spaces or marks, and letters repeated three times or more.
+Each becomes a lattice with the letters that a character may stand for (or, at a cost, itself), repetition as
+one or two of a letter, and separators dropped or left as spaces between words; Viterbi decoding under a
+character trigram model of the corpus and channel costs picks the text that was meant. Text outside such spans
+has a lattice of one path and stays. Finding and decoding are linear in the text, whatever stands in it.
 
-The restored text, and the original beside it, are scored by a model on word and word-prefix features,
+The restored spans, beside the whole original text, are scored by a model on word and word-prefix features,
 A-Z lower-cased: features that occur in ``MIN_DOCS`` training texts or more and whose share among toxic texts
 is beyond doubt (z > ``MIN_Z``) have weights, and a logistic curve maps the two largest weights and the
 bounded sum of a text to a score.
@@ -15,7 +16,9 @@ The character model counts every text. The classifier is fitted on at most ``FIT
 least by a hash of doc_id; at most ``FEATURES`` features are kept, those of the highest z.
 
 Null, empty and blank texts get the score of a text without features. Repeated rows are scored alike, rows
-of a null doc_id are scored and never trained on.
+of a null doc_id are scored and never trained on; ties among features go by their hash. An empty table gives
+an empty one, and without labels all scores are those of an even prior. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,13 +48,16 @@ _SYM = re.escape("".join(LEET))
 _L = r"[^\W\d_]"
 #: Separators that keep single letters apart.
 _SEP = r"[ ._\-*~'/|]"
+#: No branch goes back over what it took, and none starts within a word: matching is linear.
 _FIND = re.compile(
-    rf"(?<![^\W_])(?:{_L}|[0134578@$!])(?:{_SEP}{{1,2}}(?:{_L}|[0134578@$!])(?![^\W_])){{2,}}"  # s t u p i d
-    rf"|[@$0-9]?{_L}+(?:[{_SYM}]+{_L}+)+[0-9$@]?(?![{_SYM}])|(?<![^\W_])[@$0134578!]+{_L}{{2,}}(?:[{_SYM}]+{_L}+)*|{_L}{{3,}}[0134578$@](?![\w$@])"  # 1d10t, $tupid
-    rf"|\w*([A-Za-z])\1{{2,}}\w*",  # stuuupid
+    rf"(?<![^\W_])(?:{_L}|[0134578@$!])(?:{_SEP}{{1,2}}(?:{_L}|[0134578@$!])(?![^\W_])){{2,}}+"  # s t u p i d
+    rf"|(?<!{_L})[@$0-9]?{_L}++(?:[{_SYM}]++{_L}++)++[0-9$@]*+"  # 1d10t
+    rf"|(?<![^\W_])(?<![@$!])[@$0134578!]++{_L}{{2,}}+(?:[{_SYM}]++{_L}++)*+[0-9$@]*+"  # $tupid
+    rf"|(?<!{_L}){_L}(?:{_L}++[0134578$@]++|[0134578$@]{{2,}}+)(?![\w$@])",  # dumba55
     re.IGNORECASE,
 )
-CHANNEL, DROP = -1.0, -0.5
+_TRIPLE, _WORD = re.compile(rf"({_L})\1{{2,}}", re.IGNORECASE), re.compile(r"\w+")  # stuuupid
+CHANNEL, DROP, KEEP = -1.0, -0.5, -6.0
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
@@ -79,7 +85,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
                 options += [(x + x, CHANNEL) for x in LEET[c] if run == 2] + [("", DROP - 2.0)]
             elif c in "*.-_~#%&":
                 options.append(("", DROP - 1.0))
-            out.append(options or [("", DROP)])
+            out.append([*(options or [("", DROP)]), (c * run, KEEP * run)])
             at += run
     return out
 
@@ -126,14 +132,21 @@ class Restorer:
 
     def __call__(self, text: str) -> tuple[str, str]:
         """(restored text, the restored spans alone)."""
-        done: list[str] = []
-
-        def one(match):
-            got = self.span(match)
-            done.append(got)
-            return got
-
-        return _FIND.sub(one, text), " ".join(done)
+        found = list(_FIND.finditer(text))
+        if _TRIPLE.search(text):
+            taken, more, k = [m.span() for m in found], [], 0
+            for m in _WORD.finditer(text):
+                while k < len(taken) and taken[k][1] <= m.start():
+                    k += 1
+                if (k == len(taken) or taken[k][0] >= m.end()) and _TRIPLE.search(m[0]):
+                    more.append(m)
+            found = sorted(found + more, key=lambda m: m.start())
+        done, parts, at = [], [], 0
+        for m in found:
+            done.append(self.span(m))
+            parts += (text[at : m.start()], done[-1])
+            at = m.end()
+        return "".join([*parts, text[at:]]), " ".join(done)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +161,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _ASCII_LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
+_ALONE = np.array([b < 0x80 and (chr(b).isalnum() or chr(b) in "@$!") for b in range(256)])
 _ANY_SYM = np.array([chr(b) in LEET for b in range(256)])
 _END_SYM = np.array([chr(b) in "0134578$@" for b in range(256)])
 _SPACE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
@@ -156,26 +170,37 @@ REACH = 48
 
 
 def suspicious(data: np.ndarray) -> np.ndarray:
-    """Places where a hidden word may be: a quick test on bytes that every span of ``_FIND`` over ASCII passes.
+    """Places where a hidden word may be: a quick test on bytes that every span passes.
 
-    These are symbols before letters, letters before a last digit or symbol, three equal letters in a row,
-    and single letters or digits one or two bytes apart.
+    These are symbols before or after letters, three equal letters in a row, and single letters or digits,
+    of one to three bytes, that are one or two bytes apart.
     """
     n = len(data)
-    pad = np.full(n + 6, 32, np.uint8)
-    pad[2 : n + 2] = data
-    letter, sym = LETTERS[pad], _ANY_SYM[pad]
-    at = slice(2, n + 2)
-    after, before = letter[3 : n + 3], letter[1 : n + 1]
-    hit = sym[at] & after
-    hit |= _END_SYM[pad[at]] & before & _SPACE[pad[3 : n + 3]]
+    pad = np.full(n + 16, 32, np.uint8)
+    pad[8 : n + 8] = data
+    letter = LETTERS[pad]
+
+    def at(k: int, of: np.ndarray) -> np.ndarray:
+        return of[8 + k : n + 8 + k]
+
+    hit = at(0, _ANY_SYM[pad]) & at(1, letter)
+    hit |= at(0, _END_SYM[pad]) & at(-1, letter)
     low = pad | 0x20
-    ascii_ = _ASCII_LETTER[pad]
-    hit |= ascii_[at] & (low[at] == low[3 : n + 3]) & (low[at] == low[4 : n + 4])
-    word = ascii_ | ((pad >= 0x30) & (pad <= 0x39)) | (pad == 0x40) | (pad == 0x24) | (pad == 0x21)
-    alone = word & ascii_
-    alone[1:-1] = word[1:-1] & ~(letter[:-2] | letter[2:])
-    hit |= alone[at] & (alone[4 : n + 4] | np.concatenate([alone[5 : n + 5], np.zeros(max(0, n - len(alone[5 : n + 5])), bool)]))
+    hit |= at(0, _ASCII_LETTER[pad]) & (at(0, low) == at(1, low)) & (at(0, low) == at(2, low))
+    start = _ALONE[pad]
+    start[1:-1] &= ~(letter[:-2] | letter[2:])
+    end = np.roll(start, 1)
+    if (data >= 0xC3).any():
+        for size, first, last in ((2, 0xC3, 0xDF), (3, 0xE0, 0xEF)):
+            lead = (pad >= first) & (pad <= last)
+            same = at(0, lead)
+            for k in range(size):
+                same = same & (at(k, pad) == at(k + size, pad)) & (at(k, pad) == at(k + 2 * size, pad))
+            hit |= same
+            alone = lead & ~np.roll(letter, 1) & ~np.roll(letter, -size)
+            start = start | alone
+            end = end | np.roll(alone, size)
+    hit |= at(0, start) & (at(-1, end) | at(-2, end))
     return np.flatnonzero(hit)
 
 
