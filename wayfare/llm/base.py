@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and the master is local, as in tests, a temporary folder is made and set.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         conf = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -29,7 +31,11 @@ BATCH_ROWS = 1000
 
 
 def texts_of(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches bounded to BATCH_ROWS; for what goes through Python with its texts."""
+    """df, with the session's Arrow batches bounded to BATCH_ROWS; for what goes through Python with its texts.
+
+    Spark reads this setting when a query runs, so it has to stay lowered after the operator returned; one that
+    is lower already is left alone, and no result depends on it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
@@ -92,6 +98,18 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 SALT = 16
 
 
+def beside(big: DataFrame, small: DataFrame, key: str, rows: int, by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, ``rows`` in all, and only numbers or digests.
+
+    A small side of a checked size is broadcast; beyond that each key's rows of ``big`` are dealt by ``by``
+    over ``SALT`` parts, so that a key with a third of all rows is no one task's work.
+    """
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    salted = small.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return big.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(salted, [key, "_s"], how).drop("_s")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) long pairs; component is the least node.
 
@@ -104,12 +122,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    def beside(pairs: DataFrame, low: DataFrame, rows: int) -> DataFrame:
-        if rows <= BROADCAST_ROWS:
-            return pairs.join(F.broadcast(low), "u")
-        salted = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        return pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "s"]).drop("s")
-
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -120,10 +132,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # large-star: the larger neighbours of u point to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
         low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = beside(both, low, nodes).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = beside(both, low, "u", nodes, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: u and its smaller neighbours point to the least of them
         low = least(large)
-        small = beside(large, low, nodes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
+        small = beside(large, low, "u", nodes, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         now = stash(small, name)
         then = state(now)
         if then == was:
