@@ -5,11 +5,14 @@ their words with one space around each. Every window of ``n`` consecutive words
 item if it is shorter, is one key of the automaton. A document is scanned once; every occurrence marks its
 words, which are mapped back to offsets in the original text.
 
-The items are put into the tasks only as far as their size is checked: items beyond ``chunk_bytes`` make
-further automata, each of which scans the documents in a pass of its own, and the passes are merged.
+The items are put into the tasks only as far as their size is checked: items beyond ``chunk_bytes`` of UTF-8
+make further automata, each of which scans the documents in a pass of its own that adds to what the passes
+before found; rows never leave their partition. The items, not the documents, go through the driver.
 
 Null and empty texts have no words and no hits; items that are null, have no word, or have a null id are
-ignored; repeated ids count once.
+ignored; repeated ids count once, repeated documents each. Items that tie in a window are all found. Empty tables
+give no rows or no hits. Of documents only doc_id and text are read by ``matches``, so other columns may have any
+name; ``clean_documents`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -73,28 +76,35 @@ def scan(found, n_windows: int, text: bytes) -> tuple[int, list[tuple[int, int]]
         return len(w), [], items
     gaps = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
     last = np.searchsorted(gaps, [at for at, _ in ends])  # the space at the end of word k is gap k + 1
-    ranges: list[tuple[int, int]] = []
-    for lo, hi in sorted(zip((last - [s for _, s in ends]).tolist(), last.tolist(), strict=True)):
-        if ranges and lo <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(hi, ranges[-1][1]))
+    return len(w), union(zip((last - [s for _, s in ends]).tolist(), last.tolist(), strict=True)), items
+
+
+def union(ranges) -> list[tuple[int, int]]:
+    """Ranges in order, those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
-            ranges.append((lo, hi))
-    return len(w), ranges, items
+            out.append((lo, hi))
+    return out
 
 
 def _chunks(items: DataFrame, chunk_bytes: int) -> list[list[tuple[int, str]]]:
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text")
     out, held = [[]], 0
     for item, text in rows.toLocalIterator():
-        if held and held + len(text) > chunk_bytes:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        if held and held + size > chunk_bytes:
             out.append([])
             held = 0
         out[-1].append((item, text))
-        held += len(text)
+        held += size
     return out
 
 
-_SCHEMA = "n_words long, ranges array<struct<first:long,last:long>>, item_ids array<long>"
+_RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -106,48 +116,38 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes: int = C
     source = texts_of(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    def scanner(part):
+    def scanner(part, last):
         def run(batches):
             found, count = _cached(part, n)
             for batch in batches:
-                data, offsets = buffers(batch.column(2))
+                data, offsets = buffers(batch.column(1))
                 raw = data.tobytes()
-                sizes, ids, spans = [], [], []
-                ranges_of = []
+                before = batch.slice(0, 0) if batch.num_columns == 2 else batch
+                ranges_before, ids_before = (before.column(k).to_pylist() if before.num_rows else [[]] * batch.num_rows for k in (-2, -1))
+                sizes, ids, ranges_of, spans_of = [], [], [], []
                 for i in range(batch.num_rows):
                     text = raw[offsets[i] : offsets[i + 1]]
                     size, ranges, items = scan(found, count, text)
-                    places = []
-                    if ranges:
-                        w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM, hashed=False)
-                        places = [{"start": int(w.start[a]), "stop": int(w.end[b - 1])} for a, b in ranges]
+                    ranges = union([(x["first"], x["last"]) for x in ranges_before[i]] + ranges) if ranges_before[i] else ranges
                     sizes.append(size)
-                    ids.append(list(items))
+                    ids.append([*ids_before[i], *items.difference(ids_before[i])])
                     ranges_of.append([{"first": a, "last": b} for a, b in ranges])
-                    spans.append(places)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ranges_of, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    ],
-                    ["row", "doc_id", "n_words", "ranges", "item_ids", "spans"],
-                )
+                    if last:
+                        w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM, hashed=False) if ranges else None
+                        spans_of.append([{"start": int(w.start[a]), "stop": int(w.end[b - 1])} for a, b in ranges])
+                more = [pa.array(sizes, pa.int64()), pa.array(spans_of, _SPANS)] if last else [batch.column(1)]
+                names = ["n_words", "spans"] if last else ["text"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *more, pa.array(ranges_of, _RANGES), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", *names, "ranges", "item_ids"])
 
         return run
 
-    parts = _chunks(items, chunk_bytes)
-    numbered = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    passes = [numbered.mapInArrow(scanner(p), f"row long, doc_id {kind}, {_SCHEMA}, spans array<struct<start:long,stop:long>>") for p in parts]
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.union(more)
-        out = out.groupBy("row").agg(
-            F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans")
-        )
-        out = out.withColumn("ranges", _merged("ranges", "first", "last")).withColumn("spans", _merged("spans", "start", "stop"))
+    parts, out = _chunks(items, chunk_bytes), source
+    for k, part in enumerate(parts):
+        last = k + 1 == len(parts)
+        own = "n_words long, spans array<struct<start:long,stop:long>>" if last else "text string"
+        out = out.mapInArrow(scanner(part, last), f"doc_id {kind}, {own}, ranges array<struct<first:long,last:long>>, item_ids array<long>")
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"])
-    ids = F.array_sort(F.array_distinct("item_ids"), lambda x, y: F.when(x.cast("string") < y.cast("string"), -1).when(x.cast("string") > y.cast("string"), 1).otherwise(0))
+    ids = F.array_sort("item_ids", lambda x, y: F.when(x.cast("string") < y.cast("string"), -1).when(x.cast("string") > y.cast("string"), 1).otherwise(0))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), ids.alias("item_ids"), "spans")
 
 
@@ -168,11 +168,3 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, chunk_bytes:
     for part in _chunks(items, chunk_bytes):
         docs = texts_of(docs).mapInArrow(without(part), docs.schema)
     return docs
-
-
-def _merged(name: str, lo: str, hi: str):
-    """Union of ranges in an array column."""
-    return F.expr(f"""aggregate(array_sort({name}), cast(array() as array<struct<{lo}:bigint,{hi}:bigint>>), (done, x) ->
-      case when size(done) > 0 and x.{lo} <= element_at(done, -1).{hi}
-        then concat(slice(done, 1, size(done) - 1), array(named_struct('{lo}', element_at(done, -1).{lo}, '{hi}', greatest(element_at(done, -1).{hi}, x.{hi}))))
-        else concat(done, array(x)) end)""")
