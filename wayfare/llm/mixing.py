@@ -12,13 +12,17 @@ the rows is spread over all tasks. Sources are assumed to be at most ``MAX_SOURC
 the only thing that the driver gathers.
 
 A null text has size 0; documents of size 0 take nothing. Repeated rows are documents of their own, in
-order of (doc_id, size); null doc_ids are allowed.
+order of (doc_id, size); null doc_ids are allowed, and a null source is one of its own. Ties in the shuffled
+order go by doc_id and size. An empty table gives an empty one. Only doc_id, text and source are read, so other
+columns may have any name. More than ``MAX_SOURCES`` sources are an error, not a cut.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +32,8 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 #: Blocks of all sources together, and of each source at least.
 SLOTS, LEAST_BLOCKS = 1 << 16, 256
 MAX_SOURCES = 100_000
-#: Parts of a stream whose sums are carried over; a power of two.
-PARTS = 1024
+#: Parts of a stream whose sums are carried over, at least, and rows of a part on average, at most.
+PARTS, PART_ROWS = 1024, 1 << 16
 
 
 def targets(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
@@ -74,14 +78,20 @@ def schedule(spark, entries: list[dict], cap: float = 2.0) -> DataFrame:
     used = [x for x in entries if x["slots"] > 0]
     if not n or not used:
         return spark.createDataFrame([], "slot long, k int, rank long, block long")
-    bounds = F.array(*(F.lit(x["high"]) for x in used[:-1])) if len(used) > 1 else F.array().cast("array<double>")
-    which = F.size(F.filter(bounds, lambda b: b <= F.col("point")))
-    ks, blocks = F.array(*(F.lit(x["k"]) for x in used)), F.array(*(F.lit(x["blocks"]).cast("long") for x in used))
-    point = (F.col("id") + 1) * F.lit(GOLDEN)
-    slot = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point")).select("slot", which.alias("i")).withColumn("part", F.expr(f"slot div {max(1, math.ceil(n / 64))}"))
-    before = slot.groupBy("i", "part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("i", "part", "base")
-    ranked = slot.join(before, ["i", "part"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("i", "part").orderBy("slot")) - 1)
-    return ranked.select("slot", F.get(ks, F.col("i")).alias("k"), "rank", F.get(blocks, F.col("i")).alias("blocks")).where(F.col("rank") < cap * F.col("blocks")).select("slot", "k", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    bounds = np.array([x["high"] for x in used[:-1]])
+    ks, blocks = np.array([x["k"] for x in used], np.int32), np.array([x["blocks"] for x in used], np.int64)
+
+    def drawn(batches):
+        for batch in batches:
+            t = batch.column(0).to_numpy()
+            point = (t + 1) * GOLDEN
+            i = np.searchsorted(bounds, point - np.floor(point), "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ks[i]), pa.array(blocks[i])], ["slot", "k", "blocks"])
+
+    slot = spark.range(n).mapInArrow(drawn, "slot long, k int, blocks long").withColumn("part", F.expr(f"slot div {max(1, math.ceil(n / 64))}"))
+    before = slot.groupBy("k", "part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("k", "part", "base")
+    ranked = slot.join(before, ["k", "part"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("k", "part").orderBy("slot")) - 1)
+    return ranked.where(F.col("rank") < cap * F.col("blocks")).select("slot", "k", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
 def word_count(text):
@@ -97,9 +107,10 @@ def mixed(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: flo
         raise ValueError(f"more than {MAX_SOURCES} sources")
     entries = plan(totals, weights, share, cap, slots)
     known = spark.createDataFrame([(x["k"], x["source"], x["source_size"], float(x["target"]), x["blocks"]) for x in entries], "k int, name string, source_size long, target double, blocks long")
+    parts = max(PARTS, 1 << (sized.count() // PART_ROWS).bit_length())
     # the shuffled order of a stream: parts by hash, then the hash, then what tells rows apart
     mixed_key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).withColumn("h", mixed_key).withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(PARTS)).cast("int"))
+    rows = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).withColumn("h", mixed_key).withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(parts)).cast("int"))
     before = rows.groupBy("k", "part").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("k", "part", "base")
     inner = Window.partitionBy("k", "part").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(before, ["k", "part"]).withColumn("start", F.col("base") + F.col("within")).withColumn("stop", F.col("start") + F.col("size"))
