@@ -12,7 +12,10 @@ on all words of whole texts; chains of a batch are run side by side in pieces wh
 exactly, so long texts need no long loops.
 
 ``und`` with score 0 goes to null texts and texts without a letter, and to all where nothing could be learned.
-Rows whose lang is null are never trained on; repeated rows are predicted alike.
+Rows whose lang is null are never trained on; repeated rows are predicted alike; of languages that tie the
+first by name is given. An empty table gives an empty one. Only doc_id and text are read, and lang where it is
+learned from, so other columns may have any name. Training is one process on the driver: its work is bounded by
+the languages times ``FIT_DOCS``, not by the input.
 """
 
 from __future__ import annotations
@@ -238,10 +241,10 @@ def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 3) -> list[tup
     if not counts:
         return []
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * fit_docs / n)))))
-    u = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    some = rows.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", F.substring("text", 1, 12 * FIT_WORDS).alias("text"))
+    u = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11) / F.lit(float(1 << 53)) / share[F.col("lang")]
+    some = rows.select("lang", u.alias("u"), F.substring("text", 1, 12 * FIT_WORDS).alias("text")).where("u < 1").distinct().orderBy("u", "lang", "text")
     out: dict[str, list[str]] = {}
-    for lang, text in some.distinct().limit(3 * fit_docs * len(counts)).collect():
+    for lang, text in some.limit(3 * fit_docs * len(counts)).select("lang", "text").collect():
         out.setdefault(lang, []).append(text)
     return [(lang, text) for lang in sorted(out) for text in sorted(out[lang])[:fit_docs]]
 

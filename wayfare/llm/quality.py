@@ -12,7 +12,9 @@ least the threshold that separates those labelled rows best.
 
 The k-th key is found by radix selection: four passes that count keys by 16 bits each, so nothing is
 sorted or gathered. Rows that share the k-th key are all selected. Null and blank texts have no grams and
-weight 0. The noise is a function of doc_id and seed, so reruns agree; a null doc_id has noise of its own.
+weight 0. The noise is a function of doc_id and seed, so reruns agree and repeated rows go together; a null
+doc_id has noise of its own. An empty table gives an empty one; without good labels all weights are 0. Only
+doc_id and text are read by ``resampled``, so other columns may have any name; ``select_documents`` keeps all.
 """
 
 from __future__ import annotations
@@ -155,7 +157,8 @@ def fitted(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int =
     ratio = log_ratio(_counts(marked, buckets))
     scored = stash(weights(source, ratio).withColumn("key", gumbel_key(F.col("log_weight"), F.col("doc_id"), seed)), "weights")
     if k is None:
-        seen = scored.join(F.broadcast(fit), F.col("doc_id") == F.col("label_id")).where("n_grams > 0").select("log_weight", "good").limit(2 * fit_rows).toPandas()
+        own = scored.join(F.broadcast(fit), F.col("doc_id") == F.col("label_id")).where("n_grams > 0")
+        seen = own.groupBy("doc_id").agg(F.max("log_weight").alias("log_weight"), F.first("good").alias("good")).orderBy("doc_id").toPandas()  # fit_rows at most
         cut = best_threshold(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool))
         k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     least = kth_key(scored, k)
