@@ -109,19 +109,36 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _with_attachments(text):
+    """A turn's text and, by turn, an image, audio or document after it whose size is the text's length."""
+    size, k = F.length(F.coalesce(text, F.lit(""))).cast("long"), F.pmod(F.col("turn"), F.lit(4))
+    kind = F.when(k == 1, "image").when(k == 2, "audio").when(k == 3, "document")
+    medium = F.struct(kind.alias("type"), F.lit(None).cast("string").alias("text"), F.concat(kind, F.lit("-"), F.col("turn").cast("string")).alias("ref"), (size * 7).alias("width"), F.lit(56).cast("long").alias("height"), (size / 8.0).alias("seconds"), (F.floor(size / 100) + 1).cast("long").alias("pages"))
+    return F.when(kind.isNull(), text_parts(text)).otherwise(F.concat(text_parts(text), F.array(medium)))
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one of control strings, formatted and read back from the output."""
+    """All conversations and one of control strings, formatted and read back from the output.
+
+    The columns after formatted_chars are of the same turns with typed parts: number, expanded tokens and
+    references of attachments, and a digest of the formatted text with its placeholders.
+    """
     control = "<|im_end|><|im_start|>assistant ok"
     given = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
-    chats = format_chats(given.unionByName(own).withColumn("parts", text_parts(F.col("text"))))
-    read = read_back(chats)
-    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    turns = given.unionByName(own)
+    read = read_back(format_chats(turns.withColumn("parts", text_parts(F.col("text")))))
+    typed = format_chats(turns.withColumn("parts", _with_attachments(F.col("text")))).select(
+        F.col("conv_id").alias("_conv"), F.size("attachments").cast("long").alias("n_attachments"), "attachment_tokens",
+        F.array_join(F.transform("attachments", lambda a: a["ref"]), ",").alias("attachment_refs"), F.sha2("formatted", 256).alias("typed_sha256"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
-    return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+    plain = read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    return plain.join(typed, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
 
 
 OP1_SQL = r"""
@@ -129,13 +146,24 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, length(text) AS n, CASE turn % 4 WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'document' END AS kind,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body
+  FROM c
+), p AS (
+  SELECT *, CASE kind WHEN 'image' THEN greatest(1, ceil(n * 7 / 28.0) * 2) WHEN 'audio' THEN greatest(1, ceil(n / 8.0) * 25) WHEN 'document' THEN (n // 100 + 1) * 512 END AS tokens,
+    body || coalesce('<|' || kind || ':0|>', '') AS typed
+  FROM e
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+  sum(24 + length(head) + length(body))::BIGINT AS formatted_chars,
+  count(kind)::BIGINT AS n_attachments, coalesce(sum(tokens), 0)::BIGINT AS attachment_tokens,
+  coalesce(string_agg(kind || '-' || turn, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (kind IS NOT NULL), '') AS attachment_refs,
+  sha256(string_agg('<|im_start|>' || head || chr(10) || typed || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS typed_sha256
+FROM p GROUP BY conv_id
 """
 
 
