@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from wayfare.llm import decontaminate, hamming, html_text, langid, lm, mixing, quality, toxicity, wordhash
@@ -98,10 +101,28 @@ def test_planes_round_trip(mode, n):
 
 def test_encoder_equals_the_library():
     e, rng = _encoder(BYTE_BPE), random.Random(5)
-    pieces = ["a", "the", " ", "  ", "\n", "\t", " \n", "'s", "é", "12", "!", "\xa0", "\x1c", "_", "<|endoftext|>", "中", "\r", "don't", "　", "😀"]
-    texts = ["", " ", "x" * 5000] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    for t in texts:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    pieces = ["a", "the", " ", " ", "  ", "\n", "\n", "\t", " \n", "'s", "'", "'ll", "é", "ñandú", "12", "!", ",", "...", "\xa0", "\x1c", "\x00", "\x7f", "_", "<|endoftext|>", "中", "\r", "don't", "　", "😀", "«", "²", "ª", "e\u0301", "ÿ", "\u0250", "—"]
+    texts = ["", " ", "\n", "x" * 5000, None] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for keep in (300_000, 50):
+        e.keep, e.known, e.old = keep, {}, {}
+        for at in range(0, len(texts), 700):
+            ids, counts = e.column(pa.array(texts[at : at + 700], pa.string()))
+            ends = np.cumsum(counts)
+            assert [ids[b - c : b].tolist() for b, c in zip(ends, counts, strict=True)] == want[at : at + 700]
+    for t, ids in zip(texts[:300], want, strict=False):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == ids
+    e.keep = 300_000
+
+
+def test_encoder_of_another_kind_of_file(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(f"{tmp_path}/words.json")
+    ids, counts = _encoder(f"{tmp_path}/words.json").column(pa.array(["a b", None, "c a", ""]))
+    assert ids.tolist() == [0, 1, 2, 0] and counts.tolist() == [2, 0, 2, 0]
 
 
 def test_scan_equals_brute_force():
@@ -196,6 +217,24 @@ def test_spaced_sentences_keep_their_words():
     assert restore(" ".join(long.replace(" ", "")))[0].split() == long.split()
 
 
+def test_other_scripts_ends_and_kept_digits():
+    restore = toxicity.Restorer(model_of("you dumbass ass and the тупой стена is here in room seven " * 50))
+    assert restore("т у п о й стена")[1].replace(" ", "") == "тупой" and "тупооой"[:4] in restore("тупооой")[1]
+    assert restore("you dumba55, a$$!")[1] == "dumbass ass"
+    for text in ("т у п о й", "тупооой стена", "a$$!", "dumba55,", "哈 哈 哈"):
+        assert len(toxicity.suspicious(np.frombuffer(f"so {text} is".encode(), np.uint8))), text
+    assert not len(toxicity.suspicious(np.frombuffer("plain text, très «bien» été: 12 of 30.".encode(), np.uint8)))
+    assert ("9" * 3, toxicity.KEEP * 3) in toxicity.lattice("a999b")[1]
+
+
+@pytest.mark.parametrize("text", ["(" + "x" * 1_000_000 + ")", "ab" * 500_000, "a1" * 100_000, "a b " * 100_000, "@" * 300_000 + "b", "@1" * 200_000, "$!" * 200_000 + " ", "abbba" * 40_000, "a@" + "q" * 500_000, "я" * 200_000, "x.|" * 100_000])
+def test_unbroken_texts_take_seconds(text):
+    restore = toxicity.Restorer(model_of("the idiot and a loser were total clowns " * 30))
+    began = time.process_time()
+    list(toxicity._restored_features(pa.array([text]), restore))
+    assert time.process_time() - began < 30
+
+
 def brute_lattice(span):
     out = [("", 0.0)]
     for options in toxicity.lattice(span):
@@ -260,6 +299,68 @@ def test_null_and_odd_pages():
     assert html_text.page_text(None) is None
     assert html_text.page_text("<div>" * 5000 + "x") == "x"
     assert html_text.page_text("<li>" * 200 + "x").endswith("x")
+    assert html_text.page_text("a <b and <i>c</i>") == "a c" and html_text.page_text("a<i <b") == "a<i <b"
+    assert html_text.page_text("<p title='a>b>c</p>d") == "b>c\n\nd" and html_text.page_text("&#" + "9" * 6000 + ";&#x0000041;") == "\ufffdA"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<style>.h{display:none} p.x{visibility:hidden} #k{display:none}</style><p class='a h'>1<p class=x>2<div class=x>3</div><p id=k>4<p>5", "3\n\n5"),
+    ("<style>@media print{.h{display:none}} .g{display:none} .g{display:block} /*.f{display:none}*/</style><p class=h>1<p class=g>2<p class=f>3", "1\n\n2\n\n3"),
+    ("<style>p{display:none}.s{display:block}</style><p>1<p class=s>2<p style='display:block'>3", "2\n\n3"),
+    ("<style>a{</style><a>1</a>", "1"),
+])
+def test_style_elements_hide(page, text):
+    assert html_text.page_text(page) == text
+
+
+GIANTS = {
+    "open tags": ("<a " * 350_000, 1_049_999), "lists": ("<ul><li>" * 50_000 + "x", 97), "quotes": ("<blockquote>" * 50_000 + "x", 97), "tables": ("<table><tr><td>" * 50_000 + "x", 1),
+    "open quotes": ("<a b='" * 150_000 + '"', 900_001), "breaks": ("<br>" * 200_000 + "x", 1), "marks": ("<" * 500_000, 500_000), "blocks": ("<p><button>" + "<div>" * 100_000 + "x", 1),
+    "comments": ("<!--" * 200_000, 0), "letters": ("y" * 1_000_000, 1_000_000), "spans": ("<table><tr>" + "<td rowspan=1000>x" * 20_000 + "<tr><td>y" * 1000 + "</table>", None), "tall": ("<table><tr><td>" + "x<br>" * 50_000 + "<td>y" * 50_000, None),
+}
+
+
+@pytest.mark.parametrize("name", GIANTS)
+def test_giant_pages_take_seconds(name):
+    page, size = GIANTS[name]
+    began = time.process_time()
+    text = html_text.page_text(page)
+    assert time.process_time() - began < 30 and (size is None or len(text) == size)
+
+
+def test_wide_cells_do_not_pad_all_rows():
+    text = html_text.page_text("<table><tr><td>" + "w" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 1000 + "</table>")
+    assert len(text) < 100_000 + 1000 * (html_text.WIDEST + 10) and text.split("\n")[1] == "a" + " " * (html_text.WIDEST + 1) + "b"
+
+
+def test_all_visible_words_are_kept():
+    """Words of the rendering against those that the standard library's parser sees outside of hidden elements."""
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("head", "script", "style")
+            self.words.append("" if tag in ("br", *html_text.BLOCK) else None)
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("head", "script", "style")
+            self.words.append("" if tag in html_text.BLOCK else None)
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words.append(data)
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    assert len(pages) > 100
+    marks = re.compile(r"^ *(?:- |\d+\. )+", re.M)
+    for page in pages:
+        plain = Plain()
+        plain.feed(page)
+        want = "".join(" " if x == "" else x or "" for x in plain.words).split()
+        assert marks.sub("", html_text.page_text(page).replace("-" * 20, "")).split() == want
 
 
 def test_kth_threshold_and_ratio():
