@@ -8,6 +8,10 @@
 
 SQL cannot express the hashed models and noise of the first stage, so there is no ORACLE_SQL; the tests
 hold every stage against a brute-force version.
+
+Nulls, empty texts, ties and repeated rows are those of each operator: a text that is null or blank has weight 0
+in quality, is no copy, holds no window, and is in no mix; repeated rows of one doc_id stay or go together. Empty
+tables give empty tables, and all columns of documents, whatever their names, come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -40,9 +44,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats a document round(taken / size) times; rows of one doc_id are repeated alike."""
-    share = (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share")
-    times = settle(lambda: mixed(docs).groupBy("doc_id").agg(share).select(F.col("doc_id").alias("_mixed_id"), F.least(F.round("_share"), F.lit(2)).cast("int").alias("_times")).where("_times > 0"), "times")
+    """Repeats a document taken / size times: a fraction is one more copy with that probability, by a hash of doc_id.
+
+    So a source's words come near its target, and what is taken by a part is kept as often as that part says.
+    Rows of one doc_id are repeated alike; documents without words are in no mix.
+    """
+    share = F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))
+    times = settle(lambda: mixed(docs).groupBy("doc_id").agg(share.alias("_share")).select(F.col("doc_id").alias("_mixed_id"), F.least(F.floor(F.col("_share") + chance), F.lit(2)).cast("int").alias("_times")).where("_times > 0"), "times")
     out = docs.join(small_side(times, times.count()), docs["doc_id"].eqNullSafe(F.col("_mixed_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
 
