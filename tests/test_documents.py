@@ -4,8 +4,11 @@ import datetime as dt
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from wayfare.functions import places
 from wayfare.operators import builders, layout, raster, redact
+from wayfare.plans import lifecycle
 from wayfare.sources import mime
 
 
@@ -89,6 +92,67 @@ def test_messages():
 def test_sanitising():
     got = mime.sanitise('<p onclick="x()">a<script>alert(1)</script><a href=" javascript:1">b</a><meta http-equiv=refresh content=0><img src="cid:1">&amp;</p>')
     assert got == '<p>a<a>b</a><img src="cid:1">&amp;</p>'
+    got = mime.sanitise('<link rel=stylesheet href="http://x/y.css"><noscript><img src="http://t/1.gif"></noscript><textarea>t</textarea><select><option>o</option></select><form><b>f</b></form><p title="javascript: is a word">z')
+    assert got == '<textarea>t</textarea><select><option>o</option></select><p title="javascript: is a word">z'
+
+
+def code_of(*legs, issued=None):
+    block = (">6" + "07" + "0WW" + issued + "00") if issued else ""
+    return f"M{len(legs)}" + "DOE/JANE MRS".ljust(20) + "E" + "".join(leg + (f"{len(block):02X}" + block if k == 0 and block else "00") for k, leg in enumerate(legs))
+
+
+LEG_1, LEG_2 = "AB12CD DELBOMAI 0123 145Y012C0045 1", "AB12CD BOMGOIAI 0456 146C001A0045 3"
+
+
+def test_legs_and_tables_of_a_record():
+    got = built("flight", "x", code_of(LEG_1, LEG_2))
+    assert (got["cabin"], got["passengerStatus"]) == ("Economy", "Ticket issuance/passenger checked in")
+    assert [got[f"leg2.{k}"] for k in ("origin", "destination", "flight", "date", "seat")] == ["BOM", "GOI", "AI 456", "2024-05-25", "1A"]
+
+
+def test_issue_dates_fix_the_year():
+    assert builders.issue_year("4140", 145, REF) == 2024 and builders.issue_year("4360", 10, REF) == 2025 and builders.issue_year("9001", 5, REF) == 2029
+    assert builders.issue_year(None, 5, REF) is None and builders.issue_year("4999", 5, REF) is None
+    field = {f["key"]: f for f in builders.build("flight", [], "x", code_of(LEG_1, issued="3100"), REF)}["date"]
+    assert field["value"] == "2023-05-25" and field["printed"]["anchored"]
+
+
+def test_records_weigh_printed_dates(spark):
+    rows = [
+        ("same", "Booking date: 1 Jan 2020\nTravel date: 24 May 2024", code_of(LEG_1)), ("year", "Travel date: 24 May 2025", code_of(LEG_1)), ("other", "Travel date: 3 Jun 2024", code_of(LEG_1)),
+        ("none", "x", code_of(LEG_1)), ("fixed", "x", code_of(LEG_1, issued="4100")), ("unsure", "Travel date: 05/06/2024", code_of(LEG_1)),
+    ]
+    docs = spark.createDataFrame([(*r, REF) for r in rows], "doc_id string, text string, payload string, reference date")
+    got = {r.doc_id: (r.field["value"], r.field["confidence"], [i["code"] for i in r.field["issues"]]) for r in lifecycle.fields(docs).where("field.key = 'date'").collect()}
+    assert got == {
+        "same": ("2024-05-24", "high", []), "year": ("2025-05-24", "high", ["auto-corrected"]), "other": ("2024-05-24", "low", ["inferred-year", "conflict"]),
+        "none": ("2024-05-24", "low", ["inferred-year"]), "fixed": ("2024-05-24", "high", []), "unsure": ("2024-05-24", "low", ["inferred-year", "ambiguous-date"]),
+    }
+
+
+def test_railway_payloads_senders_and_categories(spark):
+    slip = "PNR No.:1234567890,\nTrain No.:12951,\nTrain Name:RAJDHANI,\nPassenger Name:ASHA RAO,\nStatus:CNF,\nPassenger Name:RAVI RAO,\nFrom:NEW DELHI - NDLS,\nTo:MUMBAI - MMCT,\nDate of Journey:05-May-2024,\nQuota:GN"
+    rows = [("rail", "IRCTC\nTrain No: 1 wrong\ncoach B2 berth", slip, None, None), ("event", "Cinema screen 3\nshowtime 19:30 5 May 2024\nVenue: City Hall", None, "Acme Films via Mailer", "x.com")]
+    docs = spark.createDataFrame([(*r, REF) for r in rows], "doc_id string, text string, payload string, sender_name string, sender_domain string, reference date")
+    got = {r.id: r for r in lifecycle.records(docs).collect()}
+    f = got["rail"].fields
+    assert (f["service"], f["passenger"], f["origin"], f["destination"], f["date"], f["pnr"], f["status"]) == ("12951 / RAJDHANI", "ASHA RAO, RAVI RAO", "NDLS", "MMCT", "2024-05-05", "1234567890", "CNF")
+    assert got["rail"].source["passenger"] == "barcode" and got["event"].fields["category"] == "movie" and got["event"].fields["provider"] == "Acme Films"
+
+
+def test_terminals_of_airports():
+    lines = [{"text": "Mumbai Airport (Terminal 2)"}, {"text": "DEL Delhi,T3"}]
+    assert builders.terminal_of(lines, "DEL") == "3" and builders.terminal_of(lines, None) == "2" and builders.terminal_of([], "DEL") is None
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([("DEL", "AI", "2024-07-01"), ("lhr ", "ZZ", "2024-07-01"), ("XXX", None, None), (None, "BA", "2024-01-01")], "code string, carrier string, day string")
+    got = {r.code: (r.from_city, r.airline, r.minutes) for r in places.with_airline(places.with_airport(rows, "code", "from_"), "carrier").withColumn("minutes", places.zone_offset(F.col("day"), F.lit("09:00"), F.col("from_zone"))).collect()}
+    assert got == {"DEL": ("Delhi", "Air India", 330), "lhr ": ("London", "ZZ", 60), "XXX": (None, None, None), None: (None, "British Airways", None)}
+    assert [r.code for r in places.known_airports(rows, "code").collect()] == ["DEL", "lhr "]
+    names = spark.createDataFrame([("Bengaluru",), ("Asha Rao",), (" new york",)], "n string")
+    assert sorted(r.n for r in places.airport_cities(names, "n").collect()) == [" new york", "Bengaluru"]
+    assert places.airports(spark).count() == places.airports(spark).select("code").distinct().count() > 80
 
 
 def test_redaction(spark):

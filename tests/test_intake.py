@@ -31,7 +31,7 @@ def test_ocr_lines_are_as_sure_as_their_least_word(spark):
 
 @pytest.mark.parametrize(
     ("content", "path", "want"),
-    [(b"%PDF-1.4", "a", "pdf"), (b"\x89PNG....", "a", "png"), (b"\xff\xd8\xff\xe0", "a", "jpeg"), (b"hello there", "a", "text"), (b"\x00\x01\x02\x03" * 9, "a.eml", "text"), (b"\x00\x01\x02\x03" * 9, "a.bin", None), (b"abc", "a.txt", None), (b"RIFF0000WEBPxx", "a", "webp"), (b"0000ftypheic\x00\x01", "a", "heif")],
+    [(b"%PDF-1.4", "a", "pdf"), (b"\x89PNG....", "a", "png"), (b"\xff\xd8\xff\xe0", "a", "jpeg"), (b"hello there", "a", "text"), (b"\x00\x01\x02\x03" * 9, "a.eml", "text"), (b"\x00\x01\x02\x03" * 9, "a.bin", None), (b"abc", "a.txt", None), (b"RIFF\x10\x00\x00\x00WEBPxx", "a", "webp"), (b"BMTC Daily pass Rs 70", "a", "text"), (b"BM\x00\x10\x00\x00", "a", "bmp"), (b"0000ftypheic\x00\x01", "a", "heif")],
 )
 def test_files_are_known_by_their_bytes(spark, content, path, want):
     df = spark.createDataFrame([(path, bytearray(content))], "path string, content binary")

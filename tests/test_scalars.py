@@ -14,8 +14,8 @@ def column(spark, values, fn, schema="v string"):
 
 
 def test_times(spark):
-    texts = ["Dep 09:05", "7.30 pm", "12:00 am", "1430 hrs", "9 pm", "25:10", "no time", None, "12:61"]
-    want = ["09:05", "19:30", "00:00", "14:30", "21:00", None, None, None, None]
+    texts = ["Dep 09:05", "7.30 pm", "12:00 am", "1430 hrs", "9 pm", "25:10", "no time", None, "12:61", "02:34:15 PM", "0700 am", "700 hrs", "16h40", "01-Jun-2025 16:40", "at 9 45 p.m."]
+    want = ["09:05", "19:30", "00:00", "14:30", None, None, None, None, None, "14:34", "07:00", "07:00", "16:40", "16:40", "21:45"]
     assert column(spark, texts, scalars.parse_time) == want
     assert [time_of(t) for t in texts] == want
 
@@ -64,8 +64,8 @@ def test_normalisers(spark, fn, texts, want):
 def test_stations_and_senders(spark):
     got = column(spark, ["NEW DELHI (NDLS)", "NDLS - NEW DELHI", "MUMBAI CST - CSTM", "Pune Jn"], scalars.parse_station)
     assert [(r["name"], r["code"]) for r in got] == [("NEW Delhi", "NDLS"), ("NEW Delhi", "NDLS"), ("Mumbai CST", "CSTM"), ("Pune Jn", None)]
-    rows = spark.createDataFrame([("Acme Rail", "x.com"), ("noreply", "mail.blue-bus.in"), ("info", "gmail.com"), (None, None)], "n string, d string")
-    assert [r[0] for r in rows.select(scalars.provider_from_sender(F.col("n"), F.col("d"))).collect()] == ["Acme Rail", "Blue Bus", None, None]
+    rows = spark.createDataFrame([("Acme Rail", "x.com"), ("noreply", "mail.blue-bus.in"), ("info", "gmail.com"), (None, None), ('Acme via Mailer', None)], "n string, d string")
+    assert [r[0] for r in rows.select(scalars.provider_from_sender(F.col("n"), F.col("d"))).collect()] == ["Acme Rail", "Blue-bus", None, None, "Acme"]
 
 
 def test_messages_are_known(spark):

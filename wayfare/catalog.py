@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars, seats
+from .functions import places, scalars, seats
 from .operators import barcode, classify, layout, quality, raster, redact, store
 from .plans import lifecycle
 from .sources import mime
@@ -45,7 +45,7 @@ def store_partition(spark, sf_dir):
 
 
 def store_next(spark, sf_dir):
-    return store.next_record(_records(spark, sf_dir).where("departs_at is not null"), NOW).select("id", "departs_at")
+    return store.next_record(_records(spark, sf_dir), NOW).select("id", "departs_at")
 
 
 def retention_expired(spark, sf_dir):
@@ -146,7 +146,7 @@ def seat_lists(spark, sf_dir):
 
 
 def _cell(text, x, y):
-    return F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), (F.length(text) * F.lit(5.2)).alias("width"), F.lit(10.0).alias("height"))
+    return F.struct(text.alias("text"), (F.lit(float(x)) if isinstance(x, (int, float)) else x).alias("x"), F.lit(float(y)).alias("y"), (F.length(text) * F.lit(5.2)).alias("width"), F.lit(10.0).alias("height"))
 
 
 def _layout(spark, sf_dir):
@@ -167,7 +167,11 @@ def label_value(spark, sf_dir):
 
 
 def column_split(spark, sf_dir):
-    return _layout(spark, sf_dir).select("o_orderkey", F.array_join(layout.cell_counts(F.col("items")), "-").alias("cells"))
+    """Cells of a line of one to four columns, and of one whose runs stand close together."""
+    o = _t(spark, sf_dir, "orders")
+    wide = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int")), lambda k: _cell(F.col("o_orderstatus"), k * 80.0, 100))
+    close = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda k: _cell(F.col("o_orderstatus"), k * 9.0, 140))
+    return o.select("o_orderkey", F.array_join(layout.cell_counts(F.concat(wide, close)), "-").alias("cells"))
 
 
 def table_rows(spark, sf_dir):
@@ -198,9 +202,37 @@ def dq_summary(spark, sf_dir):
     return quality.rollup(_fields(spark, sf_dir), "o_orderpriority")
 
 
+#: Phrases and the weight that each adds, by kind; which of them a document has is told by the bits of its mark.
+PHRASES = {
+    "flight": [("Boarding pass", 40), ("E-ticket", 25), ("Record locator", 15), ("Airport", 20), ("DEL - BOM", 20), ("Terminal", 5), ("Economy", 10), ("Aviation", 15), ("Return flight", 20), ("Fare basis", 10), ("(DEL) to (BOM)", 25)],
+    "event": [("Cinema", 22), ("Screen 3", 26), ("Showtime", 24), ("Stadium", 14), ("Opera", 18), ("Summit", 18), ("Row F 12", 16), ("Box office", 10), ("Doors open", 14), ("Venue", 8), ("12 Jan 2024 19:30", 10)],
+    "rail": [("Train no", 45), ("Coach", 25), ("Berth", 25), ("Platform", 10), ("Chart prepared", 30), ("Quota", 15), ("Happy journey", 20), ("Fahrkarte", 40), ("Gleis", 25), ("Voiture", 25), ("Binario", 25)],
+    "lodging": [("Check-in", 24), ("Check-out", 24), ("2 nights", 22), ("Hotel", 18), ("Lead guest", 20), ("2 adults", 10), ("Accommodation", 20), ("Reception", 8), ("Deluxe", 12), ("a thank you", 0), ("good day", 0)],
+}
+_MARK = 2654435761
+
+
 def signal_score(spark, sf_dir):
-    s = classify.scores(F.concat(F.lit("Boarding pass gate "), F.col("text"), F.when(F.col("doc_id") % 2 == 0, " hotel check-in check-out 2 nights voucher").otherwise(" airport terminal itinerary")), F.lit(None))
-    return _t(spark, sf_dir, "documents").select("doc_id", s["lodging"].cast("long").alias("lodging"), s["generic"].cast("long").alias("generic"))
+    """Scores of texts that are composed of signals, far apart and in both orders."""
+    mark = F.pmod(F.col("doc_id") * _MARK, F.lit(1 << 22))
+    out = _t(spark, sf_dir, "documents").select("doc_id", mark.alias("mark"))
+    for kind, phrases in PHRASES.items():
+        parts = F.array(*(F.when(F.shiftright("mark", k).bitwiseAND(1) == 1, phrase) for k, (phrase, _) in enumerate(phrases)))
+        text = F.array_join(F.when(F.col("mark") % 2 == 0, F.reverse(F.array_compact(parts))).otherwise(F.array_compact(parts)), "\n" + "and so on " * 12 + "\n")
+        out = out.withColumn(kind, classify.scores(F.when(F.shiftright("mark", 11).bitwiseAND(7) == 0, F.concat(text, F.lit("\nbaggage, tax invoice"))).otherwise(text) if kind in ("event", "lodging") else text, F.lit(None))[kind].cast("long"))
+    return out.drop("mark")
+
+
+def _score_sql() -> str:
+    bit = lambda k: f"(mark >> {k}) & 1 = 1"
+    total = {kind: " + ".join(f"CASE WHEN {bit(k)} THEN {w} ELSE 0 END" for k, (_, w) in enumerate(phrases)) for kind, phrases in PHRASES.items()}
+    capped = lambda x, least, cap: f"CASE WHEN {x} >= {least} THEN least({x}, {cap}) ELSE 0 END"
+    sums = ", ".join(f"{x} AS {kind}" for kind, x in total.items())
+    return f"""
+WITH m AS (SELECT doc_id, (doc_id * {_MARK}) % {1 << 22} AS mark FROM documents), s AS (SELECT doc_id, mark, {sums} FROM m), g AS (SELECT *, (mark >> 11) & 7 = 0 AS refused FROM s)
+SELECT doc_id, ({capped("flight", 40, 90)})::BIGINT AS flight, (CASE WHEN refused THEN 0 ELSE {capped("event", 34, 95)} END)::BIGINT AS event, ({capped("rail", 40, 85)})::BIGINT AS rail,
+  (CASE WHEN refused OR NOT ({bit(0)} AND {bit(1)}) THEN 0 ELSE {capped("lodging", 55, 95)} END)::BIGINT AS lodging
+FROM g"""
 
 
 def signal_argmax(spark, sf_dir):
@@ -276,15 +308,55 @@ def mime_parse(spark, sf_dir):
 
 
 def html_sanitise(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", mime.sanitise_html(F.col("html")).alias("html"))
+    """Active content around a page's address, which stays."""
+    u = F.col("url")
+    parts = (
+        F.lit('<p onclick="x()" class="c">a<script>if (a < b) track(1)</script><a href="'), u, F.lit('" ONMOUSEOVER="y()">b</a><link rel="stylesheet" href="http://t/1.css"><noscript><img src="http://t/1.gif"></noscript>'
+        '<a href=" javascript:z()">c</a><meta http-equiv="refresh" content="0"><form action="/s"><b>d</b><input name="q"></form><iframe src="http://t/2"></iframe><textarea>'), u, F.lit('</textarea>&amp;</p>'),
+    )
+    return _t(spark, sf_dir, "pages").select("page_id", mime.sanitise_html(F.concat(*parts)).alias("html"))
 
 
 def raster_summary(spark, sf_dir):
-    """Small images made of embeddings: one pixel an element."""
-    e = _t(spark, sf_dir, "embeddings")
-    data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.concat(F.lpad(F.hex(F.pmod(F.floor(x * 255), F.lit(256))), 2, "0"), F.lit("4080FF"))), ""))
-    side = F.floor(F.sqrt(F.size("embedding"))).cast("int")
-    return e.where(side * side == F.size("embedding")).select("vec_id", raster.raster_stats(data, side, side).alias("s")).select("vec_id", "s.background", "s.dominant", "s.ink", "s.n_components", "s.barcode")
+    """White images of 24 by 16 with one coloured rectangle, whose place, size and colour go by the part."""
+    k = F.col("p_partkey")
+    left, width, height = (k % 5 + 2).cast("int"), (k % 7 + 6).cast("int"), (k % 4 + 4).cast("int")
+    dot = F.concat(F.lit("C8"), F.lpad(F.hex(k % 4 * 16), 2, "0"), F.lit("1EFF"))
+    white = lambda n: F.repeat(F.lit("FFFFFFFF"), n)
+    line = F.concat(white(left), F.repeat(dot, width), white(24 - left - width))
+    data = F.unhex(F.concat(white(F.lit(24 * 5)), F.repeat(line, height), white(24 * (11 - height))))
+    s = _t(spark, sf_dir, "part").select("p_partkey", raster.raster_stats(data, F.lit(24), F.lit(16)).alias("s"))
+    return s.select("p_partkey", "s.background", "s.dominant", F.round("s.ink", 6).alias("ink"), "s.n_components", "s.barcode")
+
+
+def redact_planted(spark, sf_dir):
+    """Personal data planted in a text, which its rules must find and nothing else."""
+    c, key = _t(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit("Dear guest "), key, F.lit(": write to c."), key, F.lit("+x@mail-"), key, F.lit(".example.org or ring +91 98765 "), F.lpad(key, 5, "0"), F.lit(" or 98"), F.lpad(key, 8, "0"), F.lit(". Card 4111 1111 1111 "), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"),
+        F.lit(", PNR: A"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"), F.lit(", ticket 1234567"), F.lpad(key, 7, "0"), F.lit(". Seat 12A, gate 4, 9:30"),
+    )
+    return c.select("c_custkey", redact.redact(text).alias("text"))
+
+
+def airport_lookup(spark, sf_dir):
+    """Orders between airports, some of them unknown: cities, zones and airlines of codes."""
+    codes = [*(r.split(" ")[0] for line in places.AIRPORTS.strip().split("\n") for r in line.split("|")), "QQQ", "ZZZ"]
+    carriers = [*(r.split(" ")[0] for line in places.AIRLINES.strip().split("\n") for r in line.split("|")), "Q0"]
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", pick(codes, F.col("o_orderkey")).alias("origin"), pick(carriers, F.col("o_custkey")).alias("carrier"))
+    found = places.with_airline(places.with_airport(o, "origin"), "carrier")
+    return found.select("o_orderkey", "origin", "city", "zone", "airline")
+
+
+def _airport_sql() -> str:
+    rows = [r.split(" ") for line in places.AIRPORTS.strip().split("\n") for r in line.split("|")] + [["QQQ", None, None], ["ZZZ", None, None]]
+    lines = [r.split(" ") for line in places.AIRLINES.strip().split("\n") for r in line.split("|")] + [["Q0", "Q0"]]
+    text = lambda x: "NULL::VARCHAR" if x is None else "'" + x.replace("_", " ") + "'"
+    zone = lambda x: "NULL::VARCHAR" if x is None else f"'{x}'"
+    a = ", ".join(f"({k}, '{c}', {text(city)}, {zone(z)})" for k, (c, city, z) in enumerate(rows))
+    b = ", ".join(f"({k}, {text(name)})" for k, (_, name) in enumerate(lines))
+    return f"SELECT o_orderkey, origin, city, zone, airline FROM orders JOIN (VALUES {a}) p(k, origin, city, zone) ON o_orderkey % {len(rows)} = p.k JOIN (VALUES {b}) q(k, airline) ON o_custkey % {len(lines)} = q.k"
 
 
 def ticket_records(spark, sf_dir):
@@ -294,6 +366,41 @@ def ticket_records(spark, sf_dir):
     return r.select("id", "kind", F.col("fields")["origin"].alias("origin"), F.col("fields")["flight"].alias("flight"), F.col("fields")["date"].alias("date"), "departs_at")
 
 
+def ticket_legs(spark, sf_dir):
+    """Two-leg boarding records with an issue date: onward legs, cabins, and years that the issue date fixes."""
+    d = _bcbp(spark, sf_dir)
+    issued = F.date_sub(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 90).cast("int"))
+    block = F.concat(F.lit(">6070WW"), (F.year(issued) % 10).cast("string"), F.lpad(F.dayofyear(issued).cast("string"), 3, "0"), F.lit("00"))
+    next_day = F.dayofyear(F.date_add(F.col("o_orderdate").cast("date"), 1))
+    onward = barcode.encode(F.lit(""), F.col("pnr"), F.lit("DEL"), F.lit("GOI"), F.lit("AI"), F.lit("0456"), next_day, F.lit("C"), F.lit("001A"), F.lit("0045"), F.lit("1"))
+    head = barcode.HEAD + barcode.BODY
+    payload = F.concat(F.regexp_replace(F.substring(_payload(), 1, head), "^M1", "M2"), F.lpad(F.hex(F.length(block)), 2, "0"), block, F.substring(onward, barcode.HEAD + 1, barcode.BODY), F.lit("00"))
+    docs = d.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("").alias("text"), payload.alias("payload"), F.add_months(F.col("o_orderdate").cast("date"), 30).alias("reference"))
+    f = F.col("fields")
+    return lifecycle.records(docs).select("id", f["date"].alias("date"), F.col("confidence")["date"].alias("sure"), f["cabin"].alias("cabin"), f["leg2.origin"].alias("origin2"), f["leg2.destination"].alias("destination2"), f["leg2.date"].alias("date2"), f["leg2.seat"].alias("seat2"))
+
+
+def ticket_dates(spark, sf_dir):
+    """Boarding records whose page prints the date as it is, of another year, of another day, or not at all."""
+    d = _bcbp(spark, sf_dir).withColumn("day", F.col("o_orderdate").cast("date"))
+    shown = F.when(F.col("o_orderkey") % 4 == 0, F.col("day")).when(F.col("o_orderkey") % 4 == 1, F.add_months("day", 12)).when(F.col("o_orderkey") % 4 == 2, F.date_add("day", 3))
+    text = F.coalesce(F.concat(F.lit("Booking date: 1 Jan 2001\nTravel date: "), F.date_format(shown, "d MMM yyyy")), F.lit("Booking date: 1 Jan 2001"))
+    docs = d.where("dayofmonth(day) < 29").select(F.col("o_orderkey").cast("string").alias("doc_id"), text.alias("text"), _payload().alias("payload"), F.col("day").alias("reference"))
+    f = F.col("field")
+    return lifecycle.fields(docs).where("field.key = 'date'").select(F.col("doc_id").alias("id"), f["value"].alias("date"), f["confidence"].alias("confidence"), F.array_join(F.transform(f["issues"], lambda i: i["code"]), ",").alias("issues"))
+
+
+def railway_records(spark, sf_dir):
+    """Railway payloads of several passengers, over pages that say otherwise."""
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    key = F.col("l_orderkey").cast("string")
+    people = F.array_join(F.transform("n", lambda n: F.concat(F.lit("Passenger Name:ASHA "), F.chr(n + 64), F.lit(",\nStatus:CNF,\n"))), "")
+    payload = F.concat(F.lit("PNR No.:P"), key, F.lit(",\nTrain No.:12"), key, F.lit(",\nTrain Name:EXPRESS,\n"), people, F.lit("From:NEW DELHI - NDLS,\nTo:MUMBAI - MMCT,\nDate of Journey:05-May-2024,\n"))
+    docs = li.select(key.alias("doc_id"), F.lit("IRCTC\nTrain no: 1 wrong\nFrom: Nowhere\nPNR: WRONG1").alias("text"), payload.alias("payload"), F.lit("2024-03-01").cast("date").alias("reference"))
+    f = F.col("fields")
+    return lifecycle.records(docs).select("id", "kind", f["pnr"].alias("pnr"), f["service"].alias("service"), f["passenger"].alias("passenger"), f["origin"].alias("origin"), f["destination"].alias("destination"), f["date"].alias("date"), F.col("source")["pnr"].alias("source"))
+
+
 _MEDIAN_UP = "list_sort(list(l_quantity))[(count(*) // 2 + 1)::INT]"
 _EMAIL = "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
 
@@ -301,7 +408,7 @@ _EMAIL = "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
 def _redact_sql() -> str:
     out = "text"
     for pattern, replacement in redact.RULES:
-        swap = replacement.replace("${1}", "\\1").replace("${2}", "\\2")
+        swap = replacement.replace("$1", "\\1").replace("$2", "\\2")
         out = f"regexp_replace({out}, '{pattern}', '{swap}', 'g')"
     return f"SELECT doc_id, {out} AS text FROM documents"
 
@@ -323,7 +430,7 @@ def _lum_sql(channel: str) -> str:
 
 ORACLES = {
     "store_partition": f"SELECT id, side, CASE WHEN side = 'past' THEN -coalesce(nullif(departs_at, 0), added_at) ELSE coalesce(departs_at, -4611686018427387904) END AS sort_key FROM (SELECT *, {_SIDE_SQL} AS side FROM ({_RECORDS_SQL}))",
-    "store_next": f"SELECT id, departs_at FROM ({_RECORDS_SQL}) WHERE departs_at IS NOT NULL AND {_SIDE_SQL} = 'upcoming' ORDER BY departs_at, id LIMIT 1",
+    "store_next": f"SELECT id, departs_at FROM ({_RECORDS_SQL}) WHERE {_SIDE_SQL} = 'upcoming' ORDER BY departs_at NULLS FIRST, id LIMIT 1",
     "retention_expired": f"SELECT policy, id FROM ({_RECORDS_SQL}) JOIN (VALUES ('month', 30), ('week', 7), ('at-once', 0)) p(policy, days) ON departs_at < {NOW} - 21600000 - days * 86400000::BIGINT",
     "import_merge": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'added' END AS status, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
     "store_upsert": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'user' ELSE 'orders' END AS source, count(*) AS n, count(*) FILTER (o_orderkey % 5 = 0) AS stamped FROM orders GROUP BY 1",
@@ -346,11 +453,19 @@ j AS (SELECT l_orderkey, sum(hi - lo + 1)::BIGINT AS n, string_agg(CASE WHEN hi
 SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS summary FROM j""",
     "seat_lists": "SELECT l_orderkey, count(DISTINCT l_linenumber)::INT AS n FROM lineitem GROUP BY 1",
     "label_value": "SELECT o_orderkey, 'R' || o_orderkey AS reference, 'B' || o_orderstatus AS coach, o_orderpriority AS fare FROM orders",
-    "column_split": "SELECT o_orderkey, '2-2-2-1' AS cells FROM orders",
+    "column_split": "SELECT o_orderkey, (1 + o_orderkey % 4) || '-1' AS cells FROM orders",
     "table_rows": "SELECT l_orderkey, l_linenumber::INT AS n, l_quantity::INT AS quantity, l_returnflag AS flag FROM lineitem",
     "dq_reconcile": f"SELECT doc_id, confidence, issues, review FROM ({_FIELD_SQL})",
     "dq_summary": f"SELECT o_orderpriority, count(*) FILTER (review) AS needing_review, count(*) AS critical_fields, 0::BIGINT AS missing_critical, count(*) FILTER (review) = 0 AS ready, count(*) FILTER (confidence = 'high') AS high, 0::BIGINT AS medium, count(*) FILTER (confidence = 'low') AS low FROM ({_FIELD_SQL}) GROUP BY 1",
-    "signal_score": "SELECT doc_id, 0::BIGINT AS lodging, 0::BIGINT AS generic FROM documents",
+    "signal_score": _score_sql(),
+    "html_sanitise": """SELECT page_id, '<p class="c">a<a href="' || url || '">b</a><a>c</a><textarea>' || url || '</textarea>&amp;</p>' AS html FROM pages""",
+    "raster_summary": "SELECT p_partkey, 16777215 AS background, (200 * 65536 + p_partkey % 4 * 16 * 256 + 30)::INT AS dominant, round((p_partkey % 7 + 6) * (p_partkey % 4 + 4) / 384.0, 6) AS ink, 1 AS n_components, false AS barcode FROM part",
+    "redact_planted": "SELECT c_custkey, 'Dear guest ' || c_custkey || ': write to someone@example.com or ring +00 0000000000 or 0000000000. Card 0000 0000 0000 0000, PNR: XXXXXX, ticket 00000000000. Seat 12A, gate 4, 9:30' AS text FROM customer",
+    "airport_lookup": _airport_sql(),
+    "ticket_legs": "SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'high' AS sure, 'Economy' AS cabin, 'DEL' AS origin2, 'GOI' AS destination2, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS date2, '1A' AS seat2 FROM orders",
+    "ticket_dates": """SELECT o_orderkey::VARCHAR AS id, strftime(CASE WHEN o_orderkey % 4 = 1 THEN o_orderdate + INTERVAL 12 MONTH ELSE o_orderdate END, '%Y-%m-%d') AS date,
+  CASE o_orderkey % 4 WHEN 2 THEN 'low' WHEN 3 THEN 'medium' ELSE 'high' END AS confidence, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'auto-corrected' WHEN 2 THEN 'inferred-year,conflict' ELSE 'inferred-year' END AS issues FROM orders WHERE day(o_orderdate) < 29""",
+    "railway_records": "SELECT l_orderkey::VARCHAR AS id, 'rail' AS kind, 'P' || l_orderkey AS pnr, '12' || l_orderkey || ' / EXPRESS' AS service, string_agg('ASHA ' || chr((l_linenumber + 64)::INT), ', ' ORDER BY l_linenumber) AS passenger, 'NDLS' AS origin, 'MMCT' AS destination, '2024-05-05' AS date, 'barcode' AS source FROM lineitem GROUP BY l_orderkey",
     "signal_argmax": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'flight' WHEN 1 THEN 'event' WHEN 2 THEN 'rail' WHEN 3 THEN 'lodging' END AS kind, CASE doc_id % 5 WHEN 0 THEN 80 WHEN 1 THEN 80 WHEN 2 THEN 85 WHEN 3 THEN 95 ELSE 0 END::BIGINT AS kind_score FROM documents",
     "first_wins_dedupe": "SELECT event_type, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1",
     "barcode_rank": "SELECT doc_id, ordinal, score FROM (SELECT user_id AS doc_id, event_id AS ordinal, CASE WHEN event_id % 3 = 0 THEN -5 ELSE 0 END::BIGINT AS score FROM events) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) = 1",
@@ -372,6 +487,6 @@ QUERIES = {
     for f in (
         store_partition, store_next, retention_expired, import_merge, store_upsert, bcbp_native, bcbp_decode, julian_year, date_parse_named, date_parse_month_first, date_parse_iso, date_parse_numeric, time_parse, seat_runs, seat_lists,
         label_value, column_split, table_rows, dq_reconcile, dq_summary, signal_score, signal_argmax, first_wins_dedupe, barcode_rank, reference_lookup, email_domain, redact_text, plaintext_grid, dominant_bucket, median_lines, runner_up,
-        palette_hash, luminance_contrast, mime_parse, html_sanitise, raster_summary, ticket_records,
+        palette_hash, luminance_contrast, mime_parse, html_sanitise, raster_summary, redact_planted, airport_lookup, ticket_records, ticket_legs, ticket_dates, railway_records,
     )
 }

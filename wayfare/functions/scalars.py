@@ -24,18 +24,54 @@ def rolled_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(ok, F.date_add(F.make_date(F.when(ok, year).otherwise(2000), F.when(ok, month).otherwise(1), F.lit(1)), F.when(ok, day).otherwise(1) - 1))
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _first(text: Column, patterns: list[str], fn) -> Column:
+    """``fn(k, match)`` of the first pattern with a match; a later one is tried only where those before have none."""
+    if not patterns:
+        return F.lit(None)
+    at = lambda k, m: F.when(m != "", fn(k, m)).otherwise(rest(k + 1)) if k + 1 < len(patterns) else F.when(m != "", fn(k, m))
+    rest = lambda k: bound(F.regexp_extract(text, patterns[k], 0), lambda m: at(k, m))
+    return rest(0)
+
+
+# -- fixed values: shapes of a clock time, in the order they are tried --------------------------------------------
+TIMES = [
+    r"\b[0-9]{1,2}\s*[:.h]\s*[0-9]{2}(?::[0-9]{2})?\s*(?:a\.?m\.?|p\.?m\.?)?",
+    r"\b[0-9]{3,4}\s*(?:hrs?|hours)\b",
+    r"\b[0-9]{1,2}[\s.]?[0-9]{2}\s*(?:a\.?m\.?|p\.?m\.?)",
+]
+# ---------------------------------------------------------------------------------------------------------------
+
+
 def parse_time(text: Column) -> Column:
-    """HH:MM of the first clock time in a text; null where there is none or it is out of range."""
-    low = F.lower(text)
-    colon = r"(?:^|[^0-9])([0-9]{1,2})\s*[:.h]\s*([0-9]{2})(?:\s*([ap])\.?m)?"
-    bare = r"(?:^|[^0-9])([0-9]{2})([0-9]{2})\s*h(?:ou)?rs"
-    half = r"(?:^|[^0-9])([0-9]{1,2})\s*([ap])\.?m"
-    with_colon, with_bare = _group(low, colon, 1).isNotNull(), _group(low, bare, 1).isNotNull()
-    hour = F.when(with_colon, _group(low, colon, 1)).when(with_bare, _group(low, bare, 1)).otherwise(_group(low, half, 1)).cast("int")
-    minute = F.when(with_colon, _group(low, colon, 2)).when(with_bare, _group(low, bare, 2)).otherwise(F.lit("0")).cast("int")
-    meridiem = F.when(with_colon, _group(low, colon, 3)).when(with_bare, F.lit(None)).otherwise(_group(low, half, 2))
-    hour24 = F.when((meridiem == "p") & (hour < 12), hour + 12).when((meridiem == "a") & (hour == 12), F.lit(0)).otherwise(hour)
-    return F.when((hour24 <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour24, minute))
+    """HH:MM of the first clock time in a text: with a separator (seconds are allowed and dropped), else digits
+    before hrs, else digits before am or pm. Null where there is none or it is out of range."""
+
+    def clock(k: int, m: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(m, r"^([0-9]+\s*[:.h]\s*[0-9]{2}):[0-9]{2}", "$1") if k == 0 else m, "[^0-9]", "")
+        half = F.when(m.contains("p"), "p").when(m.contains("a"), "a") if k != 1 else F.lit(None).cast("string")
+        return F.struct(digits.alias("digits"), half.alias("half"))
+
+    def written(found: Column) -> Column:
+        hour, minute = F.substring(found["digits"], F.lit(1), F.length(found["digits"]) - 2).cast("int"), F.right(found["digits"], F.lit(2)).cast("int")
+        hour24 = F.when((found["half"] == "p") & (hour < 12), hour + 12).when((found["half"] == "a") & (hour == 12), F.lit(0)).otherwise(hour)
+        return F.when((hour24 <= 23) & (minute <= 59), F.concat(F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
+
+    return bound(_first(F.lower(text), TIMES, clock), written)
+
+
+# -- fixed values: shapes of a date, in the order they are tried --------------------------------------------------
+DATES = [
+    r"(?:^|[^0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[^0-9]|$)",
+    rf"(?:^|[^0-9a-z])([0-9]{{1,2}})(?:st|nd|rd|th)?[\s,./-]*{_MONTH}[\s,./'-]*([0-9]{{4}}|[0-9]{{2}})?",
+    rf"(?:^|[^a-z]){_MONTH}[\s./-]*([0-9]{{1,2}})(?:st|nd|rd|th)?(?:[\s,./'-]+([0-9]{{4}}))?",
+    r"(?:^|[^0-9])([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4}|[0-9]{2})(?:[^0-9]|$)",
+]
+# ---------------------------------------------------------------------------------------------------------------
 
 
 def parse_date(text: Column, reference: Column) -> Column:
@@ -45,31 +81,29 @@ def parse_date(text: Column, reference: Column) -> Column:
     at most 12, or both above, are ambiguous and have two candidates and no date. A missing year is the
     reference's; two digits are after 2000.
     """
-    low = F.lower(text)
-    iso = r"(?:^|[^0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[^0-9]|$)"
-    named = rf"(?:^|[^0-9a-z])([0-9]{{1,2}})(?:st|nd|rd|th)?[\s,./-]*{_MONTH}[\s,./'-]*([0-9]{{4}}|[0-9]{{2}})?"
-    first = rf"(?:^|[^a-z]){_MONTH}[\s./-]*([0-9]{{1,2}})(?:st|nd|rd|th)?(?:[\s,./'-]+([0-9]{{4}}))?"
-    number = r"(?:^|[^0-9])([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4}|[0-9]{2})(?:[^0-9]|$)"
-    # the groups are bound once, as the variable of a one-element transform: each pattern runs once a row
-    found = F.struct(*(_group(low, p, k).alias(f"{name}{k}") for name, p in (("iso", iso), ("named", named), ("first", first), ("number", number)) for k in (1, 2, 3)), F.year(reference).alias("now"))
-    return F.get(F.transform(F.array(found), _date_of_groups), F.lit(0))
+    none = F.struct(F.lit(None).cast("date").alias("date"), F.lit(False).alias("ambiguous"), F.expr("cast(array() as array<date>)").alias("candidates"), F.lit(False).alias("had_year"))
+    # a pattern searches the text once; its groups are read from the match
+    groups = lambda k, m: F.struct(*(_group(m, DATES[k], g).alias(f"g{g}") for g in (1, 2, 3)))
+    return F.coalesce(_first(F.lower(text), DATES, lambda k, m: bound(groups(k, m), lambda g: _dated(k, g, F.year(reference)))), none)
 
 
-def _date_of_groups(g: Column) -> Column:
+def _dated(k: int, g: Column, now: Column) -> Column:
+    """parse_date's answer for the groups of one shape."""
     year_of = lambda y: F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int"))
     month_of = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("int")
-    a, b, year = g["number1"].cast("int"), g["number2"].cast("int"), year_of(g["number3"])
-    ymd = rolled_date(g["iso1"].cast("int"), g["iso2"].cast("int"), g["iso3"].cast("int"))
-    dmy = rolled_date(F.coalesce(year_of(g["named3"]), g["now"]), month_of(g["named2"]), g["named1"].cast("int"))
-    mdy = rolled_date(F.coalesce(g["first3"].cast("int"), g["now"]), month_of(g["first1"]), g["first2"].cast("int"))
-    is_iso, is_named, is_first, is_number = (g[f"{n}1"].isNotNull() for n in ("iso", "named", "first", "number"))
-    unsure = ((a <= 12) & (b <= 12)) | ((a > 12) & (b > 12))
-    exact = F.when(~unsure & (a > 12), rolled_date(year, b, a)).when(~unsure, rolled_date(year, a, b))
-    date = F.when(is_iso, ymd).when(is_named, dmy).when(is_first, mdy).when(is_number, exact)
-    ambiguous = F.coalesce(~is_iso & ~is_named & ~is_first & is_number & unsure, F.lit(False))
+    one, two, three = g["g1"], g["g2"], g["g3"]
+    made = lambda date, had, unsure=F.lit(False), both=F.expr("cast(array() as array<date>)"): F.struct(date.alias("date"), unsure.alias("ambiguous"), both.alias("candidates"), had.alias("had_year"))
+    if k == 0:
+        return made(rolled_date(one.cast("int"), two.cast("int"), three.cast("int")), F.lit(True))
+    if k == 1:
+        return made(rolled_date(F.coalesce(year_of(three), now), month_of(two), one.cast("int")), three.isNotNull())
+    if k == 2:
+        return made(rolled_date(F.coalesce(three.cast("int"), now), month_of(one), two.cast("int")), three.isNotNull())
+    a, b, year = one.cast("int"), two.cast("int"), year_of(three)
+    unsure = F.when((a <= 12) == (b <= 12), True).otherwise(False)
+    exact = F.when(~unsure, F.when(a > 12, rolled_date(year, b, a)).otherwise(rolled_date(year, a, b)))
     both = F.array_compact(F.array(rolled_date(year, b, a), rolled_date(year, a, b)))
-    had = F.when(is_iso, F.lit(True)).when(is_named, g["named3"].isNotNull()).when(is_first, g["first3"].isNotNull()).otherwise(is_number)
-    return F.struct(date.alias("date"), ambiguous.alias("ambiguous"), F.when(ambiguous, both).otherwise(F.expr("cast(array() as array<date>)")).alias("candidates"), F.coalesce(had, F.lit(False)).alias("had_year"))
+    return made(exact, F.lit(True), unsure, F.when(unsure, both).otherwise(F.expr("cast(array() as array<date>)")))
 
 
 def wallet_date(date: Column, time: Column, offset_minutes: Column | None = None) -> Column:
@@ -162,14 +196,22 @@ def first_column(text: Column, limit: int = 48) -> Column:
     return F.trim(F.substring(F.get(F.split(F.trim(text), r"\s{2,}|\|"), F.lit(0)), 1, limit))
 
 
+# -- fixed values: senders that name no one, mail services, and labels of mail hosts ------------------------------
+NO_ONE = r"(?i)^(no[\s-]?reply|do[\s-]?not[\s-]?reply|bookings?|tickets?|info|support|noreply|customer\s*care)$"
+WEBMAIL = r"(?i)^(gmail|outlook|hotmail|yahoo|icloud|proton|me|live|msn)\."
+MAIL_LABELS = ("email", "mail", "e", "mailer", "notify", "notifications", "send", "smtp", "www", "m")
+# ---------------------------------------------------------------------------------------------------------------
+
+
 def provider_from_sender(name: Column, domain: Column) -> Column:
-    """A provider's name from a sender: its display name unless generic, else the main label of its domain."""
-    generic = r"(?i)^(?:no.?reply|do.?not.?reply|noreply|info|support|tickets?|bookings?|booking confirmation|notifications?|customer (?:care|service)|mailer|admin)$"
-    webmail = r"(?i)^(?:.*\.)?(?:gmail|googlemail|yahoo|outlook|hotmail|live|icloud|proton|protonmail|aol|rediffmail)\.[a-z.]+$"
-    own = F.regexp_replace(F.lower(domain), r"^(?:(?:mail|email|e|news|notify|notifications?|tickets?|booking|info|reply|noreply|mailer|em|smtp)\.)+", "")
-    label = F.initcap(F.replace(F.get(F.split(own, r"\."), F.lit(0)), F.lit("-"), F.lit(" ")))
-    cleaned = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r'["<>]', ""))
-    return F.when((F.length(cleaned) >= 2) & ~cleaned.rlike(generic) & ~cleaned.contains("@"), cleaned).when(domain.isNotNull() & ~domain.rlike(webmail), F.nullif(label, F.lit("")))
+    """A provider's name from a sender: its display name (without "via ...") unless it names no one, else the main label of its domain."""
+    shown = F.trim(F.regexp_replace(F.trim(name), r"(?i)\s*(via|through)\s+.*$", ""))
+    usable = F.coalesce(~F.trim(name).rlike(NO_ONE) & F.length(shown).between(2, 40), F.lit(False))
+    labels = F.split(F.lower(domain), r"\.")
+    own = F.filter(labels, lambda x: ~x.isin(*MAIL_LABELS))
+    core = F.when(F.size(own) > 1, F.get(own, F.lit(0))).otherwise(F.get(labels, F.lit(0)))
+    label = F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1000))
+    return F.when(usable, shown).when(domain.isNotNull() & ~domain.rlike(WEBMAIL) & (F.length(core) >= 2), label)
 
 
 def email_domain(text: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +41,8 @@ def parse(text: str | None) -> list[str]:
 
 
 @on_arrow("array<string>")
-def parse_seats(text: pd.Series) -> pd.Series:
-    return text.map(parse)
+def parse_seats(text):
+    return parse(text)
 
 
 def runs(rows: DataFrame, keys: list[str], number: str, most: int = 24) -> DataFrame:

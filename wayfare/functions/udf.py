@@ -1,19 +1,34 @@
-"""Pandas UDFs that are made when they are used, so that modules import without a session."""
+"""Arrow UDFs that are made when they are used, so that modules import without a session."""
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+
+
+def each_row(fn: Callable, schema: str, columns) -> Column:
+    """A Column of a plain function of one row's values, run on Arrow batches without going through pandas."""
+    kind = to_arrow_type(DataType.fromDDL(schema), prefers_large_types=False)
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([fn(*row) for row in zip(*(a.to_pylist() for a in arrays), strict=True)], kind)
+
+    return F.arrow_udf(run, schema)(*columns)
 
 
 def on_arrow(schema: str):
-    """Turn a function of Series into one of Columns with a return type."""
+    """Turn a function of one row's values into one of Columns with a return type."""
 
     def wrap(fn):
         @functools.wraps(fn)
         def call(*columns):
-            return F.pandas_udf(fn, schema)(*columns)
+            return each_row(fn, schema, columns)
 
         return call
 

@@ -6,7 +6,6 @@ Images are RGBA bytes with width and height, one a row, worked on with NumPy in
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 from ..functions.udf import on_arrow
 
@@ -134,11 +133,11 @@ def looks_like_barcode(image: np.ndarray) -> bool:
 
 
 @on_arrow(f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in ['background int', 'dominant int', 'ink double', 'n_components int', 'logo struct<x:int,y:int,width:int,height:int>', 'barcode boolean'])}>")
-def raster_stats(rgba: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data, w, h in zip(rgba, width, height, strict=True):
-        image = pixels(data, int(w), int(h))
-        back = background(image)
-        mask, box = ink_mask(image, back), logo_region(image)
-        rows.append({"background": back[0] << 16 | back[1] << 8 | back[2], "dominant": dominant_colour(image), "ink": float(mask.mean()), "n_components": len(components(mask)), "logo": dict(zip(("x", "y", "width", "height"), box, strict=True)) if box else None, "barcode": looks_like_barcode(image)})
-    return pd.DataFrame(rows, columns=["background", "dominant", "ink", "n_components", "logo", "barcode"])
+def raster_stats(rgba, width, height):
+    image = pixels(rgba, int(width), int(height))
+    back = background(image)
+    mask, box = ink_mask(image, back), logo_region(image)
+    return {
+        "background": back[0] << 16 | back[1] << 8 | back[2], "dominant": dominant_colour(image), "ink": float(mask.mean()), "n_components": len(components(mask)),
+        "logo": dict(zip(("x", "y", "width", "height"), map(int, box), strict=True)) if box else None, "barcode": looks_like_barcode(image),
+    }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ RULES = [
     (r"\+[0-9]{1,3}[ -]?[0-9][0-9 -]{7,12}[0-9]", "+00 0000000000"),
     (r"\b[0-9]{11,}\b", "00000000000"),
     (r"\b[0-9]{10}\b", "0000000000"),
-    (r"\b(PNR|Ref|Booking)(\s*[:#]?\s*)[A-Z0-9]{6}\b", "${1}${2}XXXXXX"),
+    (r"\b(PNR|Ref|Booking)(\s*[:#]?\s*)[A-Z0-9]{6}\b", "$1$2XXXXXX"),
 ]
 
 
@@ -47,11 +46,11 @@ def redact_page(texts: list[str]) -> list[str]:
         t = re.sub(r"\b\d{10}\b", lambda m: numbers.setdefault(m[0], f"{len(numbers) + 1:010d}"), t)
         for pattern, replacement in RULES:
             if r"[0-9]{10}\b" not in pattern:
-                t = re.sub(pattern, re.sub(r"\$\{(\d)\}", r"\\\1", replacement), t)
+                t = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", replacement), t)
         out.append(t)
     return out
 
 
 @on_arrow("array<string>")
-def redact_pages(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda v: redact_page(list(v)) if v is not None else None)
+def redact_pages(texts):
+    return redact_page(texts) if texts is not None else None

@@ -24,7 +24,7 @@ def file_kind(content: Column, path: Column) -> Column:
         .when(_starts(content, "52494646") & _starts(content, "57454250", 9), "webp")
         .when(_starts(content, "66747970", 5) & brand.isin("heic", "heix", "hevc", "hevx", "mif1", "msf1", "avif", "avis"), "heif")
     )
-    return F.when(F.length(content) < 4, F.lit(None)).when(_starts(content, "25504446"), "pdf").when(image.isNotNull(), image).when(textual, "text")
+    return F.when(F.length(content) < 4, F.lit(None)).when(_starts(content, "25504446"), "pdf").when(textual, "text").otherwise(image)
 
 
 def ingest(files: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +32,9 @@ def html_items(html: Column) -> Column:
 
 
 @on_arrow("array<struct<text:string,x:double,y:double,width:double,height:double,confidence:double>>")
-def ocr_lines(words: pd.Series) -> pd.Series:
+def ocr_lines(words):
     """Lines of OCR words (text, x, y, width, height, confidence); a line is as sure as its least sure word."""
-
-    def one(value):
-        items = layout._items(value)
-        return [{k: line[k] for k in ("text", "x", "y", "width", "height")} | {"confidence": min((i.get("confidence") or 0.0) for i in line["items"])} for line in layout.build_lines(items)]
-
-    return words.map(one)
+    return [{k: line[k] for k in ("text", "x", "y", "width", "height")} | {"confidence": min((i.get("confidence") or 0.0) for i in line["items"])} for line in layout.build_lines(words or [])]
 
 
 def unavailable_images(images: Column) -> Column:

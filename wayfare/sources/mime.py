@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import html
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +19,11 @@ from ..functions.udf import on_arrow
 from ..schemas import EMAIL
 
 DEPTH = 8
-DROPPED = frozenset("script iframe object embed applet frame frameset form input button textarea select base".split())
+# -- fixed values: elements that are removed with what is in them, and those of them that have no end tag ----------
+DROPPED = frozenset("script iframe object embed applet frame frameset link base form input button noscript".split())
+EMPTY = frozenset("embed frame link base input".split())
+ADDRESSES = frozenset("href src xlink:href action formaction srcset background poster".split())
+# -----------------------------------------------------------------------------------------------------------------
 _WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=")
 
 
@@ -118,10 +122,14 @@ def parse(raw: str | None) -> dict | None:
 
 
 @on_arrow(EMAIL)
-def messages(raw: pd.Series) -> pd.DataFrame:
+def messages(raw):
     """struct EMAIL of raw messages."""
-    empty = dict.fromkeys(("subject", "from_name", "from_domain", "html", "text"), None) | {"attachments": [], "resources": []}
-    return pd.DataFrame([parse(x) or empty for x in raw], columns=list(empty))
+    return parse(raw) or dict.fromkeys(("subject", "from_name", "from_domain", "html", "text"), None) | {"attachments": [], "resources": []}
+
+
+#: Stands for & while a page is cleaned, so that references come out as they went in.
+_AMPERSAND = "\ue0ff"
+_ACTIVE = re.compile(r"(?i)[\s\x00-\x20]*(?:javascript|vbscript|data:text/html)")
 
 
 class _Cleaner(HTMLParser):
@@ -132,13 +140,13 @@ class _Cleaner(HTMLParser):
 
     def handle_starttag(self, tag, attrs, closed=False):
         if self.skip or tag in DROPPED:
-            if not closed and tag in ("script", "iframe", "object", "applet", "frameset", "form", "button", "textarea", "select"):
+            if tag in DROPPED and tag not in EMPTY and not closed:
                 self.skip.append(tag)
             return
         a = dict(attrs)
-        if tag == "meta" and (a.get("http-equiv") or "").lower() in ("refresh", "content-security-policy"):
+        if tag == "meta" and re.search(r"(?i)refresh|content-security-policy", a.get("http-equiv") or ""):
             return
-        kept = [(k, v) for k, v in attrs if not k.lower().startswith("on") and not re.match(r"(?i)[\s\x00-\x20]*(?:javascript|vbscript|data\s*:\s*text/html)", v or "")]
+        kept = [(k, v) for k, v in attrs if not k.lower().startswith("on") and not (k.lower() in ADDRESSES and _ACTIVE.match(html.unescape((v or "").replace(_AMPERSAND, "&"))))]
         self.out.append("<" + tag + "".join(f' {k}="{(v or "").replace(chr(34), "&quot;")}"' for k, v in kept) + ("/>" if closed else ">"))
 
     def handle_startendtag(self, tag, attrs):
@@ -155,26 +163,20 @@ class _Cleaner(HTMLParser):
         if not self.skip:
             self.out.append(data)
 
-    def handle_entityref(self, name):
-        self.handle_data(f"&{name};")
-
-    def handle_charref(self, name):
-        self.handle_data(f"&#{name};")
-
 
 def sanitise(text: str | None) -> str | None:
     """HTML without active elements, event attributes, script addresses, refreshes and policies."""
     if text is None:
         return None
     c = _Cleaner()
-    c.feed(text)
+    c.feed(text.replace("&", _AMPERSAND))
     c.close()
-    return "".join(c.out)
+    return "".join(c.out).replace(_AMPERSAND, "&")
 
 
 @on_arrow("string")
-def sanitise_html(html: pd.Series) -> pd.Series:
-    return html.map(sanitise)
+def sanitise_html(page):
+    return sanitise(page)
 
 
 def best_part(attachments: Column, html: Column, text: Column) -> Column:
