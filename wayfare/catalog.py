@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import places, scalars, seats
+from .functions.udf import spread
 from .operators import barcode, classify, layout, quality, raster, redact, store
 from .plans import lifecycle
 from .sources import mime
@@ -24,6 +25,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for queries that work long on each row."""
+    return spread(_t(spark, sf_dir, name))
+
+
+def _orders_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem by order over all cores: the grouping that follows needs no other shuffle, and its groups are not put together again."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _t(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey")
+
+
 def _records(spark, sf_dir) -> DataFrame:
     """Orders as records: some without a time, some archived."""
     o = _t(spark, sf_dir, "orders")
@@ -69,7 +81,7 @@ def store_upsert(spark, sf_dir):
 
 
 def _bcbp(spark, sf_dir):
-    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    o, c = _dealt(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation")
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(nation), c.c_nationkey == nation.n_nationkey)
     code = F.rpad(F.upper(F.substring(F.replace("n_name", F.lit(" "), F.lit("")), 1, 3)), 3, "X")
@@ -107,7 +119,7 @@ def julian_year(spark, sf_dir):
 
 
 def _printed(spark, sf_dir, pattern):
-    o = _t(spark, sf_dir, "orders")
+    o = _dealt(spark, sf_dir, "orders")
     parsed = scalars.parse_date(F.concat(F.lit("Journey date: "), F.date_format("o_orderdate", pattern), F.lit(" onward")), F.lit("1996-01-01").cast("date"))
     return o.select("o_orderkey", parsed["date"].cast("string").alias("date"), parsed["ambiguous"].alias("ambiguous"))
 
@@ -151,7 +163,7 @@ def _cell(text, x, y):
 
 def _layout(spark, sf_dir):
     """Orders as pages: a value beside its label, one below, and one after a colon."""
-    o = _t(spark, sf_dir, "orders")
+    o = _dealt(spark, sf_dir, "orders")
     key, status, price = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
     items = F.array(
         _cell(F.lit("Booking reference:"), 40, 100), _cell(F.concat(F.lit("R"), key), 240, 100), _cell(F.lit("Coach"), 40, 140), _cell(F.lit("Travel class"), 200, 140),
@@ -168,14 +180,14 @@ def label_value(spark, sf_dir):
 
 def column_split(spark, sf_dir):
     """Cells of a line of one to four columns, and of one whose runs stand close together."""
-    o = _t(spark, sf_dir, "orders")
+    o = _dealt(spark, sf_dir, "orders")
     wide = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int")), lambda k: _cell(F.col("o_orderstatus"), k * 80.0, 100))
     close = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda k: _cell(F.col("o_orderstatus"), k * 9.0, 140))
     return o.select("o_orderkey", F.array_join(layout.cell_counts(F.concat(wide, close)), "-").alias("cells"))
 
 
 def table_rows(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))).alias("r"))
+    li = _orders_of_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))).alias("r"))
     row = lambda x, i: F.array(
         *(F.struct(t.alias("text"), F.lit(at).alias("x"), (F.lit(134.0) + 14 * i).alias("y"), (F.length(t) * 5.2).alias("width"), F.lit(10.0).alias("height")) for t, at in ((x["l_linenumber"].cast("string"), 40.0), (x["l_quantity"].cast("int").cast("string"), 160.0), (x["l_returnflag"], 280.0)))
     )
@@ -215,7 +227,7 @@ _MARK = 2654435761
 def signal_score(spark, sf_dir):
     """Scores of texts that are composed of signals, far apart and in both orders."""
     mark = F.pmod(F.col("doc_id") * _MARK, F.lit(1 << 22))
-    out = _t(spark, sf_dir, "documents").select("doc_id", mark.alias("mark"))
+    out = _dealt(spark, sf_dir, "documents").select("doc_id", mark.alias("mark"))
     for kind, phrases in PHRASES.items():
         parts = F.array(*(F.when(F.shiftright("mark", k).bitwiseAND(1) == 1, phrase) for k, (phrase, _) in enumerate(phrases)))
         text = F.array_join(F.when(F.col("mark") % 2 == 0, F.reverse(F.array_compact(parts))).otherwise(F.array_compact(parts)), "\n" + "and so on " * 12 + "\n")
@@ -264,11 +276,11 @@ def email_domain(spark, sf_dir):
 
 
 def redact_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
+    return _dealt(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
 
 
 def plaintext_grid(spark, sf_dir):
-    t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", layout.grid_items(F.col("text")).alias("items"))
+    t = _dealt(spark, sf_dir, "conversations").select("conv_id", "turn", layout.grid_items(F.col("text")).alias("items"))
     return t.select("conv_id", "turn", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0.0), lambda s, i: s + i["width"]).cast("long").alias("widths"), F.coalesce(F.array_max(F.transform("items", lambda i: i["y"])), F.lit(0.0)).cast("long").alias("bottom"))
 
 
@@ -301,7 +313,7 @@ def luminance_contrast(spark, sf_dir):
 
 
 def mime_parse(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages")
+    p = _dealt(spark, sf_dir, "pages")
     raw = F.concat(F.lit("From: Tickets <no-reply@mail.example.org>\r\nSubject: =?utf-8?B?"), F.base64(F.col("url").cast("binary")), F.lit("?=\r\nContent-Type: multipart/mixed; boundary=b1\r\n\r\n--b1\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.col("html").cast("binary")), F.lit("\r\n--b1\r\nContent-Type: application/pdf; name=t.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nJVBERg==\r\n--b1--\r\n"))
     m = p.select("page_id", mime.messages(raw).alias("m"))
     return m.select("page_id", "m.subject", "m.from_domain", F.length("m.html").cast("long").alias("html_chars"), F.col("m.attachments")[0]["size"].alias("pdf_bytes"), mime.best_part(F.col("m.attachments"), F.col("m.html"), F.col("m.text")).alias("part"))
@@ -314,7 +326,7 @@ def html_sanitise(spark, sf_dir):
         F.lit('<p onclick="x()" class="c">a<script>if (a < b) track(1)</script><a href="'), u, F.lit('" ONMOUSEOVER="y()">b</a><link rel="stylesheet" href="http://t/1.css"><noscript><img src="http://t/1.gif"></noscript>'
         '<a href=" javascript:z()">c</a><meta http-equiv="refresh" content="0"><form action="/s"><b>d</b><input name="q"></form><iframe src="http://t/2"></iframe><textarea>'), u, F.lit('</textarea>&amp;</p>'),
     )
-    return _t(spark, sf_dir, "pages").select("page_id", mime.sanitise_html(F.concat(*parts)).alias("html"))
+    return _dealt(spark, sf_dir, "pages").select("page_id", mime.sanitise_html(F.concat(*parts)).alias("html"))
 
 
 def raster_summary(spark, sf_dir):
@@ -325,7 +337,7 @@ def raster_summary(spark, sf_dir):
     white = lambda n: F.repeat(F.lit("FFFFFFFF"), n)
     line = F.concat(white(left), F.repeat(dot, width), white(24 - left - width))
     data = F.unhex(F.concat(white(F.lit(24 * 5)), F.repeat(line, height), white(24 * (11 - height))))
-    s = _t(spark, sf_dir, "part").select("p_partkey", raster.raster_stats(data, F.lit(24), F.lit(16)).alias("s"))
+    s = _dealt(spark, sf_dir, "part").select("p_partkey", raster.raster_stats(data, F.lit(24), F.lit(16)).alias("s"))
     return s.select("p_partkey", "s.background", "s.dominant", F.round("s.ink", 6).alias("ink"), "s.n_components", "s.barcode")
 
 
@@ -392,7 +404,7 @@ def ticket_dates(spark, sf_dir):
 
 def railway_records(spark, sf_dir):
     """Railway payloads of several passengers, over pages that say otherwise."""
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    li = _orders_of_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
     key = F.col("l_orderkey").cast("string")
     people = F.array_join(F.transform("n", lambda n: F.concat(F.lit("Passenger Name:ASHA "), F.chr(n + 64), F.lit(",\nStatus:CNF,\n"))), "")
     payload = F.concat(F.lit("PNR No.:P"), key, F.lit(",\nTrain No.:12"), key, F.lit(",\nTrain Name:EXPRESS,\n"), people, F.lit("From:NEW DELHI - NDLS,\nTo:MUMBAI - MMCT,\nDate of Journey:05-May-2024,\n"))

@@ -6,12 +6,22 @@ import functools
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table, dealt over all cores if it has fewer splits than there are.
+
+    For steps that are long for each row: a table in one small file would be one task's work. Tables with as many
+    splits as cores, as all large ones, are left as they are, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def each_row(fn: Callable, schema: str, columns) -> Column:
     """A Column of a plain function of one row's values, run on Arrow batches without going through pandas."""
     kind = to_arrow_type(DataType.fromDDL(schema), prefers_large_types=False)
