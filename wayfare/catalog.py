@@ -57,7 +57,7 @@ def store_partition(spark, sf_dir):
 
 
 def store_next(spark, sf_dir):
-    return store.next_record(_records(spark, sf_dir), NOW).select("id", "departs_at")
+    return store.next_record(_records(spark, sf_dir), NOW).select("id", F.coalesce("departs_at", F.lit(-1)).alias("departs_at"))
 
 
 def retention_expired(spark, sf_dir):
@@ -442,7 +442,7 @@ def _lum_sql(channel: str) -> str:
 
 ORACLES = {
     "store_partition": f"SELECT id, side, CASE WHEN side = 'past' THEN -coalesce(nullif(departs_at, 0), added_at) ELSE coalesce(departs_at, -4611686018427387904) END AS sort_key FROM (SELECT *, {_SIDE_SQL} AS side FROM ({_RECORDS_SQL}))",
-    "store_next": f"SELECT id, departs_at FROM ({_RECORDS_SQL}) WHERE {_SIDE_SQL} = 'upcoming' ORDER BY departs_at NULLS FIRST, id LIMIT 1",
+    "store_next": f"SELECT id, coalesce(departs_at, -1) AS departs_at FROM (SELECT * FROM ({_RECORDS_SQL}) WHERE {_SIDE_SQL} = 'upcoming' ORDER BY departs_at NULLS FIRST, id LIMIT 1)",
     "retention_expired": f"SELECT policy, id FROM ({_RECORDS_SQL}) JOIN (VALUES ('month', 30), ('week', 7), ('at-once', 0)) p(policy, days) ON departs_at < {NOW} - 21600000 - days * 86400000::BIGINT",
     "import_merge": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'added' END AS status, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
     "store_upsert": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'user' ELSE 'orders' END AS source, count(*) AS n, count(*) FILTER (o_orderkey % 5 = 0) AS stamped FROM orders GROUP BY 1",
