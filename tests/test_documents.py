@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wayfare.functions import places
-from wayfare.operators import builders, layout, raster, redact
+from wayfare.operators import builders, layout, raster, reading, redact
 from wayfare.plans import lifecycle
 from wayfare.sources import mime
 
@@ -175,3 +175,41 @@ def test_rasters():
     u = np.zeros((3, 3), bool)
     u[:, [0, 2]] = u[2] = True
     assert raster.components(u) == [(0, 0, 3, 3, 7)]
+
+
+def lines_of(text):
+    return [{"text": t, "height": 12.0, "cells": [{"text": c} for c in re.split(r" {2,}", t)]} for t in text.split("\n")]
+
+
+def test_readings_of_dates_and_times():
+    assert reading.readings("16 Sep 2026, 16-SEP-26 or September 17, 2026") == ["2026-09-16", "2026-09-17"]
+    assert reading.readings("08/09/2026") == ["2026-08-09", "2026-09-08"] and reading.readings("31/02/2026 2026-01-02") == ["2026-01-02"]
+    assert reading.readings("16 Sep 14:35") == [] and reading.readings(None) == []
+    page_ = lines_of("Booked 1 Jan 2020 07:14\n08/08/2026 14:04\n16 Sep 2026 14:35 to 5:20 pm\nLounge 23:10")
+    assert reading.journey_times(page_, "2026-09-16") == ["14:35", "17:20"]
+    assert reading.journey_times(page_, "2026-08-08") == ["14:04"] and reading.journey_times([], None) == []
+    assert reading.clocks("24:00 12:61 12:05 am 9:30") == ["00:05", "09:30"]
+
+
+def test_route_headings():
+    far = lambda *rows: layout.build_lines([i for y, cells, h in rows for i in page((y, cells), height=h)])
+    assert reading.route_heading(lines_of("Acme\nJaipur-> Bhim Wednesday, August 10th, 2022")) == ("Jaipur", "Bhim", 1)
+    assert reading.route_heading(lines_of("Pune to Nashik")) == ("Pune", "Nashik", 0) and reading.route_heading(lines_of("Write to us for any of these")) is None
+    assert reading.route_heading([]) is None and reading.route_heading(lines_of("Pune -> PUNE")) is None
+    assert reading.route_heading(far((10, [(40, "Bengaluru"), (300, "Proddatur"), (500, "20-07-2017")], 20.0), (60, [(40, "fare of the day")], 8.0), (90, [(40, "body text")], 8.0))) == ("Bengaluru", "Proddatur", 0)
+    assert reading.route_heading(far((10, [(40, "Ticket ID"), (300, "Order ID")], 20.0), (60, [(40, "a b")], 8.0), (90, [(40, "c d")], 8.0))) is None
+    got = built("rail", "Acme bus\nTravel date: 10 Aug\nJaipur-> Bhim Wednesday, August 10th, 2022\nBoarding point: Stand")
+    assert (got["origin"], got["destination"], got["date"]) == ("Jaipur", "Bhim", "2022-08-10")
+
+
+def test_names_brands_and_guesses():
+    assert reading.names_under_heading(lines_of("Passenger Name  ASHLEY/MARTELLE  FREQUENT FLYER\nSAN FRANCISCO INTL")) == ["ASHLEY/MARTELLE"]
+    assert reading.names_under_heading(lines_of("Passenger information\nMr Ravi Rao Adult\nBengaluru\nOrigin BLR\nRavi Rao Deana\nAsha Rao")) == ["Ravi Rao", "Asha Rao"]
+    assert reading.names_under_heading(lines_of("Names\nRavi Rao")) == []
+    assert [reading.is_title(x) for x in ("Boarding Pass", "Dear Asha", "74] PNR: X", "Zi", "Acme Air", None, "")] == [True, True, True, True, False, False, False]
+    assert [reading.carrier_name(x) for x in ("6E", "AI-2814", "XY 123", "Acme", None)] == ["IndiGo", "Air India", "XY 123", "Acme", None]
+    fields = {f["key"]: f for f in builders.build("flight", [], "Boarding pass\nFlight: 6E 5306\nTravel date: 5 May 2024\n5 May 2024 09:30 - 11:00\nSeat: 3A", None, REF)}
+    assert (fields["departureTime"]["value"], fields["arrivalTime"]["value"], fields["provider"]["value"]) == ("09:30", "11:00", "IndiGo")
+    assert fields["departureTime"]["issues"] == [("warning", "guessed-time", "")]
+    unsure = {f["key"]: f for f in builders.build("rail", [], "Travel date: 05/06/2024", None, REF)}["date"]
+    assert unsure["value"] is None and unsure["issues"] == [("warning", "ambiguous-date", "2024-05-06|2024-06-05")]

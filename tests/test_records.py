@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayfare.functions import scalars
 from wayfare.operators import barcode, classify, quality, store
 from wayfare.schemas import RECORD
 
@@ -183,3 +184,23 @@ def test_tiles_cover_a_page(spark):
     t = spark.range(1).select(barcode.tiles(F.lit(1200), F.lit(900))).first()[0]
     assert len(t) == 9 and (t[0]["row"], t[0]["column"], t[0]["priority"]) == (2, 2, 0)
     assert max(x["x"] + x["width"] for x in t) == 1200 and max(x["y"] + x["height"] for x in t) == 900
+
+
+def test_undo_headers_and_resumption(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "id string, departs_at long").withColumn("archived", F.lit(False))
+    gone = spark.createDataFrame([("a",), ("b",), ("b",), ("x",)], "id string")
+    left, kept = store.delete(rows, gone), store.removed(rows, gone)
+    assert sorted(r.id for r in left.collect()) == ["c"] and sorted(r.id for r in kept.collect()) == ["a", "b"]
+    assert sorted((r.id, r.departs_at) for r in store.restore(left, kept).collect()) == [("a", 1), ("b", None), ("c", 3)]
+    assert store.restore(rows, kept).count() == 3
+    assert store.past_count(rows, 10 * store.DAY).first().n == 2 and store.past_count(rows.limit(0), 0).first().n == 0
+    assert store.backup_header(rows, 0, gone).first().line == '{"format":"wayfare-backup-1","exportedAt":"1970-01-01T00:00:00Z","count":2}'
+    states = spark.createDataFrame([("a", 0), ("b", 5 * 60_000), ("c", 10**9)], "id string, saved_at long")
+    assert [r.id for r in store.resumed(rows, states, 31 * 60_000).collect()] == ["b"]
+
+
+def test_shapes_dates_and_names(spark):
+    df = spark.createDataFrame([(100, 100), (400, 100), (79, 79), (100, 60), (0, 0)], "w int, h int")
+    assert [r[0] for r in df.select(barcode.shape_score(df.w, df.h)).collect()] == [100.0, 60.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([("2024-05-05", "RAJASTHAN STATE"), ("soon", "KSRTC"), (None, None)], "d string, p string")
+    assert [tuple(r) for r in df.select(scalars.format_date(df.d), scalars.tidy_provider(df.p)).collect()] == [("5 May", "Rajasthan State"), ("soon", "KSRTC"), ("", None)]

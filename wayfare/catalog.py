@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import places, scalars, seats
 from .functions.udf import spread
-from .operators import barcode, classify, layout, quality, raster, redact, store
+from .operators import barcode, builders, classify, layout, quality, raster, reading, redact, store
 from .plans import lifecycle
 from .sources import mime
 
@@ -292,7 +292,7 @@ def dominant_bucket(spark, sf_dir):
 
 
 def median_lines(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("middle"), F.get(F.array_sort(F.collect_list("l_quantity")), F.floor(F.count("*") / 2).cast("int")).alias("upper"))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("middle"), scalars.upper_median("l_quantity").alias("upper"))
 
 
 def runner_up(spark, sf_dir):
@@ -413,6 +413,74 @@ def railway_records(spark, sf_dir):
     return lifecycle.records(docs).select("id", "kind", f["pnr"].alias("pnr"), f["service"].alias("service"), f["passenger"].alias("passenger"), f["origin"].alias("origin"), f["destination"].alias("destination"), f["date"].alias("date"), F.col("source")["pnr"].alias("source"))
 
 
+def dates_on_line(spark, sf_dir):
+    """All readings of lines with a named date and a numeric one, month first, of the next day."""
+    day = F.col("o_orderdate").cast("date")
+    text = F.concat(F.lit("Valid "), F.date_format(day, "d MMM yyyy"), F.lit(", until "), F.date_format(F.date_add(day, 1), "MM/dd/yyyy"))
+    return _dealt(spark, sf_dir, "orders").select("o_orderkey", F.array_join(reading.dates_on_line(text), ",").alias("dates"))
+
+
+def printed_times(spark, sf_dir):
+    """Boarding records over pages with stamps, and times beside the date, without a date, or with one label."""
+    d, k = _bcbp(spark, sf_dir).withColumn("day", F.date_format("o_orderdate", "d MMM yyyy")), F.col("o_orderkey")
+    clock = lambda more: F.concat(F.lpad((k % 20 + more).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    own = F.when(k % 3 == 0, F.concat(F.lit("On "), "day", F.lit(" "), clock(0), F.lit(" Delhi "), clock(2), F.lit(" Goa\nLounge 23:59"))).when(k % 3 == 1, F.concat(F.lit("Delhi "), clock(0), F.lit(" Goa "), clock(2)))
+    own = own.otherwise(F.concat(F.lit("Departure time: 06:30\n"), "day", F.lit(" "), clock(0), F.lit(" Delhi "), clock(2), F.lit(" Goa")))
+    docs = d.select(k.cast("string").alias("doc_id"), F.concat(F.lit("Booked 1 Jan 2001 07:14\n01/02/2031 14:04\nPrinted 10:00\n"), own).alias("text"), _payload().alias("payload"), F.col("o_orderdate").cast("date").alias("reference"))
+    f = F.col("fields")
+    return lifecycle.records(docs).select("id", f["departureTime"].alias("departs"), f["arrivalTime"].alias("arrives"), F.col("confidence")["departureTime"].alias("sure"), f["provider"].alias("provider"))
+
+
+def bus_headings(spark, sf_dir):
+    """Bus slips whose route and date stand in a heading; a label says the day without its year, or nothing does."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    shown = F.when(k % 2 == 0, F.concat(F.lit("Pune-> Nashik "), F.date_format(day, "EEEE, MMMM d, yyyy"))).otherwise(F.concat(F.lit("Travel date: "), F.date_format(day, "d MMM"), F.lit("\nPune → Nashik\n"), F.date_format(day, "yyyy-MM-dd")))
+    text = F.concat(F.lit("Acme bus\n"), shown, F.lit("\nBoarding point: Stand 4\nDropping point: Depot\nSeat: 5\nTicket no: TKT"), k.cast("string"))
+    docs = _dealt(spark, sf_dir, "orders").where("dayofyear(o_orderdate) <> 60").select(k.cast("string").alias("doc_id"), text.alias("text"), F.lit(None).cast("string").alias("payload"), F.add_months(day, 14).alias("reference"))
+    f = F.col("fields")
+    return lifecycle.records(docs).select("id", "kind", f["origin"].alias("origin"), f["destination"].alias("destination"), f["date"].alias("date"), f["pnr"].alias("pnr"))
+
+
+def names_under_heading(spark, sf_dir):
+    """Passengers under a heading, among age groups, sectors, cities and repeats."""
+    name = F.concat(F.lit("Asha "), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    text = F.concat(F.lit("Passenger details\nAdult\nSector DEL-BOM\n"), name, F.lit("\nBengaluru\n"), F.when(F.col("c_custkey") % 2 == 0, "Ravi Rao").otherwise(F.concat(name, F.lit(" Extra"))), F.lit("\nTwo Late"))
+    none = F.lit(None).cast("string")
+    made = builders.fields_of(F.lit("flight"), F.array().cast(layout.ITEMS), text, none, F.lit("2024-03-01").cast("date"), none, F.lit(None).cast("struct<values:map<string,string>,passengers:array<string>>"))
+    value = lambda key: F.get(F.filter(F.col("fields"), lambda x: x["key"] == key), F.lit(0))["value"]
+    return _dealt(spark, sf_dir, "customer").select("c_custkey", made.alias("fields")).select("c_custkey", value("passenger").alias("passenger"), value("passengers").alias("passengers"))
+
+
+def brand_names(spark, sf_dir):
+    """What stands large on a page: titles and salutations are no brands, codes become airlines, capitals are tidied."""
+    text = F.element_at(F.array(*map(F.lit, ("Boarding pass", "Dear guest", "6E 5306", "Acme Air", "ZZ 123", "RAJASTHAN STATE BUS"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return _dealt(spark, sf_dir, "customer").select("c_custkey", reading.looks_like_title(text).alias("title"), reading.expand_carrier(text).alias("name"), scalars.tidy_provider(text).alias("tidy"))
+
+
+def store_undo(spark, sf_dir):
+    """A fifth of the records is deleted and brought back; half of these were there again, changed."""
+    r = _records(spark, sf_dir)
+    ids = r.where("added_at % 5000 = 0").select("id")
+    again = r.where("added_at % 10000 = 0").withColumn("source", F.lit("again"))
+    after = store.restore(store.delete(r, ids).unionByName(again), store.removed(r, ids))
+    return after.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def backup_header(spark, sf_dir):
+    head = store.backup_header(_records(spark, sf_dir), NOW)
+    return head.select(F.from_json("line", "format string, exportedAt string, count long").alias("h")).select("h.format", F.col("h.exportedAt").alias("exported_at"), F.col("h.count").alias("n"))
+
+
+def shape_scores(spark, sf_dir):
+    w, h = F.col("p_partkey") % 400 + 1, F.col("p_partkey") % 150 + 1
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(barcode.shape_score(w, h), 4).alias("score"))
+
+
+def neutral_colours(spark, sf_dir):
+    rgb = (F.col("p_partkey") * 7919 % 16777216).cast("int")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(scalars.saturation(rgb), 6).alias("saturation"), scalars.is_neutral(rgb).alias("neutral"))
+
+
 _MEDIAN_UP = "list_sort(list(l_quantity))[(count(*) // 2 + 1)::INT]"
 _EMAIL = "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
 
@@ -474,6 +542,16 @@ SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS
     "raster_summary": "SELECT p_partkey, 16777215 AS background, (200 * 65536 + p_partkey % 4 * 16 * 256 + 30)::INT AS dominant, round((p_partkey % 7 + 6) * (p_partkey % 4 + 4) / 384.0, 6) AS ink, 1 AS n_components, false AS barcode FROM part",
     "redact_planted": "SELECT c_custkey, 'Dear guest ' || c_custkey || ': write to someone@example.com or ring +00 0000000000 or 0000000000. Card 0000 0000 0000 0000, PNR: XXXXXX, ticket 00000000000. Seat 12A, gate 4, 9:30' AS text FROM customer",
     "airport_lookup": _airport_sql(),
+    "dates_on_line": """SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([strftime(d, '%Y-%m-%d'), strftime(e, '%Y-%m-%d'), CASE WHEN day(e) <= 12 THEN strftime(make_date(year(e), day(e), month(e)), '%Y-%m-%d') END], lambda x: x IS NOT NULL))), ',') AS dates
+  FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE + 1 AS e FROM orders)""",
+    "printed_times": "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 2 THEN '06:30' ELSE printf('%02d:%02d', o_orderkey % 20, o_orderkey % 60) END AS departs, printf('%02d:%02d', o_orderkey % 20 + 2, o_orderkey % 60) AS arrives, CASE WHEN o_orderkey % 3 = 2 THEN 'medium' ELSE 'low' END AS sure, 'Air India' AS provider FROM orders",
+    "bus_headings": "SELECT o_orderkey::VARCHAR AS id, 'rail' AS kind, 'Pune' AS origin, 'Nashik' AS destination, strftime(o_orderdate, '%Y-%m-%d') AS date, 'TKT' || o_orderkey AS pnr FROM orders WHERE dayofyear(o_orderdate) <> 60",
+    "names_under_heading": "SELECT c_custkey, name AS passenger, CASE WHEN c_custkey % 2 = 0 THEN name || ', Ravi Rao' END AS passengers FROM (SELECT c_custkey, 'Asha ' || translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS name FROM customer)",
+    "brand_names": "SELECT c_custkey, c_custkey % 6 NOT IN (3, 5) AS title, CASE c_custkey % 6 WHEN 0 THEN 'Boarding pass' WHEN 1 THEN 'Dear guest' WHEN 2 THEN 'IndiGo' WHEN 3 THEN 'Acme Air' WHEN 4 THEN 'ZZ 123' ELSE 'RAJASTHAN STATE BUS' END AS name, CASE c_custkey % 6 WHEN 0 THEN 'Boarding pass' WHEN 1 THEN 'Dear guest' WHEN 2 THEN '6E 5306' WHEN 3 THEN 'Acme Air' WHEN 4 THEN 'ZZ 123' ELSE 'Rajasthan State BUS' END AS tidy FROM customer",
+    "store_undo": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'again' ELSE 'orders' END AS source, count(*) AS n, count(DISTINCT o_orderkey) AS ids FROM orders GROUP BY 1",
+    "backup_header": "SELECT 'wayfare-backup-1' AS format, '1998-06-01T00:00:00Z' AS exported_at, count(*) AS n FROM orders",
+    "shape_scores": "SELECT p_partkey, round(CASE WHEN w < 80 OR h < 30 THEN 0.0 WHEN w / h > 0.8 AND w / h < 1.25 THEN 100 - abs(1 - w / h) * 50 WHEN w / h > 2 AND w / h < 9 AND h >= 40 THEN 60 - abs(4 - w / h) * 4 ELSE 0.0 END, 4)::DOUBLE AS score FROM (SELECT p_partkey, (p_partkey % 400 + 1)::DOUBLE AS w, (p_partkey % 150 + 1)::DOUBLE AS h FROM part)",
+    "neutral_colours": "SELECT p_partkey, round(s, 6) AS saturation, s < 0.22 AS neutral FROM (SELECT p_partkey, CASE WHEN greatest(r, g, b) = 0 THEN 0.0::DOUBLE ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE END AS s FROM (SELECT p_partkey, v >> 16 AS r, (v >> 8) & 255 AS g, v & 255 AS b FROM (SELECT p_partkey, (p_partkey * 7919 % 16777216)::INT AS v FROM part)))",
     "ticket_legs": "SELECT o_orderkey::VARCHAR AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'high' AS sure, 'Economy' AS cabin, 'DEL' AS origin2, 'GOI' AS destination2, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS date2, '1A' AS seat2 FROM orders",
     "ticket_dates": """SELECT o_orderkey::VARCHAR AS id, strftime(CASE WHEN o_orderkey % 4 = 1 THEN o_orderdate + INTERVAL 12 MONTH ELSE o_orderdate END, '%Y-%m-%d') AS date,
   CASE o_orderkey % 4 WHEN 2 THEN 'low' WHEN 3 THEN 'medium' ELSE 'high' END AS confidence, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'auto-corrected' WHEN 2 THEN 'inferred-year,conflict' ELSE 'inferred-year' END AS issues FROM orders WHERE day(o_orderdate) < 29""",
@@ -500,5 +578,6 @@ QUERIES = {
         store_partition, store_next, retention_expired, import_merge, store_upsert, bcbp_native, bcbp_decode, julian_year, date_parse_named, date_parse_month_first, date_parse_iso, date_parse_numeric, time_parse, seat_runs, seat_lists,
         label_value, column_split, table_rows, dq_reconcile, dq_summary, signal_score, signal_argmax, first_wins_dedupe, barcode_rank, reference_lookup, email_domain, redact_text, plaintext_grid, dominant_bucket, median_lines, runner_up,
         palette_hash, luminance_contrast, mime_parse, html_sanitise, raster_summary, redact_planted, airport_lookup, ticket_records, ticket_legs, ticket_dates, railway_records,
+        dates_on_line, printed_times, bus_headings, names_under_heading, brand_names, store_undo, backup_header, shape_scores, neutral_colours,
     )
 }

@@ -40,14 +40,22 @@ def _entries(text: str, columns: int) -> list[tuple[str, ...]]:
     return [tuple(x.replace("_", " ") if k == 1 else x for k, x in enumerate(r)) for r in rows if len(r) == columns]
 
 
+def airport_entries() -> list[tuple[str, ...]]:
+    return _entries(AIRPORTS, 3)
+
+
+def airline_entries() -> list[tuple[str, ...]]:
+    return _entries(AIRLINES, 2)
+
+
 def airports(spark: SparkSession) -> DataFrame:
     """(code, city, zone) of the busiest airports."""
-    return spark.createDataFrame(_entries(AIRPORTS, 3), "code string, city string, zone string")
+    return spark.createDataFrame(airport_entries(), "code string, city string, zone string")
 
 
 def airlines(spark: SparkSession) -> DataFrame:
     """(code, airline) of the largest airlines."""
-    return spark.createDataFrame(_entries(AIRLINES, 2), "code string, airline string")
+    return spark.createDataFrame(airline_entries(), "code string, airline string")
 
 
 #: Rows of a reference table up to which it is broadcast.

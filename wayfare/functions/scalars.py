@@ -191,6 +191,13 @@ def tidy_name(text: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[A-Z]{4,}$"), F.initcap(w)).otherwise(w)), " ")
 
 
+def tidy_provider(text: Column) -> Column:
+    """A name in capitals gets capitals at the beginnings of words; six characters at most, words of four at most, and names in mixed case stay."""
+    t = F.trim(text)
+    words = F.transform(F.filter(F.split(t, r"\s+"), lambda w: w != ""), lambda w: F.when(F.length(w) <= 4, w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1000)))))
+    return F.when((F.length(t) <= 6) | t.rlike("[a-z]"), t).otherwise(F.array_join(words, " "))
+
+
 def first_column(text: Column, limit: int = 48) -> Column:
     """What stands before two spaces or a bar, cut to a length."""
     return F.trim(F.substring(F.get(F.split(F.trim(text), r"\s{2,}|\|"), F.lit(0)), 1, limit))
@@ -240,6 +247,11 @@ def next_label(departs: Column, now: Column) -> Column:
     )
 
 
+def format_date(iso: Column) -> Column:
+    """Day and month of an ISO date, as ``5 May``; empty for null, and a text that is no date as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")), "d MMM"), iso, F.lit(""))
+
+
 def format_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, 0), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576, 1), F.lit(" MB")))
 
@@ -299,6 +311,16 @@ def saturation(rgb: Column) -> Column:
     return F.when(high == 0, F.lit(0.0)).otherwise((high - low) / high)
 
 
+def is_neutral(rgb: Column, threshold: float = 0.22) -> Column:
+    """Greys, black and white."""
+    return saturation(rgb) < threshold
+
+
+def upper_median(name: str) -> Column:
+    """Aggregate of a column: of two middle values the upper one."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
+
+
 def ensure_readable(rgb: Column, least: float = 4.5, steps: int = 24) -> Column:
     """Darken a background by 8 % a step until white text on it has the contrast."""
     darker = lambda c: sum((F.floor(x * 0.92).cast("int") * k for x, k in zip(_channels(c), (65536, 256, 1), strict=True)), F.lit(0))

@@ -5,6 +5,8 @@ A store is a DataFrame of ``schemas.RECORD``; times are epoch milliseconds, and
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def delete(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("id"), "id", "left_anti")
 
 
+def removed(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole records that ``delete`` takes away: keep them for ``restore``."""
+    return records.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def restore(records: DataFrame, kept: DataFrame) -> DataFrame:
+    """Undo of a delete: records come back as they were; an id that is there again stays as it now is."""
+    return records.unionByName(kept.join(records.select("id"), "id", "left_anti"))
+
+
+def past_count(records: DataFrame, now: int) -> DataFrame:
+    """One row ``n``: records that are past."""
+    return records.agg(F.count_if(side(F.col("departs_at"), F.col("archived"), now) == "past").alias("n"))
+
+
 def archive(records: DataFrame, ids: DataFrame, archived: bool = True) -> DataFrame:
     marked = ids.select("id").distinct().withColumn("_hit", F.lit(True))
     return records.join(marked, "id", "left").withColumn("archived", F.when(F.col("_hit"), F.lit(archived)).otherwise(F.col("archived"))).drop("_hit")
@@ -68,6 +85,19 @@ def export_all(records: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return some.select(F.to_json(F.struct(F.lit(FORMAT).alias("format"), F.struct(*(F.col(c) for c in records.columns)).alias("record"))).alias("line"))
 
 
+def backup_header(records: DataFrame, now: int, ids: DataFrame | None = None) -> DataFrame:
+    """One row ``line``: JSON of the format, when it was exported, and how many records."""
+    some = records if ids is None else records.join(ids.select("id"), "id", "left_semi")
+    at = F.lit(dt.datetime.fromtimestamp(now / 1000, dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    return some.agg(F.count("*").alias("count")).select(F.to_json(F.struct(F.lit(FORMAT).alias("format"), at.alias("exportedAt"), "count")).alias("line"))
+
+
+def resumed(records: DataFrame, states: DataFrame, now: int, minutes: int = 30) -> DataFrame:
+    """Records that fresh saved states (id, saved_at) point to."""
+    fresh = states.where(F.lit(now) - F.col("saved_at") >= 0).where(F.lit(now) - F.col("saved_at") <= minutes * 60_000)
+    return records.join(fresh.select("id").distinct(), "id", "left_semi")
+
+
 def import_all(records: DataFrame, lines: DataFrame, replace: bool = False) -> DataFrame:
     """Rows to add from backup lines, with ``status`` added or skipped.
 
