@@ -213,3 +213,10 @@ def test_names_brands_and_guesses():
     assert fields["departureTime"]["issues"] == [("warning", "guessed-time", "")]
     unsure = {f["key"]: f for f in builders.build("rail", [], "Travel date: 05/06/2024", None, REF)}["date"]
     assert unsure["value"] is None and unsure["issues"] == [("warning", "ambiguous-date", "2024-05-06|2024-06-05")]
+
+
+def test_redaction_of_references_and_addresses():
+    swap = {"AB1CD2 RESORT 123456": "XXXXXX RESORT 123456", "NH12345678901": "NH00000000", "ABCDE1234F 27ABCDE1234F1Z5": "AAAAA0000A 00AAAAA0000A0Z0", "Username = a.b-c, ok": "Username = traveller, ok", "m*XXXXXx 98XXXX12": "someone@example.com 0000000000", "1-2 Road, Plot 9, X | kept": "1/1 Sample street| kept"}
+    assert redact.redact_page(list(swap)) == list(swap.values())
+    many = [f"Dear Zam{c}" for c in "abcdefghijkl"]
+    assert redact.redact_page(many)[-1] == "Dear NAME12"

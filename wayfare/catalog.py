@@ -347,6 +347,8 @@ def redact_planted(spark, sf_dir):
     text = F.concat(
         F.lit("Dear guest "), key, F.lit(": write to c."), key, F.lit("+x@mail-"), key, F.lit(".example.org or ring +91 98765 "), F.lpad(key, 5, "0"), F.lit(" or 98"), F.lpad(key, 8, "0"), F.lit(". Card 4111 1111 1111 "), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"),
         F.lit(", PNR: A"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"), F.lit(", ticket 1234567"), F.lpad(key, 7, "0"), F.lit(". Seat 12A, gate 4, 9:30"),
+        F.lit("; from Asha Rao <asha."), key, F.lit("@example.org>, user id: asha"), key, F.lit(", tax ABCDE"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("F and 27ABCDE"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"),
+        F.lit("F1Z5, masked a*XXXXXasha, 98XXXXX"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(", agent NH1"), F.lpad(key, 9, "0"), F.lit(", code Q7"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" RESORT 4TH\n12/"), key, F.lit(" Long Road, Flat 9, Pune\nWard No 7"),
     )
     return c.select("c_custkey", redact.redact(text).alias("text"))
 
@@ -487,9 +489,10 @@ _EMAIL = "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})"
 
 def _redact_sql() -> str:
     out = "text"
-    for pattern, replacement in redact.RULES:
-        swap = replacement.replace("$1", "\\1").replace("$2", "\\2")
-        out = f"regexp_replace({out}, '{pattern}', '{swap}', 'g')"
+    for pattern, replacement, _ in redact.RULES:
+        swap = replacement.replace("${1}", "\\1").replace("$1", "\\1").replace("$2", "\\2")
+        quoted = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted}', '{swap}', 'g')"
     return f"SELECT doc_id, {out} AS text FROM documents"
 
 
@@ -540,7 +543,7 @@ SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS
     "signal_score": _score_sql(),
     "html_sanitise": """SELECT page_id, '<p class="c">a<a href="' || url || '">b</a><a>c</a><textarea>' || url || '</textarea>&amp;</p>' AS html FROM pages""",
     "raster_summary": "SELECT p_partkey, 16777215 AS background, (200 * 65536 + p_partkey % 4 * 16 * 256 + 30)::INT AS dominant, round((p_partkey % 7 + 6) * (p_partkey % 4 + 4) / 384.0, 6) AS ink, 1 AS n_components, false AS barcode FROM part",
-    "redact_planted": "SELECT c_custkey, 'Dear guest ' || c_custkey || ': write to someone@example.com or ring +00 0000000000 or 0000000000. Card 0000 0000 0000 0000, PNR: XXXXXX, ticket 00000000000. Seat 12A, gate 4, 9:30' AS text FROM customer",
+    "redact_planted": "SELECT c_custkey, 'Dear guest ' || c_custkey || ': write to someone@example.com or ring +00 0000000000 or 0000000000. Card 0000 0000 0000 0000, PNR: XXXXXX, ticket 00000000000. Seat 12A, gate 4, 9:30; Traveller <someone@example.com>, user id: traveller, tax AAAAA0000A and 00AAAAA0000A0Z0, masked someone@example.com, 0000000000, agent NH00000000, code XXXXXX RESORT 4TH' || chr(10) || '1/1 Sample street' || chr(10) || 'Ward No. 1' AS text FROM customer",
     "airport_lookup": _airport_sql(),
     "dates_on_line": """SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([strftime(d, '%Y-%m-%d'), strftime(e, '%Y-%m-%d'), CASE WHEN day(e) <= 12 THEN strftime(make_date(year(e), day(e), month(e)), '%Y-%m-%d') END], lambda x: x IS NOT NULL))), ',') AS dates
   FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE + 1 AS e FROM orders)""",
