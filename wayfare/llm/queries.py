@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import beside, stash
 from .bitplanes import round_trip
 from .chat import format_chats, read_back, text_parts
 from .decontaminate import matches
 from .hamming import sign_codes, top_k
+from .hard_negatives import mine
 from .html_text import extract
 from .langid import identify
 from .mixing import mixed
@@ -16,6 +18,7 @@ from .near_dedup import near_duplicates
 from .quality import resampled
 from .tokenizer_files import BYTE_BPE
 from .toxicity import score_toxicity
+from .vector_codes import encode, learn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +205,74 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of all pages."""
     return extract(_table(spark, sf_dir, "pages"))
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all embeddings whose id is divisible by 100."""
+    e = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(e.select("vec_id", "embedding", label.alias("label")), F.col("id") % 100 == 0)
+
+
+#: Usable vectors as integers.
+VECTORS_SQL = r"""
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+OP11_SQL = rf"""
+WITH e AS ({VECTORS_SQL}), r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+  FROM r a JOIN r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 16 parts, 64 entries, two rounds; error of each and of its label."""
+    e = _table(spark, sf_dir, "embeddings")
+    books = learn(e, parts=16, entries=64, rounds=2)
+    key = F.concat_ws("", F.lit("l"), F.col("label").cast("string")).alias("key")  # nulls together
+    coded = stash(encode(e, books, keep=("label",)).select("vec_id", "code", "error", key), "codes")
+    by = coded.groupBy("key").agg(F.sum("error").alias("label_error"))
+    return beside(coded, by, "key", by.count(), "vec_id").select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
+
+
+def _op13_sql(rounds: int = 2) -> str:
+    """Tables b0, b1 ... of codebooks; n0, n1 ... of the nearest entries of all parts; the last codes with the last books."""
+
+    def near(k: int) -> str:
+        far = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i])))::BIGINT"
+        return f"n{k} AS MATERIALIZED (SELECT row, part, any_value(x) AS x, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT p.*, b.entry, {far} AS far FROM p JOIN b{k} b USING (part)) GROUP BY row, part)"
+
+    def next_books(k: int) -> str:
+        mean = "SELECT part, entry, list(c ORDER BY j) AS c FROM (SELECT part, entry, j, floor_div AS c FROM (SELECT part, entry, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS floor_div FROM (SELECT part, entry, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM n{}) GROUP BY ALL))) GROUP BY part, entry".format(k)
+        return f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN ({mean}) m USING (part, entry))"
+
+    steps = ",\n".join(f"{near(k)},\n{next_books(k)}" for k in range(rounds)) + ",\n" + near(rounds)
+    return rf"""
+WITH e AS ({VECTORS_SQL}), r AS MATERIALIZED (
+  SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS row FROM e
+), p AS MATERIALIZED (
+  SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS part FROM r)
+), b0 AS MATERIALIZED (
+  SELECT part, row AS entry, x AS c FROM p WHERE row < 64
+), {steps}, coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM n{rounds} GROUP BY row
+), text AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN r USING (row), text
+"""
+
+
+OP13_SQL = _op13_sql()
+
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -214,5 +285,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_chat": OP1_SQL, "op5_hamming": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_minhash": OP9_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op5_hamming": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_minhash": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_codes": OP13_SQL}
