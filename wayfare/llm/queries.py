@@ -15,6 +15,7 @@ from .html_text import extract
 from .langid import identify
 from .mixing import mixed
 from .near_dedup import near_duplicates
+from .paragraph_sketch import versions
 from .quality import resampled
 from .tokenizer_files import BYTE_BPE
 from .toxicity import score_toxicity
@@ -233,6 +234,11 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QU
 """
 
 
+def op12_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike they are to these and to the next documents'."""
+    return versions(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings: 16 parts, 64 entries, two rounds; error of each and of its label."""
     e = _table(spark, sf_dir, "embeddings")
@@ -286,6 +292,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_paragraph_sketch": op12_paragraph_sketch,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op1_chat": OP1_SQL, "op5_hamming": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_minhash": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_codes": OP13_SQL}
