@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import beside, stash
 
-SHORT, LONG = 80, 400
+SHORT, LONG = 40, 400
 #: Cells in each of the three rows of a sketch; digests of a part that is tried, about; parts that are dealt at a time.
 WIDTH, LOAD, PARTS = 8, 6, 32
 #: Rounds of taking out: what is left after them is tried again.
