@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wayfare import catalog
+from wayfare import catalog, catalog_joins
 from wayfare.operators.classify import select_kind
 from wayfare.streaming import landing
 
@@ -37,11 +37,14 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, ORACLES = catalog.QUERIES | catalog_joins.QUERIES, catalog.ORACLES | catalog_joins.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, DATA).toPandas()
-    if name in catalog.ORACLES:
-        want = duck.execute(catalog.ORACLES[name]).df()
+    got = QUERIES[name](spark, DATA).toPandas()
+    if name in ORACLES:
+        want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     assert len(got)

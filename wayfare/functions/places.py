@@ -68,26 +68,26 @@ def _small(table: DataFrame) -> DataFrame:
 
 def with_airport(rows: DataFrame, code: str, prefix: str = "", table: DataFrame | None = None) -> DataFrame:
     """rows, all kept, with ``<prefix>city`` and ``<prefix>zone`` of an airport code; nulls where it is unknown."""
-    known = (table or airports(rows.sparkSession)).dropDuplicates(["code"]).select(F.col("code").alias("_code"), F.col("city").alias(prefix + "city"), F.col("zone").alias(prefix + "zone"))
+    known = (airports(rows.sparkSession) if table is None else table).dropDuplicates(["code"]).select(F.col("code").alias("_code"), F.col("city").alias(prefix + "city"), F.col("zone").alias(prefix + "zone"))
     return rows.join(_small(known), F.upper(F.trim(F.col(code))) == F.col("_code"), "left").drop("_code")
 
 
 def with_airline(rows: DataFrame, carrier: str, table: DataFrame | None = None) -> DataFrame:
     """rows, all kept, with the ``airline`` of a carrier code; the code itself where it is unknown."""
-    known = (table or airlines(rows.sparkSession)).dropDuplicates(["code"]).select(F.col("code").alias("_code"), F.col("airline").alias("_airline"))
+    known = (airlines(rows.sparkSession) if table is None else table).dropDuplicates(["code"]).select(F.col("code").alias("_code"), F.col("airline").alias("_airline"))
     joined = rows.join(_small(known), F.upper(F.trim(F.col(carrier))) == F.col("_code"), "left")
     return joined.withColumn("airline", F.coalesce("_airline", F.col(carrier))).drop("_code", "_airline")
 
 
 def known_airports(rows: DataFrame, code: str, table: DataFrame | None = None) -> DataFrame:
     """The rows whose code is one of an airport."""
-    known = (table or airports(rows.sparkSession)).select(F.col("code").alias("_code"))
+    known = (airports(rows.sparkSession) if table is None else table).select(F.col("code").alias("_code"))
     return rows.join(_small(known), F.upper(F.trim(F.col(code))) == F.col("_code"), "left_semi")
 
 
 def airport_cities(rows: DataFrame, name: str, table: DataFrame | None = None) -> DataFrame:
     """The rows whose text is the name of an airport's city, whatever its case: such a one is no person."""
-    known = (table or airports(rows.sparkSession)).select(F.lower("city").alias("_city")).distinct()
+    known = (airports(rows.sparkSession) if table is None else table).select(F.lower("city").alias("_city")).distinct()
     return rows.join(_small(known), (F.lower(F.trim(F.col(name))) == F.col("_city")) & (F.length(F.trim(F.col(name))) >= 3), "left_semi")
 
 

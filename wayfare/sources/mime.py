@@ -184,11 +184,3 @@ def best_part(attachments: Column, html: Column, text: Column) -> Column:
     pdf = F.get(F.filter(attachments, lambda a: (a["content_type"] == "application/pdf") | F.lower(a["name"]).endswith(".pdf")), F.lit(0))
     first = F.get(attachments, F.lit(0))
     return F.when(pdf.isNotNull(), F.concat(F.lit("attachment:"), pdf["name"])).when(first.isNotNull(), F.concat(F.lit("attachment:"), first["name"])).when(html.isNotNull(), "html").when(text.isNotNull(), "text")
-
-
-def resolve_images(images, resources):
-    """Images of messages (doc_id, src) against their embedded resources (doc_id, key): embedded, remote or missing."""
-    key = F.regexp_replace(F.lower("src"), "^cid:", "")
-    found = resources.select(F.col("doc_id").alias("_d"), F.lower("key").alias("_k"), "content_type", "size").dropDuplicates(["_d", "_k"])
-    state = F.when(F.col("_k").isNotNull(), "embedded").when(F.lower("src").rlike("^https?:"), "remote").otherwise("missing")
-    return images.join(found, (F.col("doc_id") == F.col("_d")) & (key == F.col("_k")), "left").withColumn("state", state).drop("_d", "_k")
