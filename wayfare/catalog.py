@@ -226,22 +226,41 @@ _MARK = 2654435761
 
 def signal_score(spark, sf_dir):
     """Scores of texts that are composed of signals, far apart and in both orders."""
+    return _signal_scores(spark, sf_dir, F.lit("and so on " * 12))
+
+
+def document_signals(spark, sf_dir):
+    """Scores of all documents, whole, with signals among copies of their text."""
+    return _signal_scores(spark, sf_dir, F.coalesce("text", F.lit("")))
+
+
+def _signal_scores(spark, sf_dir, between):
     mark = F.pmod(F.col("doc_id") * _MARK, F.lit(1 << 22))
-    out = _dealt(spark, sf_dir, "documents").select("doc_id", mark.alias("mark"))
+    docs, texts = _dealt(spark, sf_dir, "documents").select("doc_id", mark.alias("mark"), between.alias("between")), []
     for kind, phrases in PHRASES.items():
-        parts = F.array(*(F.when(F.shiftright("mark", k).bitwiseAND(1) == 1, phrase) for k, (phrase, _) in enumerate(phrases)))
-        text = F.array_join(F.when(F.col("mark") % 2 == 0, F.reverse(F.array_compact(parts))).otherwise(F.array_compact(parts)), "\n" + "and so on " * 12 + "\n")
-        out = out.withColumn(kind, classify.scores(F.when(F.shiftright("mark", 11).bitwiseAND(7) == 0, F.concat(text, F.lit("\nbaggage, tax invoice"))).otherwise(text) if kind in ("event", "lodging") else text, F.lit(None))[kind].cast("long"))
-    return out.drop("mark")
+        parts = F.array_compact(F.array(*(F.when(F.shiftright("mark", k).bitwiseAND(1) == 1, phrase) for k, (phrase, _) in enumerate(phrases))))
+        order, half = F.when(F.col("mark") % 2 == 0, F.reverse(parts)).otherwise(parts), F.size(parts) / 2
+        said = lambda some: F.array_join(F.filter(order, some), ".\n")  # noqa: E731, B023
+        text = F.concat(said(lambda _, k: k < half), F.lit("\n"), "between", F.lit("\n"), said(lambda _, k: k >= half))  # noqa: B023
+        texts.append(F.when(F.shiftright("mark", 11).bitwiseAND(7) == 0, F.concat(text, F.lit("\nbaggage, tax invoice"))).otherwise(text) if kind in ("event", "lodging") else text)
+    scored = docs.select("doc_id", F.transform(F.array(*texts), lambda t: classify.all_scores(t, F.lit(None))).alias("s"))
+    return scored.select("doc_id", *(F.col("s")[i][kind].cast("long").alias(kind) for i, kind in enumerate(PHRASES)))
+
+
+#: What else a document's own text can say: a flight's number beside a word of air travel, a date and a time of day.
+_CODE_SQL = r"regexp_matches(upper(text), '(^|[^A-Z0-9_])([A-Z][A-Z0-9]|[0-9][A-Z])[\s.''-]*[0-9]{2,4}([^A-Z0-9_]|$)')"
+_MOMENT_SQL = r"regexp_matches(text, '\b\d{1,2}[:.]\d\d\b') AND regexp_matches(text, '\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|(?i)\b\d{1,2}(st|nd|rd|th)?[\s,/-]*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)')"
 
 
-def _score_sql() -> str:
+def _score_sql(code: str = "FALSE", moment: str = "FALSE") -> str:
     bit = lambda k: f"(mark >> {k}) & 1 = 1"
     total = {kind: " + ".join(f"CASE WHEN {bit(k)} THEN {w} ELSE 0 END" for k, (_, w) in enumerate(phrases)) for kind, phrases in PHRASES.items()}
+    total["flight"] += f" + CASE WHEN code AND ({bit(3)} OR {bit(8)}) THEN 25 ELSE 0 END"
+    total["event"] += f" + CASE WHEN moment AND NOT ({bit(10)}) THEN 10 ELSE 0 END"
     capped = lambda x, least, cap: f"CASE WHEN {x} >= {least} THEN least({x}, {cap}) ELSE 0 END"
     sums = ", ".join(f"{x} AS {kind}" for kind, x in total.items())
     return f"""
-WITH m AS (SELECT doc_id, (doc_id * {_MARK}) % {1 << 22} AS mark FROM documents), s AS (SELECT doc_id, mark, {sums} FROM m), g AS (SELECT *, (mark >> 11) & 7 = 0 AS refused FROM s)
+WITH m AS (SELECT doc_id, (doc_id * {_MARK}) % {1 << 22} AS mark, {code} AS code, {moment} AS moment FROM documents), s AS (SELECT doc_id, mark, {sums} FROM m), g AS (SELECT *, (mark >> 11) & 7 = 0 AS refused FROM s)
 SELECT doc_id, ({capped("flight", 40, 90)})::BIGINT AS flight, (CASE WHEN refused THEN 0 ELSE {capped("event", 34, 95)} END)::BIGINT AS event, ({capped("rail", 40, 85)})::BIGINT AS rail,
   (CASE WHEN refused OR NOT ({bit(0)} AND {bit(1)}) THEN 0 ELSE {capped("lodging", 55, 95)} END)::BIGINT AS lodging
 FROM g"""
@@ -541,6 +560,7 @@ SELECT l_orderkey, n, CASE WHEN length(t) > 24 THEN n || ' seats' ELSE t END AS
     "dq_reconcile": f"SELECT doc_id, confidence, issues, review FROM ({_FIELD_SQL})",
     "dq_summary": f"SELECT o_orderpriority, count(*) FILTER (review) AS needing_review, count(*) AS critical_fields, 0::BIGINT AS missing_critical, count(*) FILTER (review) = 0 AS ready, count(*) FILTER (confidence = 'high') AS high, 0::BIGINT AS medium, count(*) FILTER (confidence = 'low') AS low FROM ({_FIELD_SQL}) GROUP BY 1",
     "signal_score": _score_sql(),
+    "document_signals": _score_sql(_CODE_SQL, _MOMENT_SQL),
     "html_sanitise": """SELECT page_id, '<p class="c">a<a href="' || url || '">b</a><a>c</a><textarea>' || url || '</textarea>&amp;</p>' AS html FROM pages""",
     "raster_summary": "SELECT p_partkey, 16777215 AS background, (200 * 65536 + p_partkey % 4 * 16 * 256 + 30)::INT AS dominant, round((p_partkey % 7 + 6) * (p_partkey % 4 + 4) / 384.0, 6) AS ink, 1 AS n_components, false AS barcode FROM part",
     "redact_planted": "SELECT c_custkey, 'Dear guest ' || c_custkey || ': write to someone@example.com or ring +00 0000000000 or 0000000000. Card 0000 0000 0000 0000, PNR: XXXXXX, ticket 00000000000. Seat 12A, gate 4, 9:30; Traveller <someone@example.com>, user id: traveller, tax AAAAA0000A and 00AAAAA0000A0Z0, masked someone@example.com, 0000000000, agent NH00000000, code XXXXXX RESORT 4TH' || chr(10) || '1/1 Sample street' || chr(10) || 'Ward No. 1' AS text FROM customer",
@@ -579,7 +599,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_partition, store_next, retention_expired, import_merge, store_upsert, bcbp_native, bcbp_decode, julian_year, date_parse_named, date_parse_month_first, date_parse_iso, date_parse_numeric, time_parse, seat_runs, seat_lists,
-        label_value, column_split, table_rows, dq_reconcile, dq_summary, signal_score, signal_argmax, first_wins_dedupe, barcode_rank, reference_lookup, email_domain, redact_text, plaintext_grid, dominant_bucket, median_lines, runner_up,
+        label_value, column_split, table_rows, dq_reconcile, dq_summary, signal_score, document_signals, signal_argmax, first_wins_dedupe, barcode_rank, reference_lookup, email_domain, redact_text, plaintext_grid, dominant_bucket, median_lines, runner_up,
         palette_hash, luminance_contrast, mime_parse, html_sanitise, raster_summary, redact_planted, airport_lookup, ticket_records, ticket_legs, ticket_dates, railway_records,
         dates_on_line, printed_times, bus_headings, names_under_heading, brand_names, store_undo, backup_header, shape_scores, neutral_colours,
     )
