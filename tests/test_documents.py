@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayfare.functions import places
+from wayfare.functions import places, seats
 from wayfare.operators import builders, layout, raster, reading, redact
 from wayfare.plans import lifecycle
 from wayfare.sources import mime
@@ -220,3 +220,48 @@ def test_redaction_of_references_and_addresses():
     assert redact.redact_page(list(swap)) == list(swap.values())
     many = [f"Dear Zam{c}" for c in "abcdefghijkl"]
     assert redact.redact_page(many)[-1] == "Dear NAME12"
+
+
+def test_a_flight_without_captions():
+    got = built("flight", "AirAsia\nBooking number AB1CD2\nAK5201\nAsha Rao\nidentification 7 kg\nDPS  11:30      15:30  BLR\n12 May 2024")
+    assert (got["flight"], got["origin"], got["destination"]) == ("AK 5201", "DPS", "BLR")
+    got = built("flight", "Boarding pass\nall about ID 7 and you\nAI 302 to come")
+    assert got["flight"] == "AI 302" and got.get("origin") is None
+    assert built("flight", "Boarding pass\nFlight: 6E 345\nAK5201")["flight"] == "6E 345"
+    assert "origin" not in built("flight", "Boarding pass\nDEL and DEL\nDEL BOM GOI")
+
+
+def test_terminals():
+    lines = [{"text": t} for t in ("Delhi, T3", "BOM Chhatrapati Shivaji (Terminal 2)", "terminal: 1D gate")]
+    assert [builders.terminal_of(lines[k:], None) for k in range(3)] == ["3", "2", "1D"]
+    assert builders.terminal_of(lines, "BOM") == "2" and builders.terminal_of([{"text": "terminal building, Total 3"}], None) is None
+
+
+def test_seats_and_berths_of_all_passengers():
+    got = built("rail", "Train no: 12951\nFrom: Pune\nTo: Surat\nSeat/Berth: 23 LB")
+    assert (got["seat"], got["berthPosition"]) == ("23", "Lower")
+    got = built("rail", "Train no: 12951\nFrom: Pune\nTo: Surat\nName            Age     Status\nAsha Rao        34      CNF/B2/23/LB\nRavi Rao        36      CNF/B2/24/SIDE UPPER")
+    assert (got["coach"], got["seat"], got["berthPosition"]) == ("B2", "23, 24", "Lower, Side upper")
+    assert built("rail", "Train no: 12951\nSeat   Details")["seat"] is None
+    assert seats.berth("S7, 42, LB") == {"coach": "S7", "number": "42", "position": "Lower"} and seats.berth("A1 12 SIDE LOWER") == {"coach": "A1", "number": "12", "position": "Side lower"}
+    assert seats.berth("Adult") is None and seats.berth("") is None and seats.berth("CNF") is None
+
+
+def test_a_title_needs_to_stand_out():
+    got = built("event", "PVR Cinemas\nDune\nScreen 3\nSeats: A1")
+    assert got["title"] is None and got["provider"] == "PVR Cinemas"
+    page = lambda heights: [{"text": t, "x": 40.0, "y": 40.0 + 60 * k, "width": 90.0, "height": h} for k, (t, h) in enumerate(heights)]
+    got = {f["key"]: f["value"] for f in builders.build("event", page([("PVR Cinemas", 30.0), ("Dune", 20.0), ("Total amount", 25.0), ("Screen 3", 10.0), ("Seats: A1", 10.0), ("Order 123456", 28.0), ("at the door", 10.0), ("with care", 10.0), ("thank you", 10.0)]), None, None, REF)}
+    assert got["title"] == "Dune" and got["provider"] == "PVR Cinemas"
+
+
+def test_names_of_stays():
+    got = built("lodging", "Booking Voucher\nHotel Sunshine Palace\nCheck-in: 1 May 2024\nCheck-out: 3 May 2024")
+    assert got["property"] == "Hotel Sunshine Palace" and got["provider"] is None
+    assert built("lodging", "Acme Stays\nProperty name: Blue Inn\nCheck-in: 1 May 2024")["property"] == "Blue Inn"
+
+
+def test_words_that_tell_lines_apart():
+    assert reading.of_transaction("Booked on 8 Mar 2024") and reading.of_transaction("Invoice-date") and not reading.of_transaction("Bookshop, 8 Mar 2024")
+    assert reading.is_title("E-ticket") and reading.is_title("Travel Document") and reading.is_title("Hello there") and not reading.is_title("Travel House") and not reading.is_title("Akasa Air")
+    assert reading.is_person("Asha Rao") and not reading.is_person("Add-ons") and not reading.is_person("SAN FRANCISCO INTL")

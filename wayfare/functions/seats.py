@@ -63,6 +63,30 @@ BERTHS = {"SU": "Side upper", "SL": "Side lower", "SM": "Side middle", "LB": "Lo
 # ---------------------------------------------------------------------------------------------------------------
 
 
+#: Words of a berth's position, longer ones first.
+POSITIONS = {"SIDE LOWER": "Side lower", "SIDE UPPER": "Side upper", "SIDE MIDDLE": "Side middle", "WINDOW SIDE": "Window", "LOWER": "Lower", "MIDDLE": "Middle", "UPPER": "Upper"}
+
+
+def berth(text: str | None) -> dict[str, str | None] | None:
+    """coach, number and position of ``CNF / B2 / 34 / LB``, ``S7, 42, LOWER``, ``23 LB`` and the like; null where no berth's number stands.
+
+    As ``parse_coach_berth``, for one text; the coach may be missing.
+    """
+    t = (text or "").upper()
+    position = next((v for k, v in POSITIONS.items() if k in t), None)
+    for k in POSITIONS:
+        t = t.replace(k, " ")
+    coach = number = None
+    for token in re.findall(r"[A-Z0-9]+", t):
+        if token in BERTHS and not position:
+            position = BERTHS[token]
+        elif coach is None and number is None and re.fullmatch(r"[A-Z]{1,2}[0-9]{1,2}", token):
+            coach = token
+        elif number is None and re.fullmatch(r"[0-9]{1,3}", token):
+            number = str(int(token))
+    return {"coach": coach, "number": number, "position": position} if number and (coach or position) else None
+
+
 def expand_berth(code: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in BERTHS.items() for x in kv))[F.upper(F.trim(code))]
 
