@@ -33,7 +33,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -525,19 +526,57 @@ def _rows(node: Node, rules: dict[str, bool]) -> tuple[list[Node], list[list[Nod
     return captions, groups["thead"] + groups["tbody"] + groups["tfoot"], others
 
 
+class _Taken:
+    """Columns that cells of rows above take, as runs in order, with a heap of when each part is given back.
+
+    Where two cells claim a column it is the upper one's.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []
+
+    def free(self, at: int) -> int:
+        """The first column from ``at`` on that is not taken."""
+        k = bisect_right(self.starts, at) - 1
+        return self.ends[k] if k >= 0 and self.ends[k] > at else at
+
+    def take(self, low: int, high: int, last: int) -> None:
+        """Take what is free of [low, high) up to a row."""
+        i, j = bisect_left(self.ends, low), bisect_right(self.starts, high)  # the runs that meet it, or stand next to it
+        at = low
+        for a, b in zip(self.starts[i:j], self.ends[i:j], strict=True):
+            if at < a:
+                heappush(self.until, (last, at, min(a, high)))
+            at = max(at, b)
+        if at < high:
+            heappush(self.until, (last, at, high))
+        low, high = min([low, *self.starts[i : i + 1]]) if i < j else low, max([high, *self.ends[j - 1 : j]]) if i < j else high
+        self.starts[i:j], self.ends[i:j] = [low], [high]
+
+    def release(self, row: int) -> None:
+        """Give back what was taken up to a row before this one."""
+        while self.until and self.until[0][0] < row:
+            _, low, high = heappop(self.until)
+            k = bisect_right(self.starts, low) - 1
+            a, b = self.starts[k], self.ends[k]
+            rest = [x for x in ((a, low), (high, b)) if x[0] < x[1]]
+            self.starts[k : k + 1], self.ends[k : k + 1] = [x for x, _ in rest], [x for _, x in rest]
+
+
 def _table(node: Node, rules: dict[str, bool], deep: int) -> list[str]:
     captions, rows, others = _rows(node, rules)
     out: list[str] = []
     for c in [*others, *captions]:
         out += render(c, rules, deep)
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: list[tuple[int, int, int]] = []  # columns [from, to) that cells above take, and their last row
+    taken = _Taken()
     for r, cells in enumerate(rows):
-        line, down_from_here, at, k = [], [], 0, 0
+        line, down_from_here, at = [], [], 0
+        taken.release(r)
         for c in cells:
-            while k < len(taken) and taken[k][0] <= at:
-                at = max(at, taken[k][1])
-                k += 1
+            at = taken.free(at)
             span = min(max(1, _int(c.attrs.get("colspan"), 1)), 1000)
             down = min(max(1, _int(c.attrs.get("rowspan"), 1)), 65534)
             line.append((at, span, render(c, rules, deep)))
@@ -548,8 +587,8 @@ def _table(node: Node, rules: dict[str, bool], deep: int) -> list[str]:
                 down_from_here.append((from_, at + span, r + down - 1))
             at += span
         grid.append(line)
-        if down_from_here or any(x[2] == r for x in taken):
-            taken = sorted(x for x in [*taken, *down_from_here] if x[2] > r)
+        for x in down_from_here:
+            taken.take(*x)
     starts = _column_starts(grid)
     for line in grid:
         shown: dict[int, tuple[list[str], int]] = {}

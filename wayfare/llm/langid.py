@@ -235,18 +235,22 @@ def train(samples: list[tuple[str, str]], length: int = 24, batch: int = 128, ep
 
 
 def sample(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 3) -> list[tuple[str, str]]:
-    """About ``fit_docs`` (lang, text) rows a language, those least by a hash of the text; of each its first words."""
+    """About ``fit_docs`` (lang, text) rows a language, those least by a hash of the text, in that order.
+
+    Of a text of more than about ``FIT_WORDS`` words so many are taken, from a place that a hash chooses in the whole text.
+    """
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return []
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * fit_docs / n)))))
     u = F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11) / F.lit(float(1 << 53)) / share[F.col("lang")]
-    some = rows.select("lang", u.alias("u"), F.substring("text", 1, 12 * FIT_WORDS).alias("text")).where("u < 1").distinct().orderBy("u", "lang", "text")
+    start = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - 12 * FIT_WORDS, F.lit(0)) + 1).cast("int") + 1
+    some = rows.select("lang", u.alias("u"), F.substr("text", start, F.lit(12 * FIT_WORDS)).alias("text")).where("u < 1").distinct().orderBy("u", "lang", "text")
     out: dict[str, list[str]] = {}
     for lang, text in some.limit(3 * fit_docs * len(counts)).select("lang", "text").collect():
         out.setdefault(lang, []).append(text)
-    return [(lang, text) for lang in sorted(out) for text in sorted(out[lang])[:fit_docs]]
+    return [(lang, text) for lang in sorted(out) for text in out[lang][:fit_docs]]
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
