@@ -36,7 +36,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes without the ids of which no row is kept; rows of one id are one document."""
     kept = F.max("kept").alias("kept")
     gone = settle(lambda: near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone_id")).agg(kept).where("not kept").select("_gone_id"), "gone")
-    return docs.join(small_side(gone, gone.count()), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    gone = small_side(gone, gone.count())
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share = F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))
     times = settle(lambda: mixed(docs).groupBy("doc_id").agg(share.alias("_share")).select(F.col("doc_id").alias("_mixed_id"), F.least(F.floor(F.col("_share") + chance), F.lit(2)).cast("int").alias("_times")).where("_times > 0"), "times")
-    out = docs.join(small_side(times, times.count()), docs["doc_id"].eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    times, copy = small_side(times, times.count()), "_copy"
+    while copy in docs.columns:
+        copy += "_"
+    out = docs.join(times, docs["doc_id"].eqNullSafe(times["_mixed_id"]))
+    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)).drop(copy)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
