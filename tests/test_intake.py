@@ -1,8 +1,11 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
-from wayfare.operators import layout
+from wayfare.operators import layout, store
+from wayfare.plans import lifecycle
 from wayfare.sources import files, intake
 
 
@@ -57,3 +60,35 @@ def test_palettes_are_stable_and_readable(spark):
     assert df[0].p == df[1].p != df[2].p
     assert spark.createDataFrame([(r.p.background,) for r in df], "c int").select(F.min(scalars.contrast(F.col("c"), F.lit(0xFFFFFF)))).first()[0] >= 4.5
     assert spark.range(1).select(scalars.from_hsl(F.lit(0.0), F.lit(1.0), F.lit(0.5))).first()[0] == 0xFF0000
+
+
+def test_captured_layouts(spark, tmp_path):
+    run = '{"text": "Seat 12A", "x": 40, "y": 110, "width": 50, "height": 10}, {"text": "  ", "x": 1, "y": 1, "width": 1, "height": 1}, {"text": null}'
+    turned = '{"text": "Gate", "transform": [3, 4, 6, 8, 55, 100]}, {"text": "wide", "transform": [1, 0, 0, 12, 5, 7], "width": 33}'
+    page = lambda items: '{"width": 200, "height": 300, "items": [' + items + "]}"
+    texts = {"a": '{"name": "one",\n"pages": [' + ", ".join([page(run), page(turned), page(""), page(run)]) + "]}", "b": "no JSON", "c": '{"name": "empty", "pages": []}', "d": '{"pages": [' + page(run) + "]}"}
+    for k, t in texts.items():
+        (tmp_path / f"{k}.json").write_text(t)
+    got = files.read_layouts(spark, str(tmp_path)).collect()
+    by = {(r["doc_id"].rsplit("/", 1)[-1], r["page"]): r for r in got}
+    assert set(by) == {("one", 0), ("one", 1), ("one", 2), ("b.json", None), ("empty", None), ("d.json", 0)}
+    assert [tuple(i) for i in by["one", 0]["items"]] == [("Seat 12A", 40.0, 100.0, 50.0, 10.0)]
+    assert [tuple(i) for i in by["one", 1]["items"]] == [("Gate", 55.0, 190.0, 20.0, 10.0), ("wide", 5.0, 281.0, 33.0, 12.0)]
+    assert by["one", 2]["items"] == [] and by["b.json", None]["refused"] == by["empty", None]["refused"] == "unreadable" and by["d.json", 0]["refused"] is None
+    lines = "\n".join(texts[k].replace("\n", " ") for k in ("a", "b"))
+    (tmp_path / "all.jsonl").write_text(lines)
+    assert files.read_layouts(spark, str(tmp_path / "all.jsonl"), whole_files=False, most=2).count() == 3
+
+
+def test_a_ticket_keeps_what_its_draft_holds(spark):
+    payload = "M2" + "DOE/JANE MRS".ljust(20) + "E" + "AB12CD DELBOMAI 0123 145Y012C0045 100" + "AB12CD BOMGOIAI 0456 146Y014A0046 100"
+    docs = spark.createDataFrame([("a", "Boarding pass\nPNR: AB12CD\nGate: 14", payload, dt.date(2024, 3, 1)), ("b", "Boarding pass\nFlight: AI 302\nPassenger information\nAsha Rao\nRavi Rao", None, dt.date(2024, 3, 1))], "doc_id string, text string, payload string, reference date")
+    got = {r["id"]: r for r in lifecycle.tickets(docs, now=7).collect()}
+    a, b = got["a"], got["b"]
+    assert a["kind"] == "flight" and a["fields"]["pnr"] == "AB12CD" and a["provenance"]["pnr"]["source"] == "barcode" and a["provenance"]["pnr"]["critical"] and a["departs_at"] == 1716508800000
+    assert [tuple(x) for x in a["additional_legs"]] == [("BOM", "GOI", "AI 456", "2024-05-25", "14A")] and not any(k.startswith("leg") for k in a["fields"])
+    assert b["passengers"] == ["Asha Rao", "Ravi Rao"] and b["additional_legs"] is None and "gate" not in b["fields"]
+    opened = {r["doc_id"]: {f["key"]: f for f in r["fields"]} for r in store.to_draft(lifecycle.tickets(docs, now=7)).collect()}
+    assert opened["a"]["leg2.flight"]["value"] == "AI 456" and opened["a"]["pnr"]["confirmed"] and opened["a"]["pnr"]["source"] == "barcode"
+    again = {r["id"]: (r["fields"], r["additional_legs"], r["passengers"]) for r in store.from_draft(store.to_draft(lifecycle.tickets(docs, now=7)), now=9).collect()}
+    assert again == {k: (r["fields"], r["additional_legs"], r["passengers"]) for k, r in got.items()}

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .functions.folders import shared_folder
-from .operators import bands, barcode, codes, page_redaction, quality, travellers
+from .operators import bands, barcode, codes, page_redaction, quality, store, travellers
 from .operators.ledger import Ledger
-from .schemas import RECORD
-from .sources import images
+from .schemas import RECORD, TICKET
+from .sources import files, images
 from .streaming import intake
 
 
@@ -262,8 +262,69 @@ WITH n AS (
 SELECT r.l_orderkey, any_value(r.f[2]) AS name, min(k.f[1]) AS l_linenumber FROM r JOIN k ON r.l_orderkey = k.l_orderkey AND (k.key = r.key OR starts_with(k.key, r.key || ' ')) GROUP BY r.l_orderkey, r.key"""
 
 
-QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names)}
+# -- layouts and drafts --------------------------------------------------------------------------------------------
+
+
+def captured_layouts(spark, sf_dir):
+    """All orders' layouts, written as JSON and read by their source: the page that counts, and its items' boxes.
+
+    Of two pages in three the first has too little text; runs carry a matrix or a box, and a third of the documents is none.
+    """
+    o, path = _t(spark, sf_dir, "orders"), shared_folder(spark, "layouts")
+    k = F.col("o_orderkey")
+    size = (k % 5 + 1).cast("double")
+    long = F.concat(F.lit("A page of a ticket with enough text to be read, order "), k.cast("string"), F.lit(" "), "o_orderpriority")
+    no = F.lit(None).cast("double")
+    run = lambda text, x, y, width, height, matrix: F.struct(text.alias("text"), x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"), matrix.alias("transform"))
+    boxed = lambda text: run(text, F.lit(40.0), F.lit(120.0) + size, F.lit(200.0), size * 2, F.lit(None).cast("array<double>"))
+    turned = lambda text: run(text, no, no, no, no, F.array(size * 3, size * 4, size * 6, size * 8, F.lit(55.0), F.lit(100.0)))
+    page = lambda *runs: F.struct(F.lit(100.0).alias("width"), F.lit(300.0).alias("height"), F.array(*runs).alias("items"))
+    first = page(boxed(F.when(k % 3 == 0, long).otherwise("short")), boxed(F.lit("  ")))
+    pages = F.array(first, page(turned(long), boxed(F.lit("end"))), page(boxed(long)), page(boxed(F.lit("beyond"))))
+    line = F.when(k % 3 == 2, F.concat(F.lit("no JSON "), k.cast("string"))).otherwise(F.to_json(F.struct(k.cast("string").alias("name"), F.lit("pdf").alias("source"), pages.alias("pages"))))
+    o.select(line.alias("value")).write.text(path)
+    read = files.assessed(files.read_layouts(spark, path, whole_files=False).where("refused IS NULL"))
+    best = files.primary_page(read)
+    box = F.col("items")[0]
+    return best.select("doc_id", F.col("page").cast("int").alias("page"), F.size("items").alias("n"), box["x"].alias("x"), box["y"].alias("y"), F.round(box["width"], 3).alias("width"), box["height"].alias("height"), "characters", "has_text")
+
+
+CAPTURED_LAYOUTS_SQL = """
+WITH o AS (
+  SELECT o_orderkey AS k, (o_orderkey % 5 + 1)::DOUBLE AS s, length('A page of a ticket with enough text to be read, order ' || o_orderkey || ' ' || o_orderpriority) AS n FROM orders WHERE o_orderkey % 3 <> 2
+)
+SELECT k::VARCHAR AS doc_id, CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS page, CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END AS n, CASE WHEN k % 3 = 0 THEN 40.0 ELSE 55.0 END::DOUBLE AS x,
+  CASE WHEN k % 3 = 0 THEN 120 + s - 2 * s ELSE 200 - 10 * s END AS y, CASE WHEN k % 3 = 0 THEN 200 ELSE 5 * s * n END::DOUBLE AS width, CASE WHEN k % 3 = 0 THEN 2 * s ELSE 10 * s END AS height,
+  (n + CASE WHEN k % 3 = 0 THEN 0 ELSE 3 END)::BIGINT AS characters, (n + CASE WHEN k % 3 = 0 THEN 0 ELSE 3 END) / (100 / 72.0 * 2.54 * 300 / 72.0 * 2.54) >= 0.5 AS has_text FROM o"""
+
+
+def draft_round_trip(spark, sf_dir):
+    """Drafts of all orders, each with two further legs and its passengers, stored in a ledger, read back and opened again."""
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    field = lambda key, value, source, critical=False: quality.new_field(F.lit(key), value, F.lit(source), critical=critical)
+    made = [
+        field("origin", F.lit("DEL"), "barcode", True), field("date", F.date_format("o_orderdate", "yyyy-MM-dd"), "pdf-text", True), field("pnr", F.concat(F.lit("P"), k.cast("string")), "ocr"), field("gate", F.lit(" "), "ocr"),
+        field("passengers", F.when(k % 2 == 0, F.concat(F.lit("Asha Rao, C"), F.col("o_custkey").cast("string"))).otherwise("Asha Rao"), "barcode"), field("seat", F.when(k % 3 == 0, F.lit("1A, 1B, 2C")).otherwise("1A"), "barcode"),
+        field("leg3.origin", F.lit("GOI"), "barcode"), field("leg2.origin", F.when(k % 4 > 0, F.lit("BOM")), "barcode"), field("leg2.flight", F.concat(F.lit("AI "), (k % 900).cast("string")), "barcode"),
+    ]
+    drafts = o.select(k.alias("doc_id"), F.lit("flight").alias("kind"), F.array(*made).alias("fields"))
+    book = Ledger(spark, shared_folder(spark, "drafts"), TICKET, buckets=16)
+    book.put(store.from_draft(drafts, now=1), now=2)
+    kept = book.read()
+    f = lambda key: F.get(F.filter("fields", lambda x: x["key"] == key), F.lit(0))
+    opened = store.to_draft(kept).select("doc_id", F.size("fields").alias("n"), F.size(F.filter("fields", lambda x: x["confirmed"])).alias("settled"), f("pnr")["confidence"].alias("sure"), f("leg2.flight")["value"].alias("flight2"), f("leg3.origin")["value"].alias("origin3"))
+    more = kept.select(F.col("id").alias("doc_id"), "departs_at", F.size(F.coalesce("passengers", F.array())).alias("passengers"), F.array_join("all_seats", "+").alias("seats"), F.get("additional_legs", F.lit(0))["origin"].alias("origin2"))
+    return opened.join(more, "doc_id")
+
+
+DRAFT_ROUND_TRIP_SQL = """
+SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 4 > 0 THEN 8 ELSE 7 END AS n, CASE WHEN o_orderkey % 4 > 0 THEN 8 ELSE 7 END AS settled, 'low' AS sure, 'AI ' || o_orderkey % 900 AS flight2, 'GOI' AS origin3,
+  epoch_ms(o_orderdate::DATE::TIMESTAMP) AS departs_at, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS passengers, CASE WHEN o_orderkey % 3 = 0 THEN '1A+1B+2C' END AS seats, CASE WHEN o_orderkey % 4 > 0 THEN 'BOM' END AS origin2 FROM orders"""
+
+
+QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names, captured_layouts, draft_round_trip)}
 ORACLES = {
     "store_versions": STORE_VERSIONS_SQL, "header_cells": HEADER_CELLS_SQL, "uncaptioned_routes": UNCAPTIONED_ROUTES_SQL, "person_names": PERSON_NAMES_SQL, "source_outcomes": SOURCE_OUTCOMES_SQL,
-    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL,
+    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL, "captured_layouts": CAPTURED_LAYOUTS_SQL, "draft_round_trip": DRAFT_ROUND_TRIP_SQL,
 }

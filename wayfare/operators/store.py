@@ -10,6 +10,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import departure_timestamp
+from ..schemas import FIELDS, ORIGIN
+from .quality import new_field
+
 HOUR, DAY = 3_600_000, 86_400_000
 GRACE = 6 * HOUR
 #: Days that a policy keeps a record after it left; None for ever.
@@ -118,15 +122,50 @@ def resume_point(state: Column, saved_at: Column, now: int, minutes: int = 30) -
     return F.when((F.lit(now) - saved_at).between(0, minutes * 60_000), state)
 
 
-def from_fields(fields: DataFrame, kind: Column, added_at: Column) -> DataFrame:
-    """Records from rows of (doc_id, field): non-empty values and where they came from."""
-    f = F.col("field")
-    kept = fields.where(f["value"].isNotNull() & (F.trim(f["value"]) != ""))
-    entry = F.struct(f["key"].alias("key"), f["value"].alias("value"))
-    origin = F.struct(f["key"].alias("key"), F.struct(f["source"].alias("source"), f["confidence"].alias("confidence"), f["edited"].alias("edited"), f["confirmed"].alias("confirmed")).alias("value"))
-    return kept.groupBy(F.col("doc_id").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("fields"), F.map_from_entries(F.collect_list(origin)).alias("provenance"), F.first(kind).alias("kind"), F.first(added_at).alias("added_at"))
+#: What of a further leg is kept, by the end of its keys: ``leg2.origin`` and so on.
+LEG_KEYS = ("origin", "destination", "flight", "date", "seat")
+
+
+def _value(fields: Column, key: str) -> Column:
+    return F.get(F.filter(fields, lambda f: f["key"] == key), F.lit(0))["value"]
+
 
+def _listed(text: Column) -> Column:
+    """The parts of a list, if there are several."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 1, parts)
 
-def to_fields(records: DataFrame) -> DataFrame:
-    """Rows of (id, key, value, confirmed); what was stored counts as confirmed."""
-    return records.select("id", F.explode("fields").alias("key", "value"), F.lit(True).alias("confirmed"))
+
+def from_draft(drafts: DataFrame, now: int, source: str = "import") -> DataFrame:
+    """Records of ``schemas.TICKET`` of drafts (doc_id, kind, fields); a draft's fields are one array, so nothing is shuffled.
+
+    Empty fields are left out. Several passengers and seats are lists besides, and further legs are structs in the order of their numbers.
+    """
+    filled = drafts.withColumn("_f", F.filter("fields", lambda f: f["value"].isNotNull() & (F.trim(f["value"]) != "")))
+    own = F.filter("_f", lambda f: ~f["key"].rlike("^leg[0-9]+[.]"))
+    origin = lambda f: F.struct(f["label"].alias("label"), f["source"].alias("source"), f["confidence"].alias("confidence"), f["edited"].alias("edited"), f["confirmed"].alias("confirmed"), f["critical"].alias("critical"))
+    pairs = lambda value: F.map_from_entries(F.transform(own, lambda f: F.struct(f["key"].alias("key"), value(f).alias("value"))))
+    numbers = F.array_sort(F.array_distinct(F.filter(F.transform("_f", lambda f: F.regexp_extract(f["key"], "^leg([0-9]+)[.]", 1).try_cast("int")), lambda n: n.isNotNull())))
+    of_leg = lambda n, key: F.get(F.filter("_f", lambda f: f["key"] == F.concat(F.lit("leg"), n.cast("string"), F.lit(f".{key}"))), F.lit(0))["value"]
+    legs = F.transform(numbers, lambda n: F.struct(*(of_leg(n, key).alias(key) for key in LEG_KEYS)))
+    values = pairs(lambda f: f["value"])
+    return filled.select(
+        F.col("doc_id").cast("string").alias("id"), "kind", values.alias("fields"), departure_timestamp(values).alias("departs_at"), F.lit(now).cast("long").alias("added_at"), F.lit(now).cast("long").alias("updated_at"),
+        F.lit(source).alias("source"), F.lit(False).alias("archived"), pairs(origin).alias("provenance"), F.coalesce(_listed(_value(F.col("_f"), "passengers")), _listed(_value(F.col("_f"), "passenger"))).alias("passengers"),
+        _listed(_value(F.col("_f"), "seat")).alias("all_seats"), F.when(F.size(legs) > 0, legs).alias("additional_legs"),
+    )
+
+
+def to_draft(records: DataFrame) -> DataFrame:
+    """Drafts (doc_id, kind, fields) of records, to be edited: every value is settled, at the confidence it was stored with."""
+
+    def field(key: Column, value: Column, p: Column) -> Column:
+        at = lambda name, other: F.coalesce(p[name], other)
+        made = new_field(key, value, at("source", F.lit("inferred")), confidence=at("confidence", F.lit("medium")), critical=at("critical", F.lit(False)))
+        return made.withField("label", at("label", key)).withField("confirmed", F.lit(True)).withField("edited", at("edited", F.lit(False)))
+
+    plain = F.transform(F.map_entries("fields"), lambda e: field(e["key"], e["value"], F.try_element_at("provenance", e["key"])))
+    none = F.lit(None).cast(ORIGIN)
+    leg = lambda x, i: F.filter(F.array(*(field(F.concat(F.lit("leg"), (i + 2).cast("string"), F.lit(f".{k}")), x[k], none) for k in LEG_KEYS)), lambda f: f["value"].isNotNull())
+    legs = F.coalesce(F.flatten(F.transform("additional_legs", leg)), F.array().cast(FIELDS))
+    return records.select(F.col("id").alias("doc_id"), "kind", F.concat(plain.cast(FIELDS), legs.cast(FIELDS)).alias("fields"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import ITEMS
+from ..operators.layout import assess_text
 
 MAX_BYTES, MAX_TEXT_BYTES, MAX_PAGES = 8 << 20, 4 << 20, 3
 
@@ -38,11 +38,49 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return ingest(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, page, width, height, items) of captured layouts, JSON files of one document each."""
-    schema = f"name string, pages array<struct<width:double,height:double,items:{ITEMS}>>"
-    docs = spark.read.schema(schema).json(path, multiLine=True)
-    return docs.select(F.col("name").alias("doc_id"), F.posexplode("pages").alias("page", "p")).select("doc_id", "page", "p.width", "p.height", "p.items")
+#: A text run: of a capture (x, y, width, height; y counts down to the baseline), or of a parser (a transform matrix; y counts up to it).
+RUN = "struct<text:string,x:double,y:double,width:double,height:double,transform:array<double>>"
+CAPTURE = f"name string, source string, pages array<struct<width:double,height:double,items:array<{RUN}>>>"
+
+
+def _hypot(a: Column, b: Column) -> Column:
+    return F.sqrt(a * a + b * b)
+
+
+def runs_to_items(runs: Column, page_height: Column) -> Column:
+    """Items of a page's text runs: blank ones dropped, boxes from the top down.
+
+    A run with a matrix is as tall as its second axis and, if it has no width, as wide as its first axis times its characters.
+    """
+
+    def item(r: Column) -> Column:
+        t = F.when(F.size(r["transform"]) >= 6, r["transform"])
+        at = lambda k: F.get(t, F.lit(k))
+        filled = lambda c: F.nullif(c, F.lit(0.0))
+        height = F.coalesce(filled(_hypot(at(2), at(3))), r["height"], F.lit(0.0))
+        width = F.coalesce(filled(r["width"]), _hypot(at(0), at(1)) * F.length(r["text"]), F.lit(0.0))
+        y = F.when(t.isNotNull(), page_height - at(5) - height).otherwise(r["y"] - height)
+        return F.struct(r["text"].alias("text"), F.coalesce(at(4), r["x"]).alias("x"), y.alias("y"), width.alias("width"), height.alias("height"))
+
+    return F.transform(F.filter(runs, lambda r: F.coalesce(F.trim(r["text"]) != "", F.lit(False))), item)
+
+
+def read_layouts(spark: SparkSession, path: str, whole_files: bool = True, most: int = MAX_PAGES) -> DataFrame:
+    """Rows (doc_id, page, width, height, items, refused) of captured layouts: JSON, a document a file or a line.
+
+    Of each document the first ``most`` pages are made rows, before their items are touched. What is no such document is one row with
+    ``refused``; a file without a name is called by its path.
+    """
+    texts = spark.read.text(path, wholetext=whole_files)
+    parsed = texts.select(F.from_json("value", CAPTURE).alias("d"), F.col("_metadata.file_path").alias("file"))
+    named = parsed.select(F.coalesce("d.name", "file").alias("doc_id"), F.when(F.coalesce(F.size("d.pages"), F.lit(0)) > 0, F.slice("d.pages", 1, most)).alias("pages"))
+    each = named.select("doc_id", F.posexplode_outer("pages").alias("page", "p"))
+    return each.select("doc_id", "page", "p.width", "p.height", runs_to_items(F.col("p.items"), F.col("p.height")).alias("items"), F.when(F.col("p").isNull(), "unreadable").alias("refused"))
+
+
+def assessed(pages: DataFrame) -> DataFrame:
+    """pages with what their text layer is worth: characters, density, has_text, partial."""
+    return pages.withColumn("_a", assess_text(F.col("items"), F.col("width"), F.col("height"))).select(*pages.columns, "_a.*")
 
 
 def normalise_items(items: Column, page_height: Column) -> Column:
