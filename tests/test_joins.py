@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import bands, codes, page_redaction, quality, ranks, travellers
+from wayfare.operators import bands, codes, layout, page_redaction, page_rows, quality, ranks, reading, travellers
 from wayfare.sources import images
 
 
@@ -96,3 +96,56 @@ def test_a_page_is_redacted_alike(spark):
     assert got["p", 4] == "call 1234567890 or 1234679001, TRAVELLER" and got["p", 5] == "SAMPLE 1234679001 GUEST"
     assert got["p", 6] + got["p", 7] == "traveller@example.com" and len(got["p", 6]) == 12 and got["p", 8] == "whole@mail.org" and got["p", 9] is None
     assert got["q", 0] == "1234567890" and got["q", 1] == "Asha is no name here" and got[None, 0] == "Dear SAMPLE 1234567890"
+
+
+def test_islands_of_one_large_group(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for group, n in (("hot", 2500), ("b", 40), (None, 30)):
+        at, island = 0, 0
+        for k in range(n):
+            step = rng.choice([0, 1, 2, 9])
+            island += k > 0 and step > 3
+            at += step
+            rows.append((group, k, at, 3))
+            want[group, k] = island
+    got = ranks.islands(spark.createDataFrame(rows, "g string, k int, at int, gap int").repartition(7), ["g"], ["at", "k"], "at", "gap").collect()
+    assert {(r["g"], r["k"]): r["island"] for r in got} == want
+
+
+def test_lines_and_cells_of_rows_are_those_of_arrays(spark):
+    rng = random.Random(9)
+    pages = {}
+    for p in range(12):
+        items = []
+        for line in range(rng.randint(1, 9)):
+            x = 40.0
+            for _ in range(rng.randint(1, 6)):
+                text = "".join(rng.choice("abcXY") for _ in range(rng.randint(1, 8)))
+                items.append({"text": text, "x": x, "y": 30.0 * line + rng.choice([0.0, 1.0, 2.0]), "width": 5.0 * len(text), "height": 10.0})
+                x += 5.0 * len(text) + rng.choice([2.0, 6.0, 30.0])
+        pages[p] = items
+    rows = [(p, k, *(i[c] for c in ("text", "x", "y", "width", "height"))) for p, items in pages.items() for k, i in enumerate(items)] + [(0, 99, " ", 1.0, 1.0, 1.0, 1.0), (0, 98, "lost", None, 1.0, 1.0, 1.0)]
+    df = page_rows.with_cells(page_rows.with_lines(spark.createDataFrame(rows, "page int, item int, text string, x double, y double, width double, height double")))
+    texts = {}
+    for r in page_rows.cell_texts(df).orderBy("page", "line", "cell").collect():
+        texts.setdefault((r["page"], r["line"]), []).append(r["text"].replace(" ", ""))
+    boxes = {(r["page"], r["line"]): (r["n"], r["cells"], r["x"], r["y"], round(r["width"], 6), r["height"]) for r in page_rows.line_boxes(df).collect()}
+    for p, items in pages.items():
+        for k, line in enumerate(layout.build_lines(items)):
+            cells = layout.split_columns(line)
+            assert texts[p, k] == [c["text"].replace(" ", "") for c in cells]
+            assert boxes[p, k] == (len(line["items"]), len(cells), line["x"], line["y"], round(line["width"], 6), line["height"])
+    assert len(boxes) == sum(len(layout.build_lines(i)) for i in pages.values())
+
+
+def test_columns_read_as_the_plain_functions(spark):
+    texts = ["Boarding pass", "e-Ticket", "Dear guest", "IndiGo", "AI 302", "AI", "zz 12", "Travel House", "Acme Air Lines of Old Times", "ab", None, "", "Hello", "A/B tours", "Document of travel", "12 May 2024, 13 June 24 and 1/2/2024", "May 3rd, 2023 2024-02-30 2024-02-29 31.04.2024", "5 May 24: 10"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r for r in df.select("k", reading.looks_like_title(F.col("t")).alias("title"), reading.expand_carrier(F.col("t")).alias("carrier"), reading.dates_on_line(F.col("t")).alias("dates"), layout.grid_items(F.col("t")).alias("grid")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["title"] == reading.is_title(t) and got[k]["carrier"] == reading.carrier_name(t) and got[k]["dates"] == reading.readings(t), t
+    assert [tuple(i) for i in got[2]["grid"]] == [("Dear", 0.0, 0.0, 28.0, 12.0), ("guest", 35.0, 0.0, 35.0, 12.0)] and got[10]["grid"] is None and got[11]["grid"] == []
+    long = "  ab  c\n\nx" + " yy" * 4000
+    grid = spark.createDataFrame([(long,)], "t string").select(layout.grid_items(F.col("t"))).first()[0]
+    assert [tuple(i)[:3] for i in grid[:3]] == [("ab", 14.0, 0.0), ("c", 42.0, 0.0), ("x", 0.0, 32.0)] and [i["x"] for i in grid[3:]] == [7.0 * (2 + 3 * k) for k in range(4000)]

@@ -15,6 +15,7 @@ from .functions import places, scalars, seats
 from .functions.udf import spread
 from .operators import barcode, builders, classify, layout, quality, raster, reading, redact, store
 from .plans import lifecycle
+from .schemas import ITEMS
 from .sources import mime
 
 NOW = int(dt.datetime(1998, 6, 1, tzinfo=dt.UTC).timestamp() * 1000)
@@ -467,7 +468,7 @@ def names_under_heading(spark, sf_dir):
     name = F.concat(F.lit("Asha "), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
     text = F.concat(F.lit("Passenger details\nAdult\nSector DEL-BOM\n"), name, F.lit("\nBengaluru\n"), F.when(F.col("c_custkey") % 2 == 0, "Ravi Rao").otherwise(F.concat(name, F.lit(" Extra"))), F.lit("\nTwo Late"))
     none = F.lit(None).cast("string")
-    made = builders.fields_of(F.lit("flight"), F.array().cast(layout.ITEMS), text, none, F.lit("2024-03-01").cast("date"), none, F.lit(None).cast("struct<values:map<string,string>,passengers:array<string>>"))
+    made = builders.fields_of(F.lit("flight"), F.array().cast(ITEMS), text, none, F.lit("2024-03-01").cast("date"), none, F.lit(None).cast("struct<values:map<string,string>,passengers:array<string>>"))
     value = lambda key: F.get(F.filter(F.col("fields"), lambda x: x["key"] == key), F.lit(0))["value"]
     return _dealt(spark, sf_dir, "customer").select("c_custkey", made.alias("fields")).select("c_custkey", value("passenger").alias("passenger"), value("passengers").alias("passengers"))
 

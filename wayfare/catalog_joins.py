@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .functions.folders import shared_folder
-from .operators import bands, barcode, codes, page_redaction, quality, store, travellers
+from .operators import bands, barcode, codes, page_redaction, page_rows, quality, store, travellers
 from .operators.ledger import Ledger
 from .schemas import RECORD, TICKET
 from .sources import files, images
@@ -265,6 +265,28 @@ SELECT r.l_orderkey, any_value(r.f[2]) AS name, min(k.f[1]) AS l_linenumber FROM
 # -- layouts and drafts --------------------------------------------------------------------------------------------
 
 
+def page_lines(spark, sf_dir):
+    """Lines and cells of all lineitem pages: items a little off their line, and next to or apart from each other."""
+    li = _t(spark, sf_dir, "lineitem")
+    off, gap = (F.col("l_partkey") % 3).cast("double"), (F.col("l_suppkey") % 20).cast("double")
+    number = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    item = lambda k, text, x: F.struct(F.struct(number.alias("of"), F.lit(k).alias("k")).alias("item"), text.alias("text"), x.alias("x"), (F.lit(14.0) * F.col("l_linenumber") + off * k).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+    row = F.array(item(0, F.col("l_returnflag"), F.lit(40.0)), item(1, F.col("l_linestatus"), F.lit(70.0) + gap), item(2, F.lit(" "), F.lit(500.0)), item(2, F.col("l_linenumber").cast("string"), F.lit(200.0)))
+    items = li.select(F.col("l_orderkey").alias("page"), F.explode(row).alias("i")).select("page", "i.*")
+    return page_rows.line_boxes(page_rows.with_cells(page_rows.with_lines(items)))
+
+
+PAGE_LINES_SQL = """
+WITH i AS (
+  SELECT l_orderkey AS page, row_number() OVER () * 3 + unnest([0, 1, 2]) AS id, unnest([40, 70 + l_suppkey % 20, 200])::DOUBLE AS x, 14.0::DOUBLE * l_linenumber + unnest([0, 1, 2]) * (l_partkey % 3) AS y FROM lineitem
+), l AS (
+  SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y, x, id ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x, id) > 5.5 THEN 1 ELSE 0 END AS new FROM i)
+), c AS (
+  SELECT *, CASE WHEN x - max(x + 30) OVER (PARTITION BY page, line ORDER BY x, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 10.5 THEN 1 ELSE 0 END AS cut FROM l
+)
+SELECT page, line, count(*) AS n, (sum(cut) + 1)::BIGINT AS cells, min(x) AS x, min(y) AS y, max(x) + 30 - min(x) AS width, max(y) + 10 - min(y) AS height FROM c GROUP BY page, line"""
+
+
 def captured_layouts(spark, sf_dir):
     """All orders' layouts, written as JSON and read by their source: the page that counts, and its items' boxes.
 
@@ -323,8 +345,8 @@ SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 4 > 0 THEN 8 ELSE 7
   epoch_ms(o_orderdate::DATE::TIMESTAMP) AS departs_at, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS passengers, CASE WHEN o_orderkey % 3 = 0 THEN '1A+1B+2C' END AS seats, CASE WHEN o_orderkey % 4 > 0 THEN 'BOM' END AS origin2 FROM orders"""
 
 
-QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names, captured_layouts, draft_round_trip)}
+QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names, captured_layouts, draft_round_trip, page_lines)}
 ORACLES = {
     "store_versions": STORE_VERSIONS_SQL, "header_cells": HEADER_CELLS_SQL, "uncaptioned_routes": UNCAPTIONED_ROUTES_SQL, "person_names": PERSON_NAMES_SQL, "source_outcomes": SOURCE_OUTCOMES_SQL,
-    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL, "captured_layouts": CAPTURED_LAYOUTS_SQL, "draft_round_trip": DRAFT_ROUND_TRIP_SQL,
+    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL, "page_lines": PAGE_LINES_SQL, "captured_layouts": CAPTURED_LAYOUTS_SQL, "draft_round_trip": DRAFT_ROUND_TRIP_SQL,
 }

@@ -1,4 +1,4 @@
-"""Ranks within groups of any size: the rows of a group that is too large for one task are ranked by several."""
+"""Ranks and islands within groups of any size: a group that is too large for one task is worked on by several."""
 
 from __future__ import annotations
 
@@ -24,3 +24,24 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     joined = dealt.alias("d").join(offsets.alias("o"), on).select("d.*", "_before")
     place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
     return joined.select(*df.columns, (place + F.col("_before")).cast("long").alias(name))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], value: str, gap: str, name: str = "island") -> DataFrame:
+    """df with the number, from 0, of the island that each row is in: a new one begins where ``value`` is more than ``gap`` above that of the row before.
+
+    ``order`` must be total within a group and ``value`` not null. As in ``rank_within``, rows are dealt by ranges; the last value and the
+    number of beginnings of each part and group are carried over to the next part.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "islands")
+    df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    same = lambda a, b: [F.col(f"{a}._part") == F.col(f"{b}._part"), *(F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys)]
+    parts, rows = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy("_part", *keys).orderBy(*order)
+    ends = dealt.groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_last")).withColumn("_before", F.lag("_last").over(parts)).drop("_last")
+    joined = dealt.alias("d").join(ends.alias("e"), same("d", "e")).select("d.*", "_before")
+    previous = F.coalesce(F.lag(value).over(rows), F.col("_before"))
+    flagged = joined.withColumn("_new", F.coalesce((F.col(value) - previous > F.col(gap)).cast("int"), F.lit(0))).drop("_before")
+    counts = flagged.groupBy("_part", *keys).agg(F.sum("_new").alias("_n"))
+    offsets = counts.withColumn("_sum", F.coalesce(F.sum("_n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    whole = flagged.alias("f").join(offsets.alias("o"), same("f", "o")).select("f.*", "_sum")
+    return whole.select(*df.columns, (F.sum("_new").over(rows.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_sum")).cast("long").alias(name))

@@ -1,17 +1,20 @@
 """What a page says without a label: all dates of a line, times beside the journey's date, headings, names and brands.
 
-Plain functions of a page's lines for the builders; those of one text are Columns too (Arrow batches, one text a row).
+Plain functions of a page's lines for the builders; those of one text are Columns too.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import functools
+import json
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions import places
-from ..functions.scalars import MONTHS
-from ..functions.udf import on_arrow
+from ..functions.scalars import MONTHS, bound
 from . import layout
 
 # -- fixed values: shapes of dates with a year, of clock times, and words that tell lines apart --------------------
@@ -78,10 +81,21 @@ def _real(year: int, month: int, day: int) -> str | None:
         return None
 
 
-@on_arrow("array<string>")
-def dates_on_line(text):
-    """``readings`` of a text; null has none."""
-    return readings(text)
+def dates_on_line(text: Column) -> Column:
+    """``readings`` as a Column: every date with a year that a text may mean."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    found = lambda shape: F.regexp_extract_all(t, F.lit(shape), F.lit(0))
+    month = lambda m: F.lpad((F.array_position(F.array(*(F.lit(x) for x in MONTHS)), F.substring(m, 1, 3))).cast("string"), 2, "0")
+    part = lambda x, shape, k: F.regexp_extract(x, shape, k)
+    day = lambda y, m, d: F.concat(F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date").cast("string")
+    named, first = (rf"\b([0-9]{{1,2}})(?:st|nd|rd|th)?[\s,-]*({_MONTH})[a-z]*[\s,'-]*([0-9]{{4}}|[0-9][0-9])\b(?!\s*:)", rf"\b({_MONTH})[a-z]*[\s.-]*([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b")
+    number, iso = r"\b([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})\b", r"\b([0-9]{4})-([0-9][0-9])-([0-9][0-9])\b"
+    all_ = F.concat(
+        F.transform(found(named), lambda x: day(part(x, named, 3), month(part(x, named, 2)), part(x, named, 1))), F.transform(found(first), lambda x: day(part(x, first, 3), month(part(x, first, 1)), part(x, first, 2))),
+        F.flatten(F.transform(found(number), lambda x: F.array(day(part(x, number, 3), part(x, number, 2), part(x, number, 1)), day(part(x, number, 3), part(x, number, 1), part(x, number, 2))))),
+        F.transform(found(iso), lambda x: day(part(x, iso, 1), part(x, iso, 2), part(x, iso, 3))),
+    )
+    return F.array_sort(F.array_distinct(F.array_compact(all_)))
 
 
 def clocks(text: str) -> list[str]:
@@ -192,9 +206,17 @@ def is_title(text: str | None) -> bool:
     return bool(t) and bool(noise or heading or said[:1] and said[0] in SALUTATIONS)
 
 
-@on_arrow("boolean")
-def looks_like_title(text):
-    return is_title(text)
+def looks_like_title(text: Column) -> Column:
+    """``is_title`` as a Column."""
+    t = F.coalesce(text, F.lit(""))
+
+    def heading(said: Column) -> Column:
+        pairs = F.transform(F.slice(said, 2, 1 << 30), lambda w, i: F.concat(F.get(said, i), F.lit(" "), w))
+        some = lambda words: F.array(*(F.lit(w) for w in sorted(words)))
+        return F.arrays_overlap(said, some(TITLE_WORDS)) | F.arrays_overlap(pairs, some(" ".join(p) for p in TITLE_PAIRS)) | F.coalesce(F.get(said, F.lit(0)).isin(*sorted(SALUTATIONS)), F.lit(False))
+
+    noise = t.rlike(r"[\]\[{}|\\/@#*_~`0-9]") | (F.regexp_count(t, F.lit(r"\S+")) > 4) | (F.regexp_count(t, F.lit("[A-Za-z]")) < 3)
+    return (t != "") & (noise | bound(F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)), heading))
 
 
 def carrier_name(text: str | None) -> str | None:
@@ -204,6 +226,9 @@ def carrier_name(text: str | None) -> str | None:
     return (carriers().get(m[1].upper()) or t if m else t) or None
 
 
-@on_arrow("string")
-def expand_carrier(text):
-    return carrier_name(text)
+def expand_carrier(text: Column) -> Column:
+    """``carrier_name`` as a Column: a small table of codes is a constant."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    code = F.upper(F.regexp_extract(t, r"(?i)^([A-Z0-9]{2})(?:[\s-]?[0-9]{1,4}[A-Z]?)?$", 1))
+    known = F.from_json(F.lit(json.dumps(carriers())), "map<string,string>")
+    return F.nullif(F.coalesce(F.try_element_at(known, code), t), F.lit(""))
