@@ -167,6 +167,27 @@ SELECT user_id::VARCHAR AS share, event_id::INT AS place, event_type AS name, CA
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1"""
 
 
+def file_kinds(spark, sf_dir):
+    """All pages and all turns of conversations as files of several types: what they are, and why some are not read."""
+    p, c = _t(spark, sf_dir, "pages"), _t(spark, sf_dir, "conversations")
+    k = F.col("page_id") % 7
+    head = lambda hex_: F.unhex(F.lit(hex_))
+    body = F.when(k == 0, F.col("html").cast("binary")).when(k == 1, F.concat(head("255044462D312E37"), F.col("html").cast("binary"))).when(k == 2, F.concat(head("89504E470D0A1A0A0000"), F.col("url").cast("binary"))).when(k == 3, F.lit("").cast("binary"))
+    body = body.when(k == 4, F.concat(F.lit("From: A <a@b.org>\nSubject: "), "url", F.lit("\nMIME-Version: 1.0\n\n"), "html").cast("binary")).when(k == 5, F.concat(head("00010203FFFE"), F.col("url").cast("binary"))).otherwise(F.lit(" \n \t ").cast("binary"))
+    mime = F.when(k == 0, "TEXT/html").when(k == 4, "message/rfc822").when(k == 6, "text/plain")
+    pages = p.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), body.alias("content"), mime.alias("mime"))
+    name = F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, ".TXT").otherwise(".bin"))
+    turns = c.select(name.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.when(F.col("turn") % 2 == 1, "text/plain").alias("mime"))
+    return files.ingest(pages.unionByName(turns)).select("path", "kind", "form", "refused")
+
+
+FILE_KINDS_SQL = """
+SELECT 'page-' || page_id AS path, CASE page_id % 7 WHEN 1 THEN 'pdf' WHEN 2 THEN 'png' WHEN 0 THEN 'text' WHEN 4 THEN 'text' WHEN 6 THEN 'text' END AS kind, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 4 THEN 'message' END AS form,
+  CASE page_id % 7 WHEN 3 THEN 'empty' WHEN 5 THEN 'unknown-type' WHEN 6 THEN 'no-text' END AS refused FROM pages
+UNION ALL SELECT 'turn-' || conv_id || '-' || turn || CASE WHEN turn % 2 = 0 THEN '.TXT' ELSE '.bin' END, CASE WHEN octet_length(encode(text)) >= 4 THEN 'text' END, CASE WHEN octet_length(encode(text)) >= 4 THEN CASE WHEN starts_with(text, 'From ') THEN 'message' ELSE 'text' END END,
+  CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN octet_length(encode(text)) < 4 THEN 'unknown-type' END FROM conversations"""
+
+
 def page_stand_ins(spark, sf_dir):
     """Conversations as pages: their names and numbers replaced by first appearance, split addresses put together."""
     c = _t(spark, sf_dir, "conversations")
@@ -345,8 +366,8 @@ SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 4 > 0 THEN 8 ELSE 7
   epoch_ms(o_orderdate::DATE::TIMESTAMP) AS departs_at, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS passengers, CASE WHEN o_orderkey % 3 = 0 THEN '1A+1B+2C' END AS seats, CASE WHEN o_orderkey % 4 > 0 THEN 'BOM' END AS origin2 FROM orders"""
 
 
-QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names, captured_layouts, draft_round_trip, page_lines)}
+QUERIES = {f.__name__: f for f in (store_versions, header_cells, uncaptioned_routes, person_names, source_outcomes, share_intake, page_stand_ins, image_candidates, image_states, traveller_names, captured_layouts, draft_round_trip, page_lines, file_kinds)}
 ORACLES = {
     "store_versions": STORE_VERSIONS_SQL, "header_cells": HEADER_CELLS_SQL, "uncaptioned_routes": UNCAPTIONED_ROUTES_SQL, "person_names": PERSON_NAMES_SQL, "source_outcomes": SOURCE_OUTCOMES_SQL,
-    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL, "page_lines": PAGE_LINES_SQL, "captured_layouts": CAPTURED_LAYOUTS_SQL, "draft_round_trip": DRAFT_ROUND_TRIP_SQL,
+    "share_intake": SHARE_INTAKE_SQL, "page_stand_ins": PAGE_STAND_INS_SQL, "image_candidates": IMAGE_CANDIDATES_SQL, "image_states": IMAGE_STATES_SQL, "traveller_names": TRAVELLER_NAMES_SQL, "page_lines": PAGE_LINES_SQL, "file_kinds": FILE_KINDS_SQL, "captured_layouts": CAPTURED_LAYOUTS_SQL, "draft_round_trip": DRAFT_ROUND_TRIP_SQL,
 }

@@ -273,7 +273,9 @@ def looks_like_message(text: Column) -> Column:
 
 
 def looks_like_html(text: Column) -> Column:
-    return text.rlike(r"(?i)<(?:html|body|table|div|p|head|!doctype)[\s>]")
+    """A tag of a page's beginning, before anything else."""
+    tags = ("!doctype html", "html", "body", "table", "div", "meta", "span", r"p[\s>]")
+    return F.substring(text, 1, 2000).rlike(rf"(?i)^\s*<(?:{'|'.join(tags)})")
 
 
 def fnv_hash(text: Column) -> Column:

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import looks_like_html, looks_like_message
 from ..operators.layout import assess_text
 
+# -- fixed values: limits, and what names and types of text begin or end with -----------------------------------------
 MAX_BYTES, MAX_TEXT_BYTES, MAX_PAGES = 8 << 20, 4 << 20, 3
+TEXT_ENDINGS = ("eml", "mht", "mhtml", "htm", "html", "txt", "msg")
+TEXT_TYPES = ("message/", "text/", "application/mbox", "application/x-mimearchive")
+# ----------------------------------------------------------------------------------------------------------------
 
 
 def _starts(content: Column, text_hex: str, at: int = 1) -> Column:
     return F.hex(F.substring(content, at, len(text_hex) // 2)) == text_hex
 
 
-def file_kind(content: Column, path: Column) -> Column:
-    """pdf, text, an image format, or null; PDF is looked for first, then text, then images."""
+def file_kind(content: Column, path: Column, mime: Column | None = None) -> Column:
+    """pdf, text, an image format, or null; PDF is looked for first, then text (by name, stated type, or first bytes), then images."""
     printable = F.regexp_count(F.decode(F.substring(content, 1, 512), "ISO-8859-1"), F.lit(r"[\x09\x0A\x0D\x20-\x7E]"))
-    textual = F.lower(path).rlike(r"\.(?:txt|eml|mbox|html?|csv|json|ics|md)$") | (printable > 0.95 * F.least(F.length(content), F.lit(512)))
+    textual = F.lower(path).rlike(r"\.(?:" + "|".join(TEXT_ENDINGS) + ")$") | (printable > 0.95 * F.least(F.length(content), F.lit(512)))
+    if mime is not None:
+        textual = F.coalesce(F.lower(mime).rlike("^(?:" + "|".join(TEXT_TYPES) + ")"), F.lit(False)) | F.coalesce(textual, F.lit(False))
     brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
     image = (
         F.when(_starts(content, "89504E47"), "png").when(_starts(content, "FFD8FF"), "jpeg").when(_starts(content, "47494638"), "gif").when(_starts(content, "424D"), "bmp")
@@ -28,10 +35,21 @@ def file_kind(content: Column, path: Column) -> Column:
 
 
 def ingest(files: DataFrame) -> DataFrame:
-    """(path, content) with ``kind`` and ``refused``: why a file is not read, or null."""
-    kind, size = file_kind(F.col("content"), F.col("path")), F.length("content")
-    why = F.when(F.col("content").isNull() | (size == 0), "empty").when(size > MAX_BYTES, "too-large").when(F.col("kind").isNull(), "unknown-type").when((F.col("kind") == "text") & (size > MAX_TEXT_BYTES), "text-too-large")
-    return files.withColumn("kind", kind).withColumn("refused", why)
+    """(path, content[, mime]) with ``kind``, the ``form`` of text (message, html, text) and ``refused``: why a file is not read, or null."""
+    mime = F.col("mime") if "mime" in files.columns else None
+    kind, size = file_kind(F.col("content"), F.col("path"), mime), F.length("content")
+    text = F.decode(F.substring("content", 1, MAX_TEXT_BYTES), "UTF-8")
+    form = F.when(F.col("kind") == "text", F.when(looks_like_message(text), "message").when(looks_like_html(text), "html").when(F.trim(F.translate(text, "\n\r\t", "   ")) != "", "text"))
+    why = (
+        F.when(F.col("content").isNull() | (size == 0), "empty").when(size > MAX_BYTES, "too-large").when(F.col("kind").isNull(), "unknown-type")
+        .when((F.col("kind") == "text") & (size > MAX_TEXT_BYTES), "text-too-large").when((F.col("kind") == "text") & F.col("form").isNull(), "no-text")
+    )
+    return files.withColumn("kind", kind).withColumn("form", form).withColumn("refused", why)
+
+
+def rejects(files: DataFrame) -> DataFrame:
+    """(path, refused, size) of the files of ``ingest`` that are not read: a table beside those that are."""
+    return files.where("refused IS NOT NULL").select("path", "refused", F.coalesce(F.length("content"), F.lit(0)).alias("size"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
