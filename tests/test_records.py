@@ -204,3 +204,12 @@ def test_shapes_dates_and_names(spark):
     assert [r[0] for r in df.select(barcode.shape_score(df.w, df.h)).collect()] == [100.0, 60.0, 0.0, 0.0, 0.0]
     df = spark.createDataFrame([("2024-05-05", "RAJASTHAN STATE"), ("soon", "KSRTC"), (None, None)], "d string, p string")
     assert [tuple(r) for r in df.select(scalars.format_date(df.d), scalars.tidy_provider(df.p)).collect()] == [("5 May", "Rajasthan State"), ("soon", "KSRTC"), ("", None)]
+
+
+def test_the_stated_change_of_an_id_wins(spark):
+    r = records(spark, ("a", 1, 1, False))
+    changes = records(spark, ("a", 5, 5, False), ("a", 7, 7, False), ("b", 2, 2, False)).withColumn("n", F.when(F.col("departs_at") == 5, 2).otherwise(1))
+    for parts in (1, 4):
+        got = {x.id: x.departs_at for x in store.upsert(r, changes.repartition(parts), NOW, order="n").collect()}
+        assert got == {"a": 5, "b": 2}
+        assert {x.id: x.departs_at for x in store.upsert(r, changes.drop("n").repartition(parts), NOW).collect()} == {"a": 7, "b": 2}

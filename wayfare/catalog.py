@@ -84,7 +84,7 @@ def store_upsert(spark, sf_dir):
 def _bcbp(spark, sf_dir):
     o, c = _dealt(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(nation), c.c_nationkey == nation.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(nation, c.c_nationkey == nation.n_nationkey)
     code = F.rpad(F.upper(F.substring(F.replace("n_name", F.lit(" "), F.lit("")), 1, 3)), 3, "X")
     return j.select(
         "o_orderkey", "o_orderdate", code.alias("origin"), F.lit("DEL").alias("destination"), F.format_string("%06d", F.col("o_orderkey") % 1000000).alias("pnr"), (F.col("o_orderkey") % 9000 + 1).cast("string").alias("flight"),

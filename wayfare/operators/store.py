@@ -53,9 +53,15 @@ def retain(records: DataFrame, now: int, policy: str) -> DataFrame:
     return records.where(F.coalesce(F.col("departs_at") >= F.lit(now - GRACE - days * DAY), F.lit(True)))
 
 
-def upsert(records: DataFrame, changes: DataFrame, now: int) -> DataFrame:
-    """Changes replace records of their id and are stamped; of changes with one id any one stays."""
-    fresh = changes.dropDuplicates(["id"]).withColumn("updated_at", F.lit(now).cast("long"))
+def upsert(records: DataFrame, changes: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """Changes replace records of their id and are stamped; of changes with one id the one of the greatest ``order`` stays, ties by its JSON text.
+
+    Both are frames, and nothing is written: a ``Ledger`` keeps what it merges.
+    """
+    columns = [c for c in changes.columns if c != order or c in records.columns]
+    row = F.struct(*columns)
+    rank = F.struct(F.col(order), F.to_json(row)) if order else F.to_json(row)
+    fresh = changes.groupBy("id").agg(F.max_by(row, rank).alias("r")).select("r.*").withColumn("updated_at", F.lit(now).cast("long"))
     return records.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
