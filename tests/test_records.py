@@ -1,5 +1,7 @@
 """Quality rules, the record store, classification and barcodes, with hand-stated answers."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
@@ -213,3 +215,15 @@ def test_the_stated_change_of_an_id_wins(spark):
         got = {x.id: x.departs_at for x in store.upsert(r, changes.repartition(parts), NOW, order="n").collect()}
         assert got == {"a": 5, "b": 2}
         assert {x.id: x.departs_at for x in store.upsert(r, changes.drop("n").repartition(parts), NOW).collect()} == {"a": 7, "b": 2}
+
+
+def test_railway_record_of_many_keys_is_no_square(spark):
+    """First values in the order of their keys; a payload of 4,000 keys took a square of reads of all its lines."""
+    keys = [f"key {k * 7919 % 4001}" for k in range(4001)]
+    many = "PNR No.:A1,\nTrain No.:12,\n" + "".join(f"{k}:{n},\n" for n, k in enumerate(keys)) + "key 5:later,\nName:B,\nPassenger Name:A,\nEmpty:,\n"
+    rows = spark.createDataFrame([(0, many), (1, "no keys"), (2, None), (3, "Train:1\nName:X")], "k int, t string")
+    began = time.perf_counter()
+    got = {r.k: r for r in rows.select("k", barcode.railway_record(F.col("t")).alias("r")).withColumn("e", F.map_entries("r.values")).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1].r is got[2].r is got[3].r is None and got[0].r.passengers == ["B", "A"]
+    assert [tuple(x) for x in got[0].e] == [("pnr no.", "A1"), ("train no.", "12"), *((k, str(n)) for n, k in enumerate(keys))]
