@@ -1,11 +1,14 @@
 """Quality rules, the record store, classification and barcodes, with hand-stated answers."""
 
+import datetime as dt
+import re
 import time
+from unittest import mock
 
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
-from wayfare.operators import barcode, classify, quality, store
+from wayfare.operators import barcode, builders, classify, layout, quality, store
 from wayfare.schemas import RECORD
 
 H, D = 3_600_000, 86_400_000
@@ -227,3 +230,38 @@ def test_railway_record_of_many_keys_is_no_square(spark):
     assert time.perf_counter() - began < 30
     assert got[1].r is got[2].r is got[3].r is None and got[0].r.passengers == ["B", "A"]
     assert [tuple(x) for x in got[0].e] == [("pnr no.", "A1"), ("train no.", "12"), *((k, str(n)) for n, k in enumerate(keys))]
+
+
+def test_labels_that_are_on_no_line_are_looked_for_once():
+    class Label:
+        def __init__(self, pattern):
+            self.pattern, self.seen, self.own = pattern, 0, re.compile(pattern, re.I)
+
+        def search(self, text):
+            self.seen += 1
+            return self.own.search(text)
+
+    pages = ("Seat\n12A", "Seat: 12A", "a\nFrom: Pune\nto", "date\nof travel", "Seat no / x", "departure date 5", "x seat", "Gate", "")
+    labels = (r"\bseat(?: no\.?)?\b(?! ?/)", r"^from\b", r"date of", r"gate$", r"(?<!x )seat", r"depart(?:ure)?\b(?! date)", r"seat(?!\s*12A)", r"[^a]seat", r"to\Z")
+    for page in pages:
+        lines = [builders._line(t, k) for k, t in enumerate(page.split("\n")) if t.strip()]
+        for p in labels:
+            assert layout.find_value(layout.Lines(lines), re.compile(p, re.I)) == layout.find_value(lines, re.compile(p, re.I)), (page, p)
+    absent = Label(r"\bpnr\b")
+    assert layout.find_value(layout.Lines(builders._line(f"line {k}", k) for k in range(400)), absent) is None and absent.seen == 1
+    for text in ("a b", " a  b", "a\tb", "  a b c ", "x   y z"):  # cells of plain text as they are worked out
+        line = builders._line(text, 3)
+        assert layout.split_columns(line) == layout._split(line)
+
+
+def test_no_pattern_is_compiled_for_each_document():
+    def build(k):
+        payload = "M1" + "A/B".ljust(20) + "E" + f"{k:06d} " + "DELBOMAI 0123 045Y012A0001 100"
+        return {f["key"]: f for f in builders.build("flight", None, f"PNR {k:06d}, (DEL) x1{k:06d}", payload, dt.date(2024, 3, 1))}
+
+    build(1)
+    with mock.patch("re._compiler.compile", wraps=re._compiler.compile) as made:
+        found = [build(k) for k in range(2, 60)]
+    assert made.call_count == 0 and all(f["pnr"]["corroborated_by"] and f["origin"]["corroborated_by"] and not f["destination"]["corroborated_by"] for f in found)
+    for value, text, told in (("AB", "xAB AB", True), ("AB", "xAB ABé", False), ("-A", "b-A", True), ("-A", " -A", False), ("A_", "A_", True), ("AB", "", False)):
+        assert builders.stands_in(value, text) == told == bool(re.search(rf"\b{re.escape(value)}\b", text))
