@@ -8,7 +8,7 @@ from unittest import mock
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
-from wayfare.operators import barcode, builders, classify, layout, quality, store
+from wayfare.operators import barcode, builders, classify, layout, quality, reading, store
 from wayfare.schemas import RECORD
 
 H, D = 3_600_000, 86_400_000
@@ -265,3 +265,10 @@ def test_no_pattern_is_compiled_for_each_document():
     assert made.call_count == 0 and all(f["pnr"]["corroborated_by"] and f["origin"]["corroborated_by"] and not f["destination"]["corroborated_by"] for f in found)
     for value, text, told in (("AB", "xAB AB", True), ("AB", "xAB ABé", False), ("-A", "b-A", True), ("-A", " -A", False), ("A_", "A_", True), ("AB", "", False)):
         assert builders.stands_in(value, text) == told == bool(re.search(rf"\b{re.escape(value)}\b", text))
+
+
+def test_dates_are_read_only_on_lines_with_times():
+    lines = [{"text": t} for t in ("1 Jan 2024", "On 2 Jan 2024 09:05", "no date 10:10", "3 Jan 2024 11:11", "plain")]
+    with mock.patch.object(reading, "readings", wraps=reading.readings) as read:
+        assert reading.journey_times(lines, "2024-01-02") == ["09:05"] and read.call_count == 3
+    assert reading.journey_times(lines, None) == ["09:05", "10:10", "11:11"]

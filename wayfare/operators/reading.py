@@ -112,10 +112,13 @@ def journey_times(lines: list[dict], journey: str | None) -> list[str]:
     """Times of lines that carry the journey's date; where none does, those of lines without a date. Stamps and other days do not count."""
     dated, free = [], []
     for line in lines:
+        shown = clocks(line["text"])
+        if not shown:
+            continue
         days = readings(line["text"])
         if STAMP.search(line["text"]) or (journey and days and journey not in days):
             continue
-        (dated if journey and days else free).extend(clocks(line["text"]))
+        (dated if journey and days else free).extend(shown)
     return dated or free
 
 
