@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wayfare.operators import bands, codes, layout, page_redaction, page_rows, quality, ranks, reading, travellers
@@ -139,6 +141,23 @@ def test_lines_and_cells_of_rows_are_those_of_arrays(spark):
     assert len(boxes) == sum(len(layout.build_lines(i)) for i in pages.values())
 
 
+@pytest.mark.parametrize("large", [10, 1_000_000])
+def test_groups_of_a_task_are_shuffled_once(spark, monkeypatch, large):
+    monkeypatch.setattr(ranks, "LARGE", large)
+    df = spark.range(60).select(F.when(F.col("id") >= 8, F.lit("hot")).when(F.col("id") >= 4, F.lit("b")).alias("g"), F.col("id").alias("k"), (F.col("id") * F.when(F.col("id") % 5 == 0, 2).otherwise(1)).alias("at"), F.lit(3).alias("gap"))
+    got = ranks.islands(df, ["g"], ["at", "k"], "at", "gap")
+    by, want = {}, {}
+    for r in df.orderBy("at", "k").collect():
+        own = by.setdefault(r["g"], [])
+        want[r["g"], r["k"]] = 0 if not own else own[-1][1] + (r["at"] - own[-1][0] > 3)
+        own.append((r["at"], want[r["g"], r["k"]]))
+    assert {(r["g"], r["k"]): r["island"] for r in got.collect()} == want and len(set(want.values())) > 3
+    pages = df.select(F.col("g").alias("page"), F.col("k").alias("item"), F.lit("a").alias("text"), (F.col("k") % 3 * 25.0).alias("x"), F.col("at").cast("double").alias("y"), F.lit(20.0).alias("width"), F.lit(6.0).alias("height"))
+    boxes = page_rows.line_boxes(page_rows.with_cells(page_rows.with_lines(pages)))
+    assert large < 60 or boxes._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r["page"], r["line"]) for r in boxes.collect()} == set(zip((g for g, _ in want), want.values(), strict=True)) and sum(r["n"] for r in boxes.collect()) == 60
+
+
 def test_columns_read_as_the_plain_functions(spark):
     texts = ["Boarding pass", "e-Ticket", "Dear guest", "IndiGo", "AI 302", "AI", "zz 12", "Travel House", "Acme Air Lines of Old Times", "ab", None, "", "Hello", "A/B tours", "Document of travel", "12 May 2024, 13 June 24 and 1/2/2024", "May 3rd, 2023 2024-02-30 2024-02-29 31.04.2024", "5 May 24: 10"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")

@@ -290,8 +290,8 @@ def page_lines(spark, sf_dir):
     """Lines and cells of all lineitem pages: items a little off their line, and next to or apart from each other."""
     li = _t(spark, sf_dir, "lineitem")
     off, gap = (F.col("l_partkey") % 3).cast("double"), (F.col("l_suppkey") % 20).cast("double")
-    number = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    item = lambda k, text, x: F.struct(F.struct(number.alias("of"), F.lit(k).alias("k")).alias("item"), text.alias("text"), x.alias("x"), (F.lit(14.0) * F.col("l_linenumber") + off * k).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
+    number = lambda k: F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.lit(k))
+    item = lambda k, text, x: F.struct(number(k).alias("item"), text.alias("text"), x.alias("x"), (F.lit(14.0) * F.col("l_linenumber") + off * k).alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"))
     row = F.array(item(0, F.col("l_returnflag"), F.lit(40.0)), item(1, F.col("l_linestatus"), F.lit(70.0) + gap), item(2, F.lit(" "), F.lit(500.0)), item(2, F.col("l_linenumber").cast("string"), F.lit(200.0)))
     items = li.select(F.col("l_orderkey").alias("page"), F.explode(row).alias("i")).select("page", "i.*")
     return page_rows.line_boxes(page_rows.with_cells(page_rows.with_lines(items)))

@@ -1,7 +1,8 @@
 """Page layout on rows: items to lines and cells by windows, for pages of any number of items.
 
 Items are rows (page, item, text, x, y, width, height), item numbers total within a page. Where a page is one array and small, ``layout``
-does the same in one pass; here lines are islands of centres and cells islands of gaps, so that nothing is gathered by page.
+does the same in one pass; here lines are islands of centres and cells islands of gaps. Items are shuffled once, by page, and sorted there for
+lines and again for cells; pages of more than ``ranks.LARGE`` items are dealt over several tasks.
 A line ends where the next centre lies more than ``SAME_LINE`` of the page's median height below; a cell where the gap to all before it
 is wider than ``CELL_GAP`` of the line's median height. Blank and null texts are left out, as are items without a box.
 """
@@ -12,15 +13,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import CELL_GAP, SAME_LINE
-from .ranks import islands
+from .ranks import by_size, islands_dealt, islands_sorted
 
 
 def with_lines(items: DataFrame) -> DataFrame:
     """items with ``line``: its number on the page, from 0 at the top."""
     own = items.where((F.trim("text") != "") & F.col("y").isNotNull() & F.col("height").isNotNull() & F.col("x").isNotNull() & F.col("width").isNotNull())
-    near = own.groupBy(F.col("page").alias("_page")).agg((F.median("height") * SAME_LINE).alias("near"))
-    centred = own.join(near, F.col("page").eqNullSafe(F.col("_page"))).withColumn("centre", F.col("y") + F.col("height") / 2).drop("_page")
-    return islands(centred, ["page"], ["centre", "x", "item"], "centre", "near", "line").drop("near", "centre")
+    centred = own.withColumn("centre", F.col("y") + F.col("height") / 2)
+    how = (["page"], ["centre", "x", "item"], "centre", "near", "line")
+    small, large = by_size(centred, ["page"])
+    lines = islands_sorted(small.withColumn("near", F.median("height").over(Window.partitionBy("page")) * SAME_LINE), *how)
+    if large is not None:
+        near = large.groupBy(F.col("page").alias("_page")).agg((F.median("height") * SAME_LINE).alias("near"))
+        lines = lines.unionByName(islands_dealt(large.join(near, F.col("page").eqNullSafe(F.col("_page"))).drop("_page"), *how))
+    return lines.drop("near", "centre")
 
 
 def with_cells(items: DataFrame) -> DataFrame:

@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.folders import shared_folder
 
+#: Rows of a group that one task sorts; larger groups are dealt over several.
+LARGE = 1_000_000
+
+
+def by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of up to ``LARGE`` rows, and those of larger groups, or None if there are none.
+
+    This counts the groups, in a pass of its own over the keys. The driver sees the keys of large groups, one for each ``LARGE`` rows at most.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).drop("_n")
+    found = sizes.collect()
+    if not found:
+        return df, None
+    large = F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema).select(*(F.col(k).alias(f"_large_{k}") for k in keys)))
+    on = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    return df.join(large, on, "left_anti"), df.join(large, on, "left_semi")
+
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """df with the place of each row in its group, from 1, by ``order``, which must be total within a group.
@@ -29,8 +46,23 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "r
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, gap: str, name: str = "island") -> DataFrame:
     """df with the number, from 0, of the island that each row is in: a new one begins where ``value`` is more than ``gap`` above that of the row before.
 
-    ``order`` must be total within a group and ``value`` not null. As in ``rank_within``, rows are dealt by ranges; the last value and the
-    number of beginnings of each part and group are carried over to the next part.
+    ``order`` must be total within a group and ``value`` not null. Groups that a task can sort are shuffled once, by their keys; larger ones are dealt.
+    """
+    small, large = by_size(df, keys)
+    out = islands_sorted(small, keys, order, value, gap, name)
+    return out if large is None else out.unionByName(islands_dealt(large, keys, order, value, gap, name))
+
+
+def islands_sorted(df: DataFrame, keys: list[str], order: list[str], value: str, gap: str, name: str = "island") -> DataFrame:
+    """``islands`` of groups that a task can sort."""
+    rows = Window.partitionBy(*keys).orderBy(*order)
+    flagged = df.withColumn("_new", F.coalesce((F.col(value) - F.lag(value).over(rows) > F.col(gap)).cast("int"), F.lit(0)))
+    return flagged.select(*df.columns, F.sum("_new").over(rows.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias(name))
+
+
+def islands_dealt(df: DataFrame, keys: list[str], order: list[str], value: str, gap: str, name: str = "island") -> DataFrame:
+    """``islands`` of groups of any size. As in ``rank_within``, rows are dealt by ranges; the last value and the number of beginnings of each part
+    and group are carried over to the next part.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, "islands")
     df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
