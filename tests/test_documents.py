@@ -4,9 +4,10 @@ import datetime as dt
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wayfare.functions import places, seats
+from wayfare.functions import places, seats, udf
 from wayfare.operators import builders, layout, raster, reading, redact
 from wayfare.plans import lifecycle
 from wayfare.sources import mime
@@ -265,3 +266,31 @@ def test_words_that_tell_lines_apart():
     assert reading.of_transaction("Booked on 8 Mar 2024") and reading.of_transaction("Invoice-date") and not reading.of_transaction("Bookshop, 8 Mar 2024")
     assert reading.is_title("E-ticket") and reading.is_title("Travel Document") and reading.is_title("Hello there") and not reading.is_title("Travel House") and not reading.is_title("Akasa Air")
     assert reading.is_person("Asha Rao") and not reading.is_person("Add-ons") and not reading.is_person("SAN FRANCISCO INTL")
+
+
+def test_items_come_over_column_by_column():
+    item = pa.struct([("text", pa.string()), ("x", pa.float64()), ("n", pa.int32())])
+    rows = [None, [], [{"text": "a", "x": 1.5, "n": 1}, None, {"text": None, "x": None, "n": 2}], [{"text": "", "x": float("inf"), "n": None}], None, [{"text": "z", "x": -0.0, "n": 7}]]
+    array = pa.array(rows, pa.list_(item))
+    for part in (array, array[2:], array[1:4], array[:0], pa.array([[r] for r in rows], pa.list_(pa.list_(item))), pa.array([{}, None], pa.struct([])), pa.array([3, None, 4]), pa.array([True]), pa.array([b"x"]), pa.array([[("k", 1)]], pa.map_(pa.string(), pa.int64()))):
+        assert udf.values(part) == part.to_pylist()
+    assert udf.values(array[5:])[0][0]["n"].__class__ is int
+
+
+def test_cells_are_not_finished_as_lines(monkeypatch):
+    made = []
+    monkeypatch.setattr(layout, "finish_line", lambda items, real=layout.finish_line: made.append(items) or real(items))
+    lines = layout.build_lines(page((100, [(40, "Gate"), (200, "Seat  no\t")]), (130, [(40, "4"), (200, "12A")])))
+    assert [[(c["text"], c["x"]) for c in layout.split_columns(x)] for x in lines] == [[("Gate", 40), ("Seat no", 200)], [("4", 40), ("12A", 200)]]
+    assert len(made) == len(lines) == 2
+
+
+def test_long_steps_are_dealt_by_rows(spark, monkeypatch, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert udf.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(udf, "ROWS_A_TASK", 90)
+    dealt = udf.spread(table)
+    assert dealt.rdd.getNumPartitions() == 12 and sorted(r[0] for r in dealt.collect()) == list(range(1000))
+    assert max(dealt.rdd.glom().map(len).collect()) < 120
+    assert udf.spread(dealt).rdd.getNumPartitions() == 12
