@@ -6,8 +6,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wayfare import catalog, catalog_joins
+from wayfare.operators import quality, store
 from wayfare.operators.classify import select_kind
 from wayfare.streaming import landing
 
@@ -94,3 +96,20 @@ def test_reference_lookup_keeps_all_names(spark, tmp_path):
 
 def test_long_rules_are_dealt_over_all_cores(spark):
     assert QUERIES["redact_planted"](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_records_are_opened_beside_themselves(spark):
+    plan = QUERIES["draft_round_trip"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_only_keys_of_legs_are_legs(spark):
+    def field(key, value):
+        return quality.new_field(F.lit(key), F.lit(value), F.lit("ocr"))
+
+    keys = ("legend", "leg.origin", "leg2x.origin", "leg99999999999.origin", "leg10.origin", "leg3.seat", "leg03.date", "leg2.", "leg2.origin", "xleg4.origin")
+    some, none = F.array(*(field(k, k) for k in keys)), F.array(field("origin", "DEL"), field("leg2.origin", " "))
+    drafts = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("flight").alias("kind"), F.when(F.col("id") == 0, some).otherwise(none).alias("fields"))
+    got = {r["id"]: r for r in store.from_draft(drafts, now=1).collect()}
+    assert [(x["origin"], x["seat"], x["date"]) for x in got["0"]["additional_legs"]] == [("leg2.origin", None, None), (None, "leg3.seat", None), ("leg10.origin", None, None)]
+    assert got["1"]["additional_legs"] is None and set(got["1"]["fields"]) == {"origin"} and {"legend", "leg.origin", "leg2x.origin", "xleg4.origin"} == set(got["0"]["fields"])

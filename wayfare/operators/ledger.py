@@ -135,8 +135,10 @@ class Ledger:
     def _write(self, rows: DataFrame, touched: list[int]) -> dict[str, str]:
         """Write the rows of the touched buckets, each as a folder; the folders of buckets that have rows."""
         name = uuid.uuid4().hex
-        columns = [f.name for f in StructType.fromDDL(self.schema)]
-        dealt = rows.select(*columns, self._bucket().alias("bucket")).repartition("bucket")
+        given = {f.name: f.dataType.simpleString() for f in rows.schema}
+        columns = [F.col(f.name) if given[f.name] == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(self.schema)]
+        # a bucket's rows go to one task, or to several if they are many
+        dealt = rows.select(*columns, self._bucket().alias("bucket")).hint("rebalance", "bucket")
         dealt.write.option("maxRecordsPerFile", self.rows_a_file).partitionBy("bucket").parquet(f"{self.path}/data/{name}")
         fs, where = self._fs(f"{self.path}/data/{name}")
         found = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(where) if f.isDirectory()}
@@ -166,15 +168,16 @@ class Ledger:
         def build(head: dict) -> dict | None:
             if batch is not None and batch in head["batches"]:
                 return None
-            touched = sorted(r[0] for r in last.select(self._bucket().alias("b")).distinct().collect())
+            touched = sorted(r[0] for r in own.select(self._bucket().alias("b")).distinct().collect())
             if not touched:
                 return None
-            old = self._rows(sorted(head["folders"][str(b)] for b in touched if str(b) in head["folders"]))
-            kept = old.join(last.select("id"), "id", "left_anti").select(*columns)
+            old = sorted(head["folders"][str(b)] for b in touched if str(b) in head["folders"])
             put = last.where("op = 'put'").select("row.*")
             if "updated_at" in columns:
                 put = put.withColumn("updated_at", F.lit(now).cast("long"))
-            written = self._write(kept.unionByName(put), touched)
+            if old:
+                put = self._rows(old).join(last.select("id"), "id", "left_anti").select(*columns).unionByName(put)
+            written = self._write(put, touched)
             folders = {k: v for k, v in head["folders"].items() if int(k) not in set(touched)} | written
             return self._next(head, action, now, folders, len(touched), batch)
 

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import departure_timestamp
+from ..functions.scalars import bound, departure_timestamp
 from ..schemas import FIELDS, ORIGIN
 from .quality import new_field
 
@@ -151,19 +151,29 @@ def from_draft(drafts: DataFrame, now: int, source: str = "import") -> DataFrame
     own = F.filter("_f", lambda f: ~f["key"].rlike("^leg[0-9]+[.]"))
     origin = lambda f: F.struct(f["label"].alias("label"), f["source"].alias("source"), f["confidence"].alias("confidence"), f["edited"].alias("edited"), f["confirmed"].alias("confirmed"), f["critical"].alias("critical"))
     pairs = lambda value: F.map_from_entries(F.transform(own, lambda f: F.struct(f["key"].alias("key"), value(f).alias("value"))))
-    numbers = F.array_sort(F.array_distinct(F.filter(F.transform("_f", lambda f: F.regexp_extract(f["key"], "^leg([0-9]+)[.]", 1).try_cast("int")), lambda n: n.isNotNull())))
-    of_leg = lambda n, key: F.get(F.filter("_f", lambda f: f["key"] == F.concat(F.lit("leg"), n.cast("string"), F.lit(f".{key}"))), F.lit(0))["value"]
-    legs = F.transform(numbers, lambda n: F.struct(*(of_leg(n, key).alias(key) for key in LEG_KEYS)))
+    # a cast that fails is slow, so only keys of legs are read as numbers
+    number = lambda f: F.regexp_extract(f["key"], "^leg([0-9]+)[.]", 1).try_cast("int")
+    numbers = lambda fs: F.array_sort(F.array_distinct(F.filter(F.transform(fs, number), lambda n: n.isNotNull())))
+    named = lambda fs, name: F.get(F.filter(fs, lambda f: f["key"] == name), F.lit(0))["value"]
+    of_leg = lambda fs, n, key: bound(F.concat(F.lit("leg"), n.cast("string"), F.lit(f".{key}")), lambda name: named(fs, name))
+    further = F.filter("_f", lambda f: f["key"].rlike("^leg[0-9]+[.]"))
+    legs = bound(further, lambda fs: F.transform(numbers(fs), lambda n: F.struct(*(of_leg(fs, n, key).alias(key) for key in LEG_KEYS))))
+    some_legs = bound(legs, lambda x: F.when(F.size(x) > 0, x))
     values = pairs(lambda f: f["value"])
     return filled.select(
         F.col("doc_id").cast("string").alias("id"), "kind", values.alias("fields"), departure_timestamp(values).alias("departs_at"), F.lit(now).cast("long").alias("added_at"), F.lit(now).cast("long").alias("updated_at"),
         F.lit(source).alias("source"), F.lit(False).alias("archived"), pairs(origin).alias("provenance"), F.coalesce(_listed(_value(F.col("_f"), "passengers")), _listed(_value(F.col("_f"), "passenger"))).alias("passengers"),
-        _listed(_value(F.col("_f"), "seat")).alias("all_seats"), F.when(F.size(legs) > 0, legs).alias("additional_legs"),
+        _listed(_value(F.col("_f"), "seat")).alias("all_seats"), some_legs.alias("additional_legs"),
     )
 
 
 def to_draft(records: DataFrame) -> DataFrame:
     """Drafts (doc_id, kind, fields) of records, to be edited: every value is settled, at the confidence it was stored with."""
+    return records.select(F.col("id").alias("doc_id"), "kind", draft_fields().alias("fields"))
+
+
+def draft_fields() -> Column:
+    """The fields of a record's draft, over the columns of ``schemas.TICKET``."""
 
     def field(key: Column, value: Column, p: Column) -> Column:
         at = lambda name, other: F.coalesce(p[name], other)
@@ -174,4 +184,4 @@ def to_draft(records: DataFrame) -> DataFrame:
     none = F.lit(None).cast(ORIGIN)
     leg = lambda x, i: F.filter(F.array(*(field(F.concat(F.lit("leg"), (i + 2).cast("string"), F.lit(f".{k}")), x[k], none) for k in LEG_KEYS)), lambda f: f["value"].isNotNull())
     legs = F.coalesce(F.flatten(F.transform("additional_legs", leg)), F.array().cast(FIELDS))
-    return records.select(F.col("id").alias("doc_id"), "kind", F.concat(plain.cast(FIELDS), legs.cast(FIELDS)).alias("fields"))
+    return F.concat(plain.cast(FIELDS), legs.cast(FIELDS))
