@@ -294,3 +294,31 @@ def test_long_steps_are_dealt_by_rows(spark, monkeypatch, tmp_path):
     assert dealt.rdd.getNumPartitions() == 12 and sorted(r[0] for r in dealt.collect()) == list(range(1000))
     assert max(dealt.rdd.glom().map(len).collect()) < 120
     assert udf.spread(dealt).rdd.getNumPartitions() == 12
+
+
+def test_a_raster_is_masked_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(raster, "ink_mask", lambda *a, real=raster.ink_mask: made.append(a) or real(*a))
+    image = np.full((40, 60, 4), 255, np.uint8)
+    image[5:15, 5:25, :3] = (200, 30, 30)
+    got = raster.summary(image.tobytes(), 60, 40)
+    assert len(made) == 1 and got["n_components"] == 1 and got["ink"] == 200 / 2400 and got["background"] == 0xFFFFFF and got["dominant"] == 0xC81E1E and not got["barcode"]
+
+
+def test_components_of_rows_apart_and_of_no_ink():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        mask = rng.random(tuple(rng.integers(1, 12, 2))) < 0.45
+        seen, want = np.zeros(mask.shape, bool), []
+        for y, x in zip(*map(np.ndarray.tolist, np.nonzero(mask)), strict=True):
+            if not seen[y, x]:
+                own, todo = [], [(y, x)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not seen[a, b]:
+                        seen[a, b] = True
+                        own.append((a, b))
+                        todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
+                ys, xs = zip(*own, strict=True)
+                want.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(own)))
+        assert raster.components(mask) == sorted(want)
