@@ -158,6 +158,25 @@ def test_groups_of_a_task_are_shuffled_once(spark, monkeypatch, large):
     assert {(r["page"], r["line"]) for r in boxes.collect()} == set(zip((g for g, _ in want), want.values(), strict=True)) and sum(r["n"] for r in boxes.collect()) == 60
 
 
+@pytest.mark.parametrize("large", [9, 1_000_000])
+def test_cells_and_headers_of_a_page_are_shuffled_once(spark, monkeypatch, large):
+    monkeypatch.setattr(ranks, "LARGE", large)
+    rng = random.Random(5)
+    cells = [(p, r, float(rng.randint(-80, 300)), float(rng.choice([0, 5, 40, 150])), f"{p}{r}{k}") for p, n in (("a", 2), ("b", 9), (None, 2)) for r in range(n) for k in range(4)] + [("a", 0, None, 4.0, "lost")]
+    headers = [(p, x, w, h) for p in ("a", "b", None) for h, x, w in (("H", -20.0, 60.0), ("I", 70.0, 60.0), ("J", 100.0, 200.0), (None, 90.0, 30.0), ("K", 10.0, 0.0))]
+    one, two = spark.createDataFrame(cells, "page_id string, row_id int, x double, width double, text string"), spark.createDataFrame(headers, "page_id string, x double, width double, header string")
+    best = {}
+    for p, r, x, w, t in cells:
+        for q, hx, hw, h in headers:
+            if p is not None and p == q and x is not None and w > 0 and hw > 0:
+                shared = min(x + w, hx + hw) - max(x, hx)
+                if shared > 0.35 * min(w, hw):
+                    best[p, r, h] = max(best.get((p, r, h), (0, 0, "")), (shared, -x, t))
+    found = bands.cells_by_header(one, two)
+    assert large < 60 or found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r["page_id"], r["row_id"], r["header"]): r["text"] for r in found.collect()} == {k: v[2] for k, v in best.items()} and len(best) > 15 and found.count() == len(best)
+
+
 def test_columns_read_as_the_plain_functions(spark):
     texts = ["Boarding pass", "e-Ticket", "Dear guest", "IndiGo", "AI 302", "AI", "zz 12", "Travel House", "Acme Air Lines of Old Times", "ab", None, "", "Hello", "A/B tours", "Document of travel", "12 May 2024, 13 June 24 and 1/2/2024", "May 3rd, 2023 2024-02-30 2024-02-29 31.04.2024", "5 May 24: 10"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")

@@ -7,9 +7,11 @@ and bin, or broadcasts what Spark knows to be small. An interval with a null end
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import by_size
+
 
 def overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
     """How much two intervals share; 0 or less if they do not."""
@@ -27,7 +29,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], low: str, high
 
     def listed(df: DataFrame, name: str) -> DataFrame:
         own = df.where(F.col(high) > F.col(low))
-        rest = F.struct(*(F.col(c) for c in df.columns)).alias(name)
+        rest = F.struct(*(F.col(c) for c in df.columns if c not in keys)).alias(name)
         return own.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), rest, F.explode(F.sequence(at(low), last)).alias("_bin"), at(low).alias(f"_{name}_first"))
 
     on = [f"_k{i}" for i in range(len(keys))] + ["_bin"]
@@ -41,9 +43,31 @@ def cells_by_header(cells: DataFrame, headers: DataFrame, page: str = "page_id",
 
     cells: page, row, x, width, text; headers: page, x, width, header. A cell is under a header if they share more than ``share`` of the
     narrower one. Of several cells the one that shares most is taken, then the one further left, then by text.
+
+    Cells and headers of a page are shuffled once, by page, and meet there in bins; pages of more than ``ranks.LARGE`` of them are dealt over
+    several tasks by bins, as in ``band_join``.
     """
-    wide = lambda df: df.withColumn("_end", F.col("x") + F.col("width"))
-    met = band_join(wide(cells), wide(headers), [page], "x", "_end", bin)
-    enough = F.col("overlap") > F.lit(share) * F.least(F.col("left")["width"], F.col("right")["width"])
-    own = met.where(enough).select(page, F.col("left")[row].alias(row), F.col("right")["header"].alias("header"), F.col("overlap"), F.col("left")["x"].alias("x"), F.col("left")["text"].alias("text"))
-    return own.groupBy(page, row, "header").agg(F.max_by("text", F.struct("overlap", F.negative("x"), "text")).alias("text"))
+    end = F.col("x") + F.col("width")
+    wide = lambda df, *columns: df.where((end > F.col("x")) & F.col(page).isNotNull()).select(page, *columns, "x", "width")
+    cells, headers = wide(cells, row, "text"), wide(headers, "header")
+    both = cells.withColumn("_head", F.lit(False)).unionByName(headers.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+    small, large = by_size(both, [page])
+    met = _met_in_pages(small, page, row, bin)
+    if large is not None:
+        large = large.withColumn("_end", end)
+        pairs = band_join(large.where(~F.col("_head")).drop("header", "_head"), large.where("_head").drop(row, "text", "_head"), [page], "x", "_end", bin)
+        met = met.unionByName(pairs.select(page, F.col("left")[row].alias(row), *(F.col("left")[c].alias(c) for c in ("text", "x", "width")), F.col("right")["header"].alias("header"), F.col("right")["width"].alias("_wide"), "overlap"))
+    enough = F.col("overlap") > F.lit(share) * F.least("width", "_wide")
+    return met.where(enough).groupBy(page, row, "header").agg(F.max_by("text", F.struct("overlap", F.negative("x"), "text")).alias("text"))
+
+
+def _met_in_pages(both: DataFrame, page: str, row: str, bin: float) -> DataFrame:
+    """Pairs of cells and headers that overlap: the headers of a page's bin are listed beside each of its cells."""
+    at = lambda c: F.floor(c / F.lit(bin)).cast("long")
+    last = F.greatest(at(F.col("x")), (F.ceil(F.col("_end") / F.lit(bin)) - 1).cast("long"))
+    binned = both.repartition(page).withColumn("_end", F.col("x") + F.col("width")).withColumn("_bin", F.explode(F.sequence(at(F.col("x")), last)))
+    heads = F.collect_list(F.when(F.col("_head"), F.struct("header", F.col("x").alias("low"), F.col("_end").alias("high"), "width"))).over(Window.partitionBy(page, "_bin"))
+    beside = binned.withColumn("_heads", heads).where(~F.col("_head")).drop("header").withColumn("_h", F.explode("_heads")).drop("_heads")
+    shared = overlap(F.col("x"), F.col("_end"), F.col("_h.low"), F.col("_h.high"))
+    first = F.col("_bin") == F.greatest(at(F.col("x")), at(F.col("_h.low")))
+    return beside.where(first & (shared > 0)).select(page, row, "text", "x", "width", F.col("_h.header").alias("header"), F.col("_h.width").alias("_wide"), shared.alias("overlap"))
