@@ -76,6 +76,16 @@ def test_document_signals_of_accents_beside_codes(spark, tmp_path):
     assert len(agrees(spark, "document_signals", tmp_path)) == len(docs)
 
 
+def test_document_signals_of_words_that_are_signals(spark, tmp_path):
+    texts = [
+        "was, anden thshat", "write to pnr@site.example", "Cinema Screen 4, hotel; SEAT", "Mayhan 12:30", "a vs b 12:30", "itineraries WL 12", "abc-def (ghi) x (jkl)", "seat", "ea 12 class", "check-in by check-out 3 nights",
+        "chart is prepared", "berth", "boarding pass", "baggage tax invoice", "ſeat quota Quai", "12 Jan 10:30", "2D IMAX", "retiring room", "train no", "screen4 ROW B 3 rated: PG", "hall 3", "x (abc) y (def)",
+    ]
+    docs = [(k * 40 + i, t) for k in range(24) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(agrees(spark, "document_signals", tmp_path)) == len(docs)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     data = [("a", "Boarding pass airport PNR gate seat", None, "2024-01-01T00:00:00Z"), ("b", "Hotel check-in check-out 2 nights voucher", None, "2024-01-01T00:00:01Z"), ("a", "Boarding pass airport PNR gate seat", None, "2024-01-01T00:00:00Z")]
     df = spark.createDataFrame(data, "id string, text string, payload string, arrived string").selectExpr("id", "text", "payload", "cast(arrived as timestamp) arrived")
