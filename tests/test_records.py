@@ -5,10 +5,14 @@ import re
 import time
 from unittest import mock
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from wayfare.functions import scalars
+from wayfare.functions import scalars, udf
 from wayfare.operators import barcode, builders, classify, layout, quality, reading, store
+from wayfare.plans import lifecycle
 from wayfare.schemas import RECORD
 
 H, D = 3_600_000, 86_400_000
@@ -272,3 +276,42 @@ def test_dates_are_read_only_on_lines_with_times():
     with mock.patch.object(reading, "readings", wraps=reading.readings) as read:
         assert reading.journey_times(lines, "2024-01-02") == ["09:05"] and read.call_count == 3
     assert reading.journey_times(lines, None) == ["09:05", "10:10", "11:11"]
+
+
+def test_labels_that_are_nowhere_are_told_by_plain_texts():
+    lines = layout.Lines([builders._line(t, k) for k, t in enumerate(["Seat: 5", "Ticket no: TKT1"])])
+    for p in (r"^from\b", r"boarding (?:at|from|station)", r"depart(?:ure|s)?\b(?! date)", r"date of (?:travel|journey)|(?:travel|flight) date", r"check-?\s?in(?: date)?", r"reservation up ?to"):
+        assert not lines.may_say(re.compile(p, re.I)) and layout.find_labelled(lines, [re.compile(p, re.I)]) is None
+    assert lines.may_say(re.compile("seat")) and lines.may_say(re.compile("[st]e")) and lines.may_say(re.compile("f r o m", re.X))
+
+
+def test_needed_texts_are_in_every_match():
+    needed = lambda p: layout.needed(re.compile(p, re.I))
+    assert needed(r"date of (?:travel|journey)|(?:travel|flight) date") == ("date of ", " date")
+    assert [needed(p) for p in (r"a?b", r"\d+|seat", r"(?:std|sta)", r"x{0,2}", r"[a\]]seat")] == [()] * 5
+    for p, text in ((r"ticket (?:no\.?|number)", "TİCKET NO"), (r"\bsta\b", "ſTA"), (r"kilo", "Kılo"), (r"coach\s*/\s*seat", "COACH / Seat"), (r"travell?er(?: name)?", "traveler"), (r"check-?\s?in", "CheckIn")):
+        assert re.search(p, text, re.I) and any(n in layout.folded(text) for n in needed(p))
+        assert layout.find_labelled(layout.Lines([builders._line(f"{text}: 5", 0)]), [re.compile(p, re.I)]) == "5"
+
+
+def test_columns_are_made_as_pyarrow_makes_them(spark):
+    fields = [builders.build("rail", [], "Acme bus\nSeat: 5\nDate: 3/4/2024", None, dt.date(2024, 1, 1)), None, []]
+    for f in fields[0]:
+        f["issues"] = [{"level": a, "code": b, "detail": c} for a, b, c in f["issues"]]
+    for ddl, rows in (
+        (builders.FIELD_ROWS, fields), ("array<map<string,string>>", [[[("a", "b")]], None, [], [None]]), ("struct<a:int,b:array<int>>", [None, {"a": 1, "b": None}, {"a": None, "b": [1, None]}, {}]),
+        ("struct<a:int>", [None, None]), ("array<string>", [["a", None], None, []]), ("string", ["a", None]), ("array<struct<a:int>>", []),
+    ):
+        kind = to_arrow_type(DataType.fromDDL(ddl), prefers_large_types=False)
+        made = udf.arrays(rows, kind)
+        made.validate(full=True)
+        assert made.equals(pa.array(rows, kind)) and made.type == kind
+
+
+def test_plain_fields_keep_what_they_are(spark):
+    docs = [("a", "Boarding pass\nPNR: AB12CD\nFlight no: AI 123\nDEL - BOM\nairport gate seat", None), ("b", "PVR Cinemas\nScreen 4\nShow time 7:30 pm 12 Jan 2024\nRow F Seat 12", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, payload string").withColumn("reference", F.lit("2024-01-01").cast("date"))
+    got = {(r.doc_id, r.field.key): r.field for r in lifecycle.fields(df).collect()}
+    pnr = got["a", "pnr"]
+    assert (pnr.label, pnr.value, pnr.source, pnr.confidence, pnr.required, pnr.critical, pnr.confirmed, pnr.edited, pnr.issues, pnr.corroborated_by, pnr.original_value) == ("pnr", "AB12CD", "pdf-text", "medium", True, True, False, False, [], None, None)
+    assert got["a", "gate"].confidence == "missing" and got["b", "category"].value == "movie" and ("a", "category") not in got

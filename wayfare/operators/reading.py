@@ -48,6 +48,8 @@ TRANSACTION = frozenset("billed booked booking created generated invoice issue i
 HEADING_LINES, HEADING_DATES, NAME_LINES = 16, 5, 5
 # ----------------------------------------------------------------------------------------------------------------
 
+_WORD, _TO, _ARROWS = re.compile(r"[a-z]+(?:-[a-z]+)*"), re.compile(r"(?i)\s+to\s+"), re.compile("[→➜➔»>]")
+_NOISE, _CARRIER = re.compile(r"[][{}|\\/@#*_~`\d]"), re.compile(r"(?i)([A-Z0-9]{2})(?:[\s-]?\d{1,4}[A-Z]?)?")
 _PLACE_WORD = rf"(?!{DAY_OR_MONTH})(?:[A-Za-z][A-Za-z.'-]*|\([A-Za-z]{{2,5}}\))"
 _PLACE_END = re.compile(rf"(?i)(?:^|(?<=[\s,]))({_PLACE_WORD}(?:\s+{_PLACE_WORD}){{0,2}})$")
 _PLACE_START = re.compile(rf"(?i)^({_PLACE_WORD}(?:\s+{_PLACE_WORD}){{0,2}})(?=[\s,]|$)")
@@ -55,7 +57,7 @@ _PLACE_START = re.compile(rf"(?i)^({_PLACE_WORD}(?:\s+{_PLACE_WORD}){{0,2}})(?=[
 
 def words(text: str | None) -> list[str]:
     """The words of a text in small letters; one with a hyphen is one."""
-    return re.findall(r"[a-z]+(?:-[a-z]+)*", (text or "").lower())
+    return _WORD.findall((text or "").lower())
 
 
 def of_transaction(text: str | None) -> bool:
@@ -65,12 +67,15 @@ def of_transaction(text: str | None) -> bool:
 
 def readings(text: str | None) -> list[str]:
     """Every date with a year that a text may mean, in order and once: numbers are read day first and month first. Days that do not exist are none."""
-    found = set()
-    for m in (*NAMED_DATE.finditer(text or ""), *MONTH_FIRST.finditer(text or "")):
-        found.add((int(m["y"]) + (2000 if len(m["y"]) == 2 else 0), MONTHS.index(m["m"].lower()) + 1, int(m["d"])))
-    for a, b, year in NUMERIC_DATE.findall(text or ""):
-        found |= {(int(year), int(b), int(a)), (int(year), int(a), int(b))}
-    found |= {tuple(map(int, m)) for m in ISO_DATE.findall(text or "")}
+    text, found = text or "", set()
+    low = layout.folded(text)
+    if any(m in low for m in MONTHS):
+        for m in (*NAMED_DATE.finditer(text), *MONTH_FIRST.finditer(text)):
+            found.add((int(m["y"]) + (2000 if len(m["y"]) == 2 else 0), MONTHS.index(layout.folded(m["m"])) + 1, int(m["d"])))
+    if "/" in text or "." in text or "-" in text:
+        for a, b, year in NUMERIC_DATE.findall(text):
+            found |= {(int(year), int(b), int(a)), (int(year), int(a), int(b))}
+        found |= {tuple(map(int, m)) for m in ISO_DATE.findall(text)}
     return sorted(day for y, m, d in found if (day := _real(y, m, d)))
 
 
@@ -112,11 +117,13 @@ def journey_times(lines: list[dict], journey: str | None) -> list[str]:
     """Times of lines that carry the journey's date; where none does, those of lines without a date. Stamps and other days do not count."""
     dated, free = [], []
     for line in lines:
-        shown = clocks(line["text"])
+        shown = clocks(line["text"]) if ":" in line["text"] else None
         if not shown:
             continue
+        if STAMP.search(line["text"]):
+            continue
         days = readings(line["text"])
-        if STAMP.search(line["text"]) or (journey and days and journey not in days):
+        if journey and days and journey not in days:
             continue
         (dated if journey and days else free).extend(shown)
     return dated or free
@@ -135,8 +142,8 @@ def route_heading(lines: list[dict]) -> tuple[str, str, int] | None:
         return None
     large, sizes = _sized(lines), {x["height"] for x in lines}
     for at, line in enumerate(lines[:HEADING_LINES]):
-        arrow, cells = ARROW.search(line["text"]), layout.split_columns(line)
-        word = re.search(r"(?i)\s+to\s+", line["text"]) if not arrow and large(line) else None
+        arrow, cells = ARROW.search(line["text"]) if _ARROWS.search(line["text"]) else None, layout.split_columns(line)
+        word = _TO.search(line["text"]) if not arrow and large(line) else None
         cut = arrow or word
         if cut:
             left, right = _PLACE_END.search(line["text"][: cut.start()].strip()), _PLACE_START.search(line["text"][cut.end() :].strip())
@@ -203,7 +210,7 @@ def names_under_heading(lines: list[dict]) -> list[str]:
 def is_title(text: str | None) -> bool:
     """A document's title, a salutation, or what is no brand: digits, signs, over four words, or under three letters."""
     t = text or ""
-    noise = re.search(r"[][{}|\\/@#*_~`\d]", t) or len(t.split()) > 4 or sum(c.isascii() and c.isalpha() for c in t) < 3
+    noise = _NOISE.search(t) or len(t.split()) > 4 or sum(c.isascii() and c.isalpha() for c in t) < 3
     said = [w for x in words(t) for w in x.split("-")]
     heading = not TITLE_WORDS.isdisjoint(said) or not TITLE_PAIRS.isdisjoint(zip(said, said[1:], strict=False))
     return bool(t) and bool(noise or heading or said[:1] and said[0] in SALUTATIONS)
@@ -225,7 +232,7 @@ def looks_like_title(text: Column) -> Column:
 def carrier_name(text: str | None) -> str | None:
     """The airline of a bare code or of a flight number of a known code; anything else as it is."""
     t = (text or "").strip()
-    m = re.fullmatch(r"(?i)([A-Z0-9]{2})(?:[\s-]?\d{1,4}[A-Z]?)?", t)
+    m = _CARRIER.fullmatch(t)
     return (carriers().get(m[1].upper()) or t if m else t) or None
 
 
