@@ -7,8 +7,6 @@ from unittest import mock
 
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from wayfare.functions import scalars, udf
 from wayfare.operators import barcode, builders, classify, layout, quality, reading, store
@@ -294,18 +292,14 @@ def test_needed_texts_are_in_every_match():
         assert layout.find_labelled(layout.Lines([builders._line(f"{text}: 5", 0)]), [re.compile(p, re.I)]) == "5"
 
 
-def test_columns_are_made_as_pyarrow_makes_them(spark):
-    fields = [builders.build("rail", [], "Acme bus\nSeat: 5\nDate: 3/4/2024", None, dt.date(2024, 1, 1)), None, []]
-    for f in fields[0]:
-        f["issues"] = [{"level": a, "code": b, "detail": c} for a, b, c in f["issues"]]
-    for ddl, rows in (
-        (builders.FIELD_ROWS, fields), ("array<map<string,string>>", [[[("a", "b")]], None, [], [None]]), ("struct<a:int,b:array<int>>", [None, {"a": 1, "b": None}, {"a": None, "b": [1, None]}, {}]),
-        ("struct<a:int>", [None, None]), ("array<string>", [["a", None], None, []]), ("string", ["a", None]), ("array<struct<a:int>>", []),
-    ):
-        kind = to_arrow_type(DataType.fromDDL(ddl), prefers_large_types=False)
-        made = udf.arrays(rows, kind)
-        made.validate(full=True)
-        assert made.equals(pa.array(rows, kind)) and made.type == kind
+def test_results_in_parts_and_maps_column_by_column(spark):
+    kind = pa.struct([("passengers", pa.list_(pa.string())), ("values", pa.map_(pa.string(), pa.string()))])
+    made = pa.array([None, {"passengers": ["A"], "values": [("a", "b"), ("c", None)]}, {"passengers": None, "values": None}, {"passengers": [], "values": []}], kind)
+    for some in (made, made[1:], made[:2], made[1:1], made[:1]):
+        assert udf.values(some) == some.to_pylist()
+    rows = spark.range(2 * udf.PART_ROWS + 3, numPartitions=1)
+    got = rows.select("id", udf.each_row(lambda k: [str(k)] * (k % 3), "array<string>", [F.col("id")]).alias("r")).collect()
+    assert all(r.r == [str(r.id)] * (r.id % 3) for r in got) and len(got) == rows.count()
 
 
 def test_plain_fields_keep_what_they_are(spark):

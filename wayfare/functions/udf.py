@@ -37,7 +37,7 @@ def parts_of(table: DataFrame, rows: int = 0) -> int:
 
 
 def values(array: pa.Array) -> list:
-    """``array.to_pylist()``, column by column: lists of structs, as items are, are not made value by value."""
+    """``array.to_pylist()``, column by column: lists of structs, as items are, are not made value by value. A map is its pairs."""
     kind = array.type
     if pa.types.is_list(kind):
         inner, sizes, at, out = values(array.flatten()), pc.list_value_length(array).to_pylist(), 0, []
@@ -45,6 +45,9 @@ def values(array: pa.Array) -> list:
             out.append(None if n is None else inner[at : at + n])
             at += n or 0
         return out
+    if pa.types.is_map(kind):
+        at, pairs = array.offsets.to_pylist(), list(zip(values(array.keys), values(array.items), strict=True))
+        return [pairs[i:j] if ok else None for i, j, ok in zip(at, at[1:], array.is_valid().to_pylist(), strict=False)]
     if pa.types.is_struct(kind):
         names = [f.name for f in kind]
         if not names or len(set(names)) < len(names):
@@ -58,24 +61,6 @@ def values(array: pa.Array) -> list:
     return array.to_pylist()
 
 
-def arrays(rows: list, kind: pa.DataType) -> pa.Array:
-    """``pa.array(rows, kind)``, column by column: lists of dicts, as fields are, are not read value by value."""
-    if pa.types.is_list(kind):
-        missing, at, ends = [r is None for r in rows], 0, [0]
-        for r in rows:
-            at += len(r) if r else 0
-            ends.append(at)
-        inner = arrays([x for r in rows if r for x in r], kind.value_type)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kind, mask=pa.array(missing) if any(missing) else None)
-    if pa.types.is_struct(kind) and kind.num_fields and all(r is None or type(r) is dict for r in rows):
-        missing = [r is None for r in rows]
-        if all(missing):
-            return pa.nulls(len(rows), kind)
-        columns = [arrays([r.get(f.name) if r else None for r in rows], f.type) for f in kind]
-        return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array(missing) if any(missing) else None)
-    return pa.array(rows, kind)
-
-
 def each_row(fn: Callable, schema: str, columns) -> Column:
     """A Column of a plain function of one row's values, run on Arrow batches without going through pandas."""
     kind = to_arrow_type(DataType.fromDDL(schema), prefers_large_types=False)
@@ -83,7 +68,7 @@ def each_row(fn: Callable, schema: str, columns) -> Column:
     def run(*given: pa.Array) -> pa.Array:
         # a part at a time, so that few objects live at once
         rows = zip(*map(values, given), strict=True)
-        return pa.concat_arrays([arrays([fn(*row) for row in part], kind) for part in itertools.batched(rows, PART_ROWS)] or [pa.nulls(0, kind)])
+        return pa.concat_arrays([pa.array([fn(*row) for row in part], kind) for part in itertools.batched(rows, PART_ROWS)] or [pa.nulls(0, kind)])
 
     return F.arrow_udf(run, schema)(*columns)
 
